@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .token_files import token_table
 
 
+def op4_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,7 +27,7 @@ def op8_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_content_sort, op7_simple8b, op8_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op4_prefix_filter, op5_content_sort, op7_simple8b, op8_karmarkar_karp)}
 
 OP5_SQL = r"""
 WITH d AS (
@@ -36,4 +41,31 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-ORACLES = {"op5_content_sort": OP5_SQL}
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s0:s0 + least(len(w), 13) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s0 FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+hit AS (
+  SELECT DISTINCT doc_id, s0, win.n, item_id
+  FROM (SELECT doc_id, n, s0, array_to_string(w[s0:s0 + n - 1], ' ') AS gram
+        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s0 FROM d, lens WHERE len(w) >= n)) p
+  JOIN win ON win.n = p.n AND win.gram = p.gram),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s0, s0 + n - 1)) AS p FROM hit) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLES = {"op4_prefix_filter": OP4_SQL, "op5_content_sort": OP5_SQL}
