@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .html_text import extract_main_text
 from .packing import pack_documents
 from .token_files import token_table
 
@@ -19,6 +20,10 @@ def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"))
 
@@ -27,7 +32,7 @@ def op8_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_prefix_filter, op5_content_sort, op7_simple8b, op8_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp)}
 
 OP5_SQL = r"""
 WITH d AS (
