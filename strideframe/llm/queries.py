@@ -8,6 +8,7 @@ from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
+from .language_id import identify_languages
 from .packing import pack_documents
 from .pii import find_personal_data
 from .token_files import token_table
@@ -17,6 +18,10 @@ def op1_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +42,7 @@ def op8_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_deobfuscation, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_deobfuscation, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp)}
 
 OP5_SQL = r"""
 WITH d AS (
