@@ -12,6 +12,7 @@ from .language_id import identify_languages
 from .packing import pack_documents
 from .pii import find_personal_data
 from .token_files import token_table
+from .toxicity import score_toxicity
 
 
 def op1_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,11 @@ def op8_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_deobfuscation, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp)}
+def op9_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_deobfuscation, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp, op9_counterfactual)}
 
 OP5_SQL = r"""
 WITH d AS (
