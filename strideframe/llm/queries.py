@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .dart_minhash import near_duplicates
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
@@ -19,6 +20,10 @@ def op1_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op9_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_deobfuscation, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp, op9_counterfactual)}
+QUERIES = {f.__name__: f for f in (op1_deobfuscation, op2_dart_minhash, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp, op9_counterfactual)}
 
 OP5_SQL = r"""
 WITH d AS (
