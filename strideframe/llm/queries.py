@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import table
 from .dart_minhash import near_duplicates
 from .decontamination import contamination
@@ -12,6 +14,7 @@ from .html_text import extract_main_text
 from .language_id import identify_languages
 from .packing import pack_documents
 from .pii import find_personal_data
+from .repeats import remove_repeats
 from .token_files import token_table
 from .toxicity import score_toxicity
 
@@ -52,7 +55,11 @@ def op9_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_deobfuscation, op2_dart_minhash, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp, op9_counterfactual)}
+def op10_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_deobfuscation, op2_dart_minhash, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp, op9_counterfactual, op10_longest_previous_factor)}
 
 OP5_SQL = r"""
 WITH d AS (
@@ -93,4 +100,6 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+QUERIES["pipeline"] = lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir)
+
 ORACLES = {"op4_prefix_filter": OP4_SQL, "op5_content_sort": OP5_SQL}
