@@ -15,11 +15,18 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64], np.int64)
 ESCAPE = 15
 BLOCK = 512
+_BITS = np.concatenate([np.full(1 << max(0, i - 1), i, np.uint8) for i in range(17)])
 
 
 def _choices(values: np.ndarray, n_blocks: int, block: int) -> np.ndarray:
     """For each position the selector that takes most values from there; the end of a block fits any."""
-    bits = np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8) if values.max() < 1 << 50 else np.array([int(x).bit_length() for x in values], np.uint8)
+    if values.max() < 1 << 16:
+        bits = _BITS[values.astype(np.int32)]
+    else:
+        bits = np.zeros(len(values), np.uint8)
+        for shift in (48, 32, 16, 0):  # the highest 16 bits that are not zero decide
+            part = (values >> np.uint64(shift)).astype(np.uint64) & np.uint64(0xFFFF)
+            bits = np.where((bits == 0) & (part != 0), _BITS[part.astype(np.int32)] + np.uint8(shift), bits)
     rows = np.zeros((n_blocks, block + 64), np.uint8)
     flat = np.zeros(n_blocks * block, np.uint8)
     flat[: len(bits)] = bits
@@ -33,7 +40,7 @@ def _choices(values: np.ndarray, n_blocks: int, block: int) -> np.ndarray:
     for k in range(14, 0, -1):  # narrower selectors take more values, so later ones win
         c, p = int(COUNTS[k]), 1 << (int(COUNTS[k]).bit_length() - 1)
         most = np.maximum(widest[p][:, :block], widest[p][:, c - p : c - p + block])
-        np.putmask(choice, most <= WIDTHS[k], np.uint8(k))
+        choice[most <= np.uint8(WIDTHS[k])] = k
     return choice.reshape(-1)[: len(values)].astype(np.int64)
 
 
@@ -49,17 +56,15 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     taken = COUNTS[choice]
     at = np.arange(0, n, block)
     limit = index_end.copy()
-    firsts, owners = [], []
-    owner = np.arange(len(at))
+    taken_to = np.arange(n) + taken
+    chosen = np.zeros(n, bool)
     while len(at):
-        firsts.append(at)
-        owners.append(owner)
-        at = at + taken[at]
+        chosen[at] = True
+        at = taken_to[at]
         more = at < limit
-        at, limit, owner = at[more], limit[more], owner[more]
-    first, owner = np.concatenate(firsts), np.concatenate(owners)
-    order = np.argsort(first, kind="stable")
-    first, owner = first[order], owner[order]
+        at, limit = at[more], limit[more]
+    first = np.flatnonzero(chosen)
+    owner = first // block
     kind = choice[first]
     length = np.where(kind == ESCAPE, 2, 1)
     place = np.cumsum(length) - length
@@ -73,10 +78,14 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
             words[place[mine] + 1] = values[first[mine]]
             continue
         c = int(COUNTS[k])
-        spot = first[mine][:, None] + np.arange(c)
-        part = np.where(spot < stop[mine][:, None], padded[spot], np.uint64(0))
-        part <<= (np.arange(c, dtype=np.uint64) * np.uint64(WIDTHS[k]))[None, :]
-        words[place[mine]] = np.bitwise_or.reduce(part, axis=1) | (np.uint64(k) << np.uint64(60))
+        at, end = first[mine], stop[mine]
+        word = np.full(len(mine), np.uint64(k) << np.uint64(60))
+        for i in range(c):
+            value = padded[at + i]
+            if i:
+                value[at + i >= end] = 0
+            word |= value << np.uint64(i * int(WIDTHS[k]))
+        words[place[mine]] = word
     starts = place[np.searchsorted(owner, np.arange(owner[-1] + 1))]
     return words, starts.astype(np.uint32)
 
@@ -108,8 +117,8 @@ def decode(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLOCK) ->
             continue
         c = int(COUNTS[k])
         mask = np.uint64((1 << int(WIDTHS[k])) - 1)
-        part = (words[mine][:, None] >> (np.arange(c, dtype=np.uint64) * np.uint64(WIDTHS[k]))[None, :]) & mask
-        spot = at[mine][:, None] + np.arange(c)
-        good = spot < stop[mine][:, None]
-        out[spot[good]] = part[good]
+        word, to, end = words[mine], at[mine], stop[mine]
+        for i in range(c):
+            good = to + i < end
+            out[to[good] + i] = (word[good] >> np.uint64(i * int(WIDTHS[k]))) & mask
     return out[:n]
