@@ -30,9 +30,9 @@ LENGTH = 100
 GRAM = 36
 #: Different segments of one anchor that a task sorts together; beyond it the strings are grouped.
 LARGE_ANCHOR = 2_000
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 #: Bytes whose suffixes are sorted at a time.
-SUFFIX_BYTES = 3_000_000
+SUFFIX_BYTES = 2_000_000
 
 _U = np.uint64
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -82,7 +82,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     hashes = rolling.grams(gram)
     w = length - gram + 1
     # the place is in the low bits, so the least key is the least hash and, of equal ones, the leftmost
-    key = ((hashes >> _U(24)) << _U(24)) | np.arange(len(hashes), dtype=np.uint64)
+    key = ((hashes >> _U(32)) << _U(32)) | np.arange(len(hashes), dtype=np.uint64)
     low, p = key, 1
     while 2 * p <= w:
         low = np.minimum(low[:-p], low[p:])
@@ -94,7 +94,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     starts = np.flatnonzero(whole)
     if not len(starts):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    anchor = (low[starts] & _U(0xFFFFFF)).astype(np.int64)
+    anchor = (low[starts] & _U(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[starts[1:]] != owner[starts[:-1]])
     at = np.flatnonzero(new)

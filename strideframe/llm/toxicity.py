@@ -1,7 +1,7 @@
 """Toxicity with a counterfactually regularised classifier.
 
-A logistic model over the presence of words. Words are chosen by their chi-square with the label, counted
-by Spark over a bounded sample of labelled rows. For every training text that names a group, copies are
+A logistic model over the presence of words and of word beginnings (``stem*``). Those are chosen by their
+chi-square with the label, counted by Spark over a bounded sample of labelled rows. For every training text that names a group, copies are
 made in which the group's name is swapped for another of its kind and for a neutral noun; the squared
 change of the score between a text and its copies is penalised, so naming a group tells nothing.
 """
@@ -23,6 +23,10 @@ from .common import crc_mod, staged
 MAX_TRAIN, MAX_WORDS = 20_000, 5_000
 LEAST_DOCS, LEAST_CHI2 = 3, 15.0
 L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
+#: Lengths of the word beginnings that count beside the word itself.
+STEM_CHARS = range(5, 9)
+#: Words whose features a worker remembers; beyond it the memory starts anew.
+CACHE_WORDS = 300_000
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,6 +52,14 @@ def words_in(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
+def features_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in STEM_CHARS if len(word) > k)]
+
+
+def features_in(words: set[str]) -> set[str]:
+    return {f for w in words for f in features_of(w)}
+
+
 def counterfactuals(words: set[str]) -> list[set[str]]:
     """Copies of a text's words with its group names swapped: for another name of the kind, and for a neutral noun."""
     named = sorted(w for w in words if w in KIND_OF)
@@ -67,21 +79,24 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 64)
             words, labels = [], []
             for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                found = words_in(text)
+                found = features_in(words_in(text))
                 words += found
                 labels += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["word", "toxic"])
 
 
 def _feature_rows(index: dict[str, int]):
+    def numbers(words: set[str]) -> list[int]:
+        return sorted(index[f] for f in features_in(words) if f in index)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys, swaps = [], [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 found = words_in(text)
-                xs.append(sorted(index[w] for w in found if w in index))
+                xs.append(numbers(found))
                 ys.append(y)
-                swaps.append([sorted(index[w] for w in c if w in index) for c in counterfactuals(found)])
+                swaps.append([numbers(c) for c in counterfactuals(found)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.int32()), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["x", "y", "swaps"]
             )
@@ -142,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, penalty: float = COUNTERFACTUAL) ->
     c, k = F.col("c").cast("double"), F.col("k").cast("double")
     gap = k * (n - t) - (c - k) * t
     chi2 = n * gap * gap / (c * (n - c + 1e-9) * float(t) * float(n - t))
-    top = counts.filter(F.col("c") >= LEAST_DOCS).select("word", chi2.alias("chi2")).filter(F.col("chi2") >= LEAST_CHI2)
+    top = counts.filter((F.col("c") >= LEAST_DOCS) & (gap > 0)).select("word", chi2.alias("chi2")).filter(F.col("chi2") >= LEAST_CHI2)
     words = [r["word"] for r in top.orderBy(F.desc("chi2"), "word").limit(MAX_WORDS).collect()]
     index = {w: i for i, w in enumerate(words)}
     rows = sample.select("text", "toxic").mapInArrow(_feature_rows(index), "x array<int>, y int, swaps array<array<int>>").collect()
@@ -152,10 +167,24 @@ def fit(docs: DataFrame, labels: DataFrame, penalty: float = COUNTERFACTUAL) ->
     return {x: float(v) for x, v in zip(words, w)}, float(b)
 
 
-def toxicity_of(text: str | None, model: tuple[dict[str, float], float]) -> float:
-    weights, bias = model
-    total = bias + sum(sorted(weights[w] for w in words_in(text) if w in weights))
-    return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
+class Scorer:
+    """Scores texts by the features of a model; remembers which of them each word has."""
+
+    def __init__(self, model: tuple[dict[str, float], float]) -> None:
+        self.weights, self.bias = model
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def score(self, text: str | None) -> float:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        found: set[str] = set()
+        for w in words_in(text):
+            if (has := self.known.get(w)) is None:
+                has = self.known[w] = tuple(f for f in features_of(w) if f in self.weights)
+            if has:
+                found.update(has)
+        total = self.bias + sum(sorted(self.weights[f] for f in found))
+        return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: tuple[dict[str, float], float] | None = None) -> DataFrame:
@@ -168,8 +197,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: tuple[dict[str, fl
     model = model or fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for batch in batches:
-            scores = [toxicity_of(x, model) for x in batch.column("text").to_pylist()]
+            scores = [scorer.score(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(x >= THRESHOLD) for x in scores], pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted"],
