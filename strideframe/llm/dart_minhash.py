@@ -240,29 +240,33 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _open_pairs(in_band: DataFrame, measured: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """Pairs that share a band, lie in different classes so far, and may still be similar.
 
-    Jaccard distance is a metric, so two texts whose distances to the least text of their band differ by
-    more than 1 - threshold cannot be similar: only texts of near distances are joined.
+    Jaccard distance is a metric, so two texts whose distances to the pivot of their band differ by more
+    than 1 - threshold cannot be similar: only texts of near distances are joined, and of those only
+    texts of different classes.
     """
     slack = 1 - threshold + 1e-6
-    placed = in_band.join(
-        measured.select(F.col("a").alias("least"), F.col("b").alias("rep"), "similarity"), ["least", "rep"], "left"
-    ).select("band", "least", "rep", "n", F.when(F.col("rep") == F.col("least"), 0.0).otherwise(1 - F.col("similarity")).alias("d"))
-    placed = placed.withColumn("step", F.floor(F.col("d") / slack))
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    placed = (
+        in_band.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "similarity"), ["pivot", "rep"], "left")
+        .join(of("rep"), "rep", "left")
+        .select(
+            "band", "pivot", "rep", "n", F.coalesce("rep_root", "rep").alias("root"),
+            F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(1 - F.col("similarity")).alias("d"),
+        )
+        .withColumn("step", F.floor(F.col("d") / slack))
+    )
     apart = (
-        placed.filter(F.col("d") > 1 - threshold + 1e-9)
-        .join(of("rep"), "rep", "left").join(of("least"), "least", "left")
-        .select("band", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("d").alias("d_x"), "step", F.coalesce("rep_root", "rep").alias("root_x"), F.coalesce("least_root", "least").alias("least_root"))
-        .filter("root_x <> least_root").drop("least_root")
+        placed.filter(F.col("d") > 1 - threshold + 1e-9).join(of("pivot"), "pivot", "left")
+        .filter(F.col("root") != F.coalesce("pivot_root", "pivot"))
+        .select("band", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("d").alias("d_x"), "step", F.col("root").alias("root_x"))
     )
     reach = apart.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    met = reach.join(placed.select("band", "step", "rep", "n", "d"), ["band", "step"]).filter(
-        (F.col("x") != F.col("rep")) & (F.abs(F.col("d_x") - F.col("d")) <= slack) & (F.least("n", "n_x") >= threshold * F.greatest("n", "n_x") - 1e-9) & (F.col("d") > 0)
-    )
-    return (
-        met.join(of("rep"), "rep", "left").filter(F.col("root_x") != F.coalesce("rep_root", "rep"))
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    near = (F.abs(F.col("d_x") - F.col("d")) <= slack) & (F.least("n", "n_x") >= threshold * F.greatest("n", "n_x") - 1e-9)
+    met = reach.alias("r").join(
+        placed.filter("d > 0").select("band", "step", "rep", "n", "d", "root").alias("p"),
+        (F.col("r.band") == F.col("p.band")) & (F.col("r.step") == F.col("p.step")) & (F.col("root_x") != F.col("root")) & near,
     )
+    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "binary") -> DataFrame:
@@ -271,9 +275,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
     A class is a connected component of texts linked by a shingle similarity of ``threshold`` or more;
     class_id is its least doc_id, which alone is ``kept``. Texts without words (null and empty ones too)
     are classes of their own. Rows that share an id count as one document. Copies of one shingle set
-    stand as one text. Within a band every text is compared with the least id of the band; where classes
-    of one band are still apart, all their pairs that the triangle inequality allows are compared too,
-    so no link between texts that share a band is lost. An empty table gives an empty result; other
+    stand as one text. Within a band every text is compared with the band's pivot, the text that meets most
+    others in all of its bands; where classes of one band are still apart, all their pairs that the
+    triangle inequality allows are compared too, so no link between texts that share a band is lost. An empty table gives an empty result; other
     columns are ignored. ``weighting``: "binary" or "count" (a shingle weighs as often as it occurs) for
     the signatures.
     """
@@ -283,13 +287,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")
     ), "representatives")
     member = reps.select("rep", "n", F.explode("bands").alias("band"))
-    crowded = member.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("band", "least")
-    in_band = staged(member.join(crowded, "band").select("band", "rep", "n", "least"), "band-members")
+    crowded = member.groupBy("band").agg(F.count("*").alias("met")).filter("met > 1")
+    in_crowd = staged(member.join(crowded, "band"), "crowded-bands")
+    meets = in_crowd.groupBy("rep").agg(F.sum("met").alias("meets"))
+    pivots = in_crowd.join(meets, "rep").groupBy("band").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("pivot"))
+    in_band = staged(in_crowd.select("band", "rep", "n").join(pivots, "band"), "band-members")
     ids = in_band.select(F.col("rep").alias("doc_id")).distinct()
     n_ids = ids.count()
     wanted = _texts(docs).join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = staged(wanted.mapInArrow(_sets, "doc_id long, shingles array<int>"), "shingle-sets")
-    pairs = in_band.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = in_band.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     measured = staged(_measure(pairs, sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "measured")
     linked = F.col("similarity") >= threshold - 1e-9
     links = measured.filter(linked).select("a", "b")
