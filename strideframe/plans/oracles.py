@@ -1 +1,96 @@
-ORACLES = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+SIGNAL = """s AS (
+  SELECT user_id AS clip_key, 'user_' || lpad(user_id::VARCHAR, 5, '0') AS clip_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, event_id AS frame_number, 30.0::DOUBLE AS fps,
+         user_id % 10 = 0 AS is_reference, CASE WHEN user_id % 20 = 0 THEN 'relevant' ELSE 'irrelevant' END AS category, event_type, value
+  FROM events)"""
+
+HIERARCHY = """h AS (
+  SELECT n_name AS school, c_custkey AS participant, o_orderkey AS recording,
+         s1, s2, s3, s4, s5, s6, s7, s1 + s2 + s3 + s4 + s5 + s6 + s7 AS completed
+  FROM (SELECT o_orderkey, o_custkey, """ + ", ".join(f"coalesce(max(CASE WHEN l_linenumber = {k} THEN 1 ELSE 0 END), 0)::INT AS s{k}" for k in range(1, 8)) + """
+        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey)
+  JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
+
+WINDOWS = SIGNAL + """,
+  clips AS (SELECT clip_key, count(*) AS t, any_value(is_reference) AS is_reference FROM s GROUP BY clip_key),
+  size AS (SELECT greatest(2, round_even(greatest(2, round_even(avg(t / 30.0) * 30, 0)) / 4, 0))::INT AS w FROM clips WHERE is_reference),
+  placed AS (
+    SELECT clip_key, is_reference, CASE WHEN is_reference THEN t ELSE least(t, w) END AS n,
+           CASE WHEN is_reference THEN 1073741824 ELSE greatest(1, round_even(w * 0.5, 0)::INT) END AS step, t FROM clips, size),
+  wins AS (SELECT clip_key, n, step, unnest(generate_series(0, (t - n) // step)) AS window_index FROM placed),
+  feats AS (
+    SELECT clip_key, clip_id, is_reference, window_index, window_index * step AS window_start_frame, n AS n_frames,
+           CASE WHEN count(value) >= greatest(2, 0.5 * n) THEN avg(value) END AS value_mean,
+           CASE WHEN count(value) >= greatest(2, 0.5 * n) THEN stddev_pop(value) END AS value_std
+    FROM wins JOIN s USING (clip_key) WHERE frame_index >= window_index * step AND frame_index < window_index * step + n
+    GROUP BY clip_key, clip_id, is_reference, window_index, step, n),
+  whole AS (SELECT * FROM feats WHERE value_mean IS NOT NULL AND value_std IS NOT NULL)"""
+
+
+def _median(before: int, after: int) -> str:
+    frame = f"PARTITION BY clip_key ORDER BY frame_index ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING"
+    return f"round(CASE WHEN value IS NOT NULL THEN quantile_cont(value, 0.5) OVER ({frame}) END, 6) AS smoothed"
+
+
+def _normalised(f: str) -> str:
+    own = "NOT is_reference AND count(*) OVER c > 1"
+    mean = f"CASE WHEN {own} THEN avg({f}) OVER c ELSE avg({f}) OVER k END"
+    std = f"CASE WHEN {own} THEN coalesce(nullif(stddev_pop({f}) OVER c, 0), stddev_pop({f}) OVER k) ELSE stddev_pop({f}) OVER k END"
+    return f"round(coalesce(({f} - {mean}) / nullif({std}, 0), 0), 4) + 0 AS {f}"
+
+
+_NO_ERRORS = ", m AS (SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN value END AS value) FROM s)"
+_SOURCE = "(SELECT strftime(ts, '%Y-%m-%d %H') AS frame, arg_min(value, event_id) FILTER (value IS NOT NULL) AS v FROM events WHERE event_type = '{}' GROUP BY 1)"
+
+ORACLES = {
+    "merge_sources": f"""SELECT frame, round(b.v, 6) AS body_value, round(f.v, 6) AS full_body_value, round(h.v, 6) AS hand_value, round(coalesce(b.v, f.v, h.v), 6) AS value
+        FROM {_SOURCE.format("click")} b FULL JOIN {_SOURCE.format("view")} f USING (frame) FULL JOIN {_SOURCE.format("purchase")} h USING (frame)""",
+    "smooth_centered": f"WITH {SIGNAL}{_NO_ERRORS} SELECT clip_key, frame_number, {_median(2, 2)} FROM m",
+    "smooth_asymmetric": f"WITH {SIGNAL} SELECT clip_key, frame_number, {_median(5, 4)} FROM s",
+    "gap_interpolation": f"""WITH {SIGNAL}, g AS (
+          SELECT *, last_value(CASE WHEN event_type <> 'error' THEN {{'i': frame_index, 'v': value}} END IGNORE NULLS) OVER (PARTITION BY clip_key ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+                 first_value(CASE WHEN event_type <> 'error' THEN {{'i': frame_index, 'v': value}} END IGNORE NULLS) OVER (PARTITION BY clip_key ORDER BY frame_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM s)
+        SELECT clip_key, frame_number, round(CASE WHEN event_type = 'error' THEN a.v + (b.v - a.v) * (frame_index - a.i) / (b.i - a.i) ELSE value END, 6) AS filled FROM g""",
+    "locf": f"""WITH {SIGNAL}{_NO_ERRORS} SELECT clip_key, frame_number,
+        round(last_value(value IGNORE NULLS) OVER (PARTITION BY clip_key ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS carried FROM m""",
+    "midpoint_window": f"""WITH {SIGNAL}, n AS (SELECT *, count(*) OVER (PARTITION BY clip_key) AS n FROM s)
+        SELECT clip_key, frame_index::INT AS frame_index, frame_index - (n - 10) // 2 = 5 AS is_middle FROM n
+        WHERE n >= 10 AND frame_index >= (n - 10) // 2 AND frame_index < (n - 10) // 2 + 10""",
+    "reference_length_table": f"""WITH {SIGNAL}, c AS (SELECT clip_id, category, count(*) AS n_frames, max(fps) AS fps FROM s WHERE is_reference GROUP BY ALL)
+        SELECT clip_id, category, n_frames, fps, round(n_frames / fps, 6) AS duration_s, round(n_frames - avg(n_frames) OVER (), 6) AS diff_from_mean_frames,
+               round(n_frames / fps - avg(n_frames / fps) OVER (), 6) AS diff_from_mean_s FROM c""",
+    "window_size": f"WITH {SIGNAL} SELECT 30.0::DOUBLE AS fps, greatest(2, round_even(avg(n / 30.0) * 30, 0))::INT AS window_frames FROM (SELECT count(*) AS n FROM s WHERE is_reference GROUP BY clip_key)",
+    "sliding_window_features": f"""WITH {WINDOWS} SELECT clip_key, clip_id, is_reference, window_index::INT AS window_index, window_start_frame::INT AS window_start_frame, n_frames,
+        round(value_mean, 6) AS value_mean, round(value_std, 6) AS value_std FROM feats""",
+    "normalize_per_clip": f"""WITH {WINDOWS} SELECT clip_id, is_reference, window_index::INT AS window_index, {_normalised("value_mean")}, {_normalised("value_std")} FROM whole
+        WINDOW c AS (PARTITION BY is_reference, clip_id), k AS (PARTITION BY is_reference)""",
+    "standard_scaler": f"""WITH {WINDOWS} SELECT clip_id, window_index::INT AS window_index, """ + ", ".join(
+        f"round(({f} - avg({f}) OVER ()) / coalesce(nullif(stddev_pop({f}) OVER (), 0), 1), 4) + 0 AS {f}" for f in ("value_mean", "value_std")) + " FROM whole",
+    "knn_reference_windows": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS u, embedding[2]::DOUBLE AS v FROM embeddings),
+        d AS (SELECT q.vec_id AS query_id, w.vec_id AS window_index, sqrt((q.u - w.u) ** 2 + (q.v - w.v) ** 2) AS distance FROM p q, p w WHERE q.vec_id % 100 = 0 AND w.vec_id % 100 <> 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, window_index) AS rank FROM d)
+        SELECT query_id, window_index, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 10""",
+    "channel_zscore": f"""WITH {SIGNAL}, r AS (SELECT coalesce(avg(value), 0) AS m, CASE WHEN stddev_pop(value) > 1e-6 THEN stddev_pop(value) ELSE 1 END AS d FROM s WHERE clip_id = 'user_00010' AND is_reference)
+        SELECT clip_key, frame_number, round(coalesce((value - m) / d, 0), 5) + 0 AS value FROM s, r""",
+    "match_overlay_progress": f"""WITH {SIGNAL} SELECT 'user_00010' AS reference_id, clip_key, frame_index::INT AS frame_index, round((frame_index - 3) / 11, 6) AS progress, round(value, 6) AS value
+        FROM s WHERE NOT is_reference AND frame_index BETWEEN 3 AND 14""",
+    "depth_delta_roundtrip": f"""WITH {SIGNAL}, r AS (SELECT *, ((floor(value * 1000)::BIGINT + 32768) % 65536 + 65536) % 65536 - 32768 AS raw FROM s)
+        SELECT clip_key, frame_number, raw, ((raw - coalesce(lag(raw) OVER (PARTITION BY clip_key ORDER BY frame_index), 0) + 32768) % 65536 + 65536) % 65536 - 32768 AS delta, raw AS decoded FROM r""",
+    "axis_limits": "SELECT axis, round(lo - (hi - lo) * 0.08, 6) AS low, round(hi + (hi - lo) * 0.08, 6) AS high FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS axis, quantile_cont(embedding[{i}]::DOUBLE, 0.01) AS lo, quantile_cont(embedding[{i}]::DOUBLE, 0.99) AS hi FROM embeddings" for a, i in (("u", 1), ("v", 2))) + ")",
+    "progress_stages": f"WITH {HIERARCHY} SELECT * FROM h",
+    "progress_rollup": f"""WITH {HIERARCHY} SELECT school, participant, grouping(school, participant)::INT AS level, count(*) AS recordings, count(*) FILTER (completed = 7) AS fully_complete,
+        round(100.0 * count(*) FILTER (completed = 7) / count(*), 6) AS percent_complete, """ + ", ".join(f"sum(s{k})::BIGINT AS s{k}_done" for k in range(1, 8)) + " FROM h GROUP BY ROLLUP (school, participant)",
+    "progress_totals": f"WITH {HIERARCHY} SELECT count(DISTINCT school) AS schools, count(DISTINCT (school, participant)) AS participants, count(*) AS recordings FROM h",
+    "progress_missing_stage": f"""WITH {HIERARCHY} SELECT school, participant, recording, completed FROM h
+        WHERE contains(lower(school || ' ' || participant || ' ' || recording), 'an') AND completed <> 7 AND s3 = 0""",
+    "reference_ids": f"WITH {SIGNAL} SELECT category, clip_id, (row_number() OVER (ORDER BY category, clip_id))::INT AS reference_number FROM (SELECT DISTINCT category, clip_id FROM s WHERE is_reference)",
+    "participant_palette_rank": f"""WITH {HIERARCHY}, p AS (SELECT DISTINCT school, participant FROM h)
+        SELECT school, participant, ((dense_rank() OVER (ORDER BY school) - 1) % 6)::INT AS hue,
+               round(0.30 + 0.42 * CASE WHEN count(*) OVER (PARTITION BY school) = 1 THEN 0.5 ELSE percent_rank() OVER (PARTITION BY school ORDER BY participant) END, 6) AS lightness FROM p""",
+    "stale_runs_antijoin": f"WITH {HIERARCHY} SELECT recording, completed FROM h WHERE s7 <> 1",
+    "unknown_references": f"WITH {SIGNAL} SELECT DISTINCT clip_id FROM s WHERE NOT is_reference",
+    "props_field": "SELECT event_type, sum((props ->> '$.k')::BIGINT)::BIGINT AS sum_k, count(*) AS n FROM events GROUP BY event_type",
+}

@@ -40,7 +40,9 @@ def nanmean_rowwise(spark: SparkSession, d: str) -> DataFrame:
 
 def _signals(spark: SparkSession, d: str, layout) -> DataFrame:
     frames = adapters.pose_2d(spark, d) if layout.dims == 2 else adapters.pose_3d(spark, d)
-    return signals.frame_signals(frames, layout)
+    # several consumers read the signals, and the cached relation keeps their generated code small;
+    # it spills to disk and is made anew from its inputs if an executor goes
+    return signals.frame_signals(frames, layout).persist()
 
 
 def frame_signals_2d(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +112,7 @@ def sliding_window_features(spark: SparkSession, d: str) -> DataFrame:
 def _pose_features(spark: SparkSession, d: str) -> DataFrame:
     s = _signals(spark, d, SMALL_2D)
     sizes = features.window_sizes(s).select("fps", F.greatest(F.lit(2), F.bround(F.col("window_frames") / 4).cast("int")).alias("window_frames"))
-    return features.feature_table(s, signal_names(2), ["clip_key", "clip_id", "is_reference"], sizes)
+    return features.feature_table(s, signal_names(2), ["clip_key", "clip_id", "is_reference"], sizes).persist()
 
 
 def pose_window_features(spark: SparkSession, d: str) -> DataFrame:
