@@ -205,27 +205,29 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (a, b): root is the least id of its component.
 
-    Each round hooks every node to the least root seen across its edges and then to that root's root;
-    only short rows move, and the number of rounds grows with the logarithm of a component's width.
+    Alternates large-star and small-star: a node links its greater neighbours, then its lesser ones, to the
+    least node it knows. Both keep components whole, and links only move to lesser nodes. It ends when the
+    links are stars, however many rounds that takes, and only short rows move.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
-    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
-    for _ in range(rounds):
-        seen = both.join(roots, both["b"] == roots["node"]).select(F.col("a").alias("node"), "root")
-        low = seen.union(roots.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
-        above = roots.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
-        jumped = staged(
-            low.join(above, low["root"] == above["up"], "left").select("node", F.least("root", F.coalesce("up_root", "root")).alias("root")), "roots"
-        )
-        total = F.sum(F.col("root").cast("decimal(38,0)"))
-        changed = jumped.agg(total).first()[0] != roots.agg(total).first()[0]
-        roots = jumped
-        if not changed:
-            break
-    return roots
+    down = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    nodes = edges.select("a").union(edges.select("b")).distinct()
+    while not _are_stars(down):
+        both = down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = staged(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "links")
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        down = staged(small.union(least).distinct(), "links")
+    return nodes.join(down, nodes["a"] == down["a"], "left").select(nodes["a"].alias("node"), F.coalesce("b", nodes["a"]).alias("root"))
+
+
+def _are_stars(down: DataFrame) -> bool:
+    """Whether each node of the links (a, b), a > b, has one lesser neighbour, which has none itself."""
+    n = down.agg(F.count("*"), F.countDistinct("a")).first()
+    return n[0] == n[1] and down.join(down.select(F.col("a").alias("up")), F.col("b") == F.col("up"), "left_semi").isEmpty()
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
