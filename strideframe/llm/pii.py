@@ -234,7 +234,11 @@ def deobfuscated(text: str) -> Mapped | None:
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, base and disguised spans), each by start, then kind."""
+    """(base spans, base and disguised spans), each by start, then kind.
+
+    A disguised span is left out only where a base span of its kind covers it: a base span is often a
+    fragment of the disguised identifier.
+    """
     base = base_spans(text)
     out = deobfuscated(text)
     if out is None:
@@ -242,7 +246,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     more = []
     for a, kind, b in base_spans(out.text):
         s, e = out.source(a, b)
-        if text[s:e] != out.text[a:b] and not any(k == kind and x < e and s < y for x, k, y in base):
+        if text[s:e] != out.text[a:b] and not any(k == kind and x <= s and e <= y for x, k, y in base):
             more.append((s, kind, e))
     return base, sorted({*base, *more})
 
@@ -277,10 +281,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str, mask: str = "[{}]") -> str:
-    """The text with every span, disguised ones too, replaced by its kind."""
+    """The text with every span, disguised ones too, replaced by its kind; overlapping spans go as one, named for the longest."""
     out, at = [], 0
+    merged: list[tuple[int, int, int, int]] = []
     for a, k, b in all_spans(text)[1]:
-        if a >= at:
-            out += [text[at:a], mask.format(KINDS[k].upper())]
-            at = b
+        if merged and a < merged[-1][2]:
+            start, kind, end, longest = merged[-1]
+            merged[-1] = (start, k if b - a > longest else kind, max(end, b), max(longest, b - a))
+        else:
+            merged.append((a, k, b, b - a))
+    for a, k, b, _ in merged:
+        out += [text[at:a], mask.format(KINDS[k].upper())]
+        at = b
     return "".join([*out, text[at:]])

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from strideframe.llm import pii
 from strideframe.llm.dart_minhash import components, near_duplicates
 
 from . import brute
@@ -23,3 +26,13 @@ def test_a_shuffled_chain_of_edits_is_one_class(spark):
     got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == brute.near_classes(texts) == dict.fromkeys(range(n), 0)
     assert {r["class_size"] for r in got} == {n} and sum(r["kept"] for r in got) == 1
+
+
+@pytest.mark.parametrize("address", [
+    "j\u043ehn.smith@example.com", "john@example.c\u043em", "jo\u200bhn.smith@example.com", "john@exam\u200bple.com", "bob@mail.example [dot] com",
+])
+def test_a_disguised_address_is_found_whole(address):
+    text = f"Write to {address} today."
+    base, every = pii.all_spans(text)
+    assert (9, 0, 9 + len(address)) in every and set(base) <= set(every)
+    assert pii.redact(text) == "Write to [EMAIL] today."
