@@ -3,8 +3,9 @@
 A page is cut into blocks. For every root-to-leaf path of block elements, text length and punctuation
 are summed and divided by the number of its nodes; both series are smoothed along the page, fused by
 their product and weighed down by the share of link text. Paths above the threshold are content nodes.
-The element that holds most of their text is the article: its blocks are kept, except those below
-elements that are page furniture by tag, role or class.
+Their blocks are kept wherever they lie, with the headings between them, and so are the other blocks of the
+element that holds most of their text. Blocks below elements that are page furniture by tag, role or class
+are left out before, unless the element holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -52,16 +53,20 @@ FURNITURE_WORDS = set(
 WORD = re.compile(r"[a-z]+")
 #: A path is content from this share of the best fused ratio on.
 THRESHOLD = 0.1
+#: A furniture mark on an element with more than the first share of the page's text without links is ignored, unless
+#: unmarked text of an article or main element has the second share.
+MOST, OWN_ARTICLE = 0.5, 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "path", "bad", "parent", "inside", "number")
+    __slots__ = ("tag", "path", "marks", "parent", "inside", "number")
 
-    def __init__(self, tag: str, key: str, bad: bool, parent: _Node | None, number: int) -> None:
+    def __init__(self, tag: str, key: str, marked: bool, parent: _Node | None, number: int) -> None:
         self.tag, self.parent, self.number = tag, parent, number
         self.path = f"{parent.path}/{key}" if parent else key
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
-        self.bad = bad or bool(parent and parent.bad)
+        #: numbers of the elements marked as furniture, from the root to this one
+        self.marks: tuple[int, ...] = (parent.marks if parent else ()) + ((number,) if marked else ())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -166,8 +171,22 @@ def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
     return found
 
 
+def _without_furniture(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    total, own = 0, 0
+    held: dict[int, int] = {}
+    for node, text, n_link in blocks:
+        n = len(text) - n_link
+        total += n
+        if node.inside and not node.marks:
+            own += n
+        for mark in node.marks:
+            held[mark] = held.get(mark, 0) + n
+    ignored = {mark for mark, n in held.items() if n > MOST * total} if own < OWN_ARTICLE * total else set()
+    return [b for b in blocks if ignored.issuperset(b[0].marks)]
+
+
 def main_text(page: str) -> str:
-    blocks = [b for b in blocks_of(page) if not b[0].bad]
+    blocks = _without_furniture(blocks_of(page))
     if not blocks:
         return ""
     order: dict[str, int] = {}
@@ -205,16 +224,19 @@ def main_text(page: str) -> str:
     articles = {x.number for x in elements.values() if x.tag == "article" and not (x.parent and x.parent.inside and x.parent.tag == "article")}
     while best.tag in HEADINGS or best.tag in ("p", "li", "td", "pre", "blockquote", "dd"):
         best = best.parent or best
-    out = []
+    kept = []
     for node, text, n_link in blocks:
         up, held, header = node, False, False
         while up is not None:
             held |= up.number == best.number or up.number in articles and best.tag not in ("article", "main")
             header |= up.tag == "header"
             up = up.parent
-        if held and not (header and node.tag not in HEADINGS) and not (n_link > 0.6 * len(text) and node.path not in content and node.tag in ("li", "div", "ul", "td")):
-            out.append(text)
-    return "\n".join(out)
+        plain = node.path in content or not (n_link > 0.6 * len(text) and node.tag in ("li", "div", "ul", "td"))
+        kept.append(node.path in content or held and plain and not (header and node.tag not in HEADINGS))
+    first, last = kept.index(True), len(kept) - kept[::-1].index(True)
+    while first and blocks[first - 1][0].tag in HEADINGS:
+        first -= 1
+    return "\n".join(text for i, (node, text, _) in enumerate(blocks) if kept[i] or first <= i < last and node.tag in HEADINGS)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

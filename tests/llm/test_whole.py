@@ -6,6 +6,7 @@ import pytest
 
 from strideframe.llm import pii
 from strideframe.llm.dart_minhash import components, near_duplicates
+from strideframe.llm.html_text import main_text
 
 from . import brute
 
@@ -36,3 +37,28 @@ def test_a_disguised_address_is_found_whole(address):
     base, every = pii.all_spans(text)
     assert (9, 0, 9 + len(address)) in every and set(base) <= set(every)
     assert pii.redact(text) == "Write to [EMAIL] today."
+
+
+def prose(word, n):
+    return " ".join(f"The {word} of row {i}, it seems, goes on." for i in range(n))
+
+
+def test_every_section_of_a_page_is_given_out():
+    one, two, intro = ([prose(word, 5)] * n for word, n in (("tide", 13), ("moon", 4), ("sea", 3)))
+    p = lambda texts: "".join(f"<p>{x}</p>" for x in texts)
+    page = f"<body><div class=page>{p(intro)}<div class=one><h2>One</h2>{p(one)}</div><div class=two><h2>Two</h2>{p(two)}</div></div></body>"
+    assert main_text(page) == "\n".join([*intro, "One", *one, "Two", *two])
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<form id=aspnetForm>", "</form>"), ("<div class='site has-sidebar'>", "</div>"), ("<form><div class='has-header'>", "</div></form>"),
+])
+def test_a_marked_wrapper_does_not_hide_the_page(start, end):
+    text = prose("tide", 20)
+    page = f"<body>{start}<div class=nav><a href=x>Home</a></div><div class=body><h1>Title</h1><p>{text}</p></div><div class=comments><p>Well said, I think.</p></div>{end}</body>"
+    assert main_text(page) == f"Title\n{text}"
+
+
+def test_long_comments_stay_out_beside_an_article():
+    text = prose("tide", 10)
+    assert main_text(f"<body><main><article><p>{text}</p></article><div class=comments><p>{prose('reader', 20)}</p></div></main></body>") == text
