@@ -3,7 +3,8 @@
 The library encodes every distinct word; a text is put together from its words' ids. A text is cut
 only at a single space or newline between two characters that are not white space, where the
 vocabularies' own splitting always cuts, so the ids equal those of the whole text. A text with any
-other white space at a cut is encoded whole.
+other white space at a cut is encoded whole, and so is a text with the string of an added token, which
+the library recognises in text.
 """
 
 from __future__ import annotations
@@ -39,9 +40,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         vocab = self.lib.get_vocab()
         self.lower = "the</w>" in vocab
+        added = [x.content for x in self.lib.get_added_tokens_decoder().values()]
+        self.added = [x.lower() if self.lower else x for x in added]
         width = max(vocab.values()) + 1
         self.n_bytes, self.ends = np.zeros(width, np.int64), np.zeros(width, bool)
         for word, i in vocab.items():
@@ -60,8 +62,12 @@ class WordEncoder:
         if self.lower:
             if "Σ" in text or "\1" in text:
                 return None
-            return [x for x in text.lower().replace("\n", " ").split(" ") if x]
-        return None if "\0" in text or "\1" in text else ("\0" + text.replace("\n", " \n")).split(" ")
+            low = text.lower()
+            return None if self._has_added(low) else [x for x in low.replace("\n", " ").split(" ") if x]
+        return None if "\0" in text or "\1" in text or self._has_added(text) else ("\0" + text.replace("\n", " \n")).split(" ")
+
+    def _has_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
 
     def _safe(self, piece: str) -> bool:
         """Whether the cuts on both sides of a piece are where the vocabulary cuts too."""

@@ -1,12 +1,18 @@
 """Inputs on which an operator once did less than the whole job."""
 
 import random
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from strideframe.llm import pii
 from strideframe.llm.dart_minhash import components, near_duplicates
 from strideframe.llm.html_text import main_text
+from strideframe.llm.packing import pack_documents
+from strideframe.llm.token_files import token_table
 
 from . import brute
 
@@ -62,3 +68,27 @@ def test_a_marked_wrapper_does_not_hide_the_page(start, end):
 def test_long_comments_stay_out_beside_an_article():
     text = prose("tide", 10)
     assert main_text(f"<body><main><article><p>{text}</p></article><div class=comments><p>{prose('reader', 20)}</p></div></main></body>") == text
+
+
+LITERALS = [
+    "one<|endoftext|>two", "plain words.", "<|startoftext|> a b <|endoftext|>", "A <|ENDOFTEXT|> b", "line\n<|endoftext|>\nline", "<|endoftext|", "more plain words",
+]
+
+
+def ids(name, text):
+    return np.array([*Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids, 2], "<u4")
+
+
+def test_added_tokens_in_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id long, text string")
+    start = 0
+    for r in sorted(token_table(docs).collect(), key=lambda r: r["doc_id"]):
+        want = ids("byte_bpe_50k.json", LITERALS[r["doc_id"]])
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    pieces = pack_documents(docs).collect()
+    assert {r["doc_id"] for r in pieces} == set(range(len(LITERALS)))
+    for r in pieces:
+        want = ids("word_bpe_49k.json", LITERALS[r["doc_id"]])
+        assert r["doc_tokens"] == len(want)
+        assert r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes())
