@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,8 +10,9 @@ from pyspark.sql import functions as F
 STD_FLOOR = 1e-6
 #: Candidate lengths as shares of the reference's length.
 LENGTH_FACTORS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
-#: Reference samples that may be broadcast to every task.
-MAX_REFERENCE_VALUES = 4_000_000
+#: Starts of a window block at least, and about how many values of references and of clips meet in one group.
+BLOCK_STARTS = 256
+GROUP_VALUES = 400_000
 
 
 def nearest_windows(queries: DataFrame, windows: DataFrame, axes: list[str], k: int = 10) -> DataFrame:
@@ -71,7 +70,6 @@ def closed_dtw(query: np.ndarray, windows: np.ndarray, weights: np.ndarray) -> n
     """Cost of warping ``query`` (m, c) onto each of ``windows`` (n, l, c), both ends fixed, by anti-diagonals."""
     n, length = windows.shape[:2]
     m = len(query)
-    local = np.sqrt((weights * (query[None, :, None, :] - windows[:, None, :, :]) ** 2).sum(axis=3))
     inf = np.full((n, m + 1), np.inf)
     before, last = inf.copy(), inf.copy()  # diagonals d - 2 and d - 1; column i + 1 holds row i
     for d in range(m + length - 1):
@@ -80,19 +78,27 @@ def closed_dtw(query: np.ndarray, windows: np.ndarray, weights: np.ndarray) -> n
         best = np.minimum(np.minimum(last[:, i + 1], last[:, i]), before[:, i])
         if d == 0:
             best[:] = 0.0
-        now[:, i + 1] = local[:, i, d - i] + best
+        now[:, i + 1] = np.sqrt((weights * (query[None, i] - windows[:, d - i]) ** 2).sum(axis=2)) + best
         before, last = last, now
     return last[:, m]
 
 
-def best_matches(query: np.ndarray, series: list[np.ndarray], weights: np.ndarray, block: int = 256) -> list[tuple[int, int, float] | None]:
-    """For each series the best (start, length, cost per step); ties go to the shorter, then the earlier window."""
+def best_matches(
+    query: np.ndarray, series: list[np.ndarray], weights: np.ndarray, block: int = 256, firsts: list[int] | None = None, starts: int | None = None
+) -> list[tuple[int, int, float] | None]:
+    """For each series the best (start, length, cost per step); ties go to the shorter, then the earlier window.
+
+    A series may be part of a longer one: it begins at frame ``firsts[k]`` of it, and windows begin in its first ``starts`` frames.
+    """
     m = len(query)
     lengths = sorted({max(2, round(m * f)) for f in LENGTH_FACTORS})
     stride = max(1, m // 5)
     best: list[tuple[int, int, float] | None] = [None] * len(series)
     for length in lengths:
-        spots = [(k, s) for k, x in enumerate(series) for s in range(0, len(x) - length + 1, stride)]
+        spots = [
+            (k, s) for k, x in enumerate(series)
+            for s in range(-(firsts[k] if firsts else 0) % stride, min(len(x) - length + 1, starts or len(x)), stride)
+        ]
         for lo in range(0, len(spots), block):
             part = spots[lo : lo + block]
             costs = closed_dtw(query, np.stack([series[k][s : s + length] for k, s in part]), weights) / (m + length)
@@ -106,45 +112,74 @@ MATCH = "reference_id string, clip_key long, clip_id string, start long, window_
 
 
 def dtw_matches(signals: DataFrame, channels: list[str], references: list[str] | None = None) -> DataFrame:
-    """The best window of every clip that is not a reference, for each reference.
+    """The best window of every clip that is not a reference, for each reference; frame_index counts a clip's frames from 0.
 
-    Signals of a clip meet in one row (a recording); clips spread over the tasks, and the references,
-    whose total size is checked, go to every task.
+    References of like length make a class. For each class the clips are cut into overlapping window
+    blocks, and groups of blocks meet groups of references, each of about GROUP_VALUES values; a group is
+    larger only where one reference, or one block of a few times its length, is. The best windows of the
+    blocks are then reduced to one of each reference and clip.
     """
     chosen = signals.filter("is_reference")
     if references is not None:
         chosen = chosen.filter(F.col("clip_id").isin(references))
-    stats = channel_stats(chosen.withColumn("is_reference", F.lit(True)), channels)
-    weights = channel_weights(signals, channels)
     values = F.array(*[F.col(c).cast("double") for c in channels])
-    rows = F.array_sort(F.collect_list(F.struct("frame_index", "frame_number", values.alias("v"))))
-    size = chosen.count() * len(channels)
-    if size > MAX_REFERENCE_VALUES:
-        raise ValueError(f"{size} reference values are more than {MAX_REFERENCE_VALUES}; match fewer references at a time")
-    series = {r["clip_id"]: r["rows"] for r in chosen.groupBy("clip_id").agg(rows.alias("rows")).collect()}
-    stat = {(r["clip_id"], r["channel"]): (r["mean"], r["std"]) for r in stats.collect()}
-    weight = {(r["clip_id"], r["channel"]): r["weight"] for r in weights.filter(F.col("clip_id").isin(list(series))).collect()}
-
-    def scaled(rows, ref: str) -> np.ndarray:
-        x = np.array([[np.nan if v is None else v for v in r["v"]] for r in rows], float).reshape(len(rows), len(channels))
-        mean, std = (np.array([stat[ref, c][i] for c in channels]) for i in (0, 1))
-        return np.nan_to_num((x - mean) / std, nan=0.0)
-
-    queries = {ref: (scaled(rows, ref), np.array([weight[ref, c] for c in channels])) for ref, rows in series.items()}
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            clips = [(k, c, rows) for k, c, rows in zip(pdf["clip_key"], pdf["clip_id"], pdf["rows"])]
-            for ref, (query, w) in queries.items():
-                for (key, clip, rows), hit in zip(clips, best_matches(query, [scaled(rows, ref) for _, _, rows in clips], w)):
+    scale = channel_stats(chosen, channels).join(channel_weights(signals, channels), ["clip_id", "channel"]).groupBy("clip_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mean", "std", "weight")))).alias("of")
+    ).select("clip_id", *[F.array(*[F.col("of")[c][x] for c in channels]).alias(x) for x in ("mean", "std", "weight")])
+    sizes = chosen.groupBy("clip_id").agg(F.count("*").alias("m")).withColumn("longest", F.expr("shiftleft(1L, length(bin(m - 1)))"))
+    clips = signals.filter("not is_reference")
+    n_values = clips.count() * len(channels)
+    classes = []
+    for r in sizes.groupBy("longest").agg(F.sum("m").alias("frames")).collect():  # one row a power of two
+        starts = max(BLOCK_STARTS, r["longest"])
+        copies = 1 + 2 * r["longest"] / starts
+        classes.append((r["longest"], starts, 1 + r["frames"] * len(channels) // GROUP_VALUES, 1 + int(n_values * copies) // GROUP_VALUES))
+    known = signals.sparkSession.createDataFrame(classes, "longest long, starts long, n_refs long, n_clips long")
+    wide = (
+        chosen.select(F.col("clip_id"), "frame_index", values.alias("v")).join(sizes.select("clip_id", "longest"), "clip_id").join(scale, "clip_id")
+        .join(F.broadcast(known), "longest")
+        .select(
+            "longest", F.pmod(F.xxhash64("clip_id"), "n_refs").alias("ref_group"), F.explode(F.expr("sequence(0L, n_clips - 1)")).alias("clip_group"),
+            F.col("clip_id").alias("reference_id"), "frame_index", "v", "mean", "std", "weight",
+        )
+    )
+    block = F.explode(F.expr("sequence(greatest(0L, cast(floor((frame_index - starts - 2 * longest) / starts) as long) + 1), cast(floor(frame_index / starts) as long))"))
+    blocks = (
+        clips.select("clip_key", "clip_id", "frame_index", "frame_number", values.alias("v")).crossJoin(F.broadcast(known)).withColumn("block", block)
+        .select(
+            "longest", F.explode(F.expr("sequence(0L, n_refs - 1)")).alias("ref_group"), F.pmod(F.xxhash64("clip_key", "block"), "n_clips").alias("clip_group"),
+            F.col("clip_key").cast("long").alias("clip_key"), "clip_id", F.col("frame_index").cast("long").alias("frame_index"),
+            F.col("frame_number").cast("long").alias("frame_number"), "v", "starts", (F.col("block") * F.col("starts")).alias("first"),
+        )
+    )
+
+    def scan(refs: pd.DataFrame, frames: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(refs) and len(frames):
+            parts = [(*k, x.sort_values("frame_index")) for k, x in frames.groupby(["clip_key", "clip_id", "first"])]
+            raw = [_matrix(x["v"]) for *_, x in parts]
+            starts = int(frames["starts"].iloc[0])
+            for ref, x in refs.groupby("reference_id"):
+                mean, std, w = (np.array(x[c].iloc[0], float) for c in ("mean", "std", "weight"))
+                series = [np.nan_to_num((y - mean) / std, nan=0.0) for y in (_matrix(x.sort_values("frame_index")["v"]), *raw)]
+                hits = best_matches(series[0], series[1:], w, firsts=[p[2] for p in parts], starts=starts)
+                for (key, clip, first, y), hit in zip(parts, hits):
                     if hit:
                         s, n, cost = hit
-                        out.append((ref, key, clip, s, n, rows[s]["frame_number"], rows[s + n - 1]["frame_number"], cost))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in MATCH.split(", ")])
+                        number = y["frame_number"].to_numpy()
+                        out.append((ref, key, clip, first + s, n, number[s], number[s + n - 1], cost))
+        return pd.DataFrame(out, columns=names)
+
+    names = [x.split()[0] for x in MATCH.split(", ")]
+    keys = ["longest", "ref_group", "clip_group"]
+    found = wide.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(scan, MATCH)
+    order = F.struct("normalized_cost", "window_length_frames", "start")
+    best = found.groupBy("reference_id", "clip_key", "clip_id").agg(F.min_by(F.struct(*names[3:]), order).alias("best"))
+    return best.select(*names[:3], "best.*")
+
 
-    clips = signals.filter("not is_reference").groupBy("clip_key", "clip_id").agg(rows.alias("rows"))
-    return clips.mapInPandas(scan, MATCH)
+def _matrix(values: pd.Series) -> np.ndarray:
+    return np.array([np.asarray(v, float) for v in values])
 
 
 def top_matches(matches: DataFrame, k: int = 5) -> DataFrame:

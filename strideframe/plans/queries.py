@@ -189,7 +189,8 @@ def dtw_top_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dtw_pose_match(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(matching.dtw_matches(_signals(spark, d, SMALL_2D), CHANNELS), ["normalized_cost"])
+    clips = adapters.bounded_clips(_signals(spark, d, SMALL_2D))
+    return rounded(matching.dtw_matches(clips, CHANNELS), ["normalized_cost"])
 
 
 def match_overlay_progress(spark: SparkSession, d: str) -> DataFrame:

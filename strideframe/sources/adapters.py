@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 FPS = 30.0
 REFERENCE_LABELS = 3
+CLIP_FRAMES = 256
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,15 @@ def pose_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir, [F.struct(e[3 * j].alias("x"), e[3 * j + 1].alias("y"), _lik(3 * j + 2).alias("lik")) for j in range(21)])
 
 
+def bounded_clips(frames: DataFrame) -> DataFrame:
+    """Clips cut into clips of CLIP_FRAMES frames, numbered within the old one: a label as one clip grows with the table."""
+    part = F.floor(F.col("frame_index") / CLIP_FRAMES)
+    return frames.select(
+        (F.col("clip_key").cast("long") * F.lit(1 << 32) + part).alias("clip_key"), F.format_string("%s_%06d", "clip_id", part).alias("clip_id"),
+        F.pmod("frame_index", F.lit(CLIP_FRAMES)).alias("frame_index"), *[c for c in frames.columns if c not in ("clip_key", "clip_id", "frame_index")],
+    )
+
+
 def pose_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 joints of (x, y, z, lik) a frame."""
     e = F.col("e")

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from strideframe.operators import matching
 from strideframe.operators.matching import best_matches, closed_dtw
 
 
@@ -30,3 +31,28 @@ def test_an_embedded_query_is_found():
 
 def test_a_short_series_has_no_match():
     assert best_matches(np.zeros((20, 1)), [np.zeros((9, 1))], np.ones(1)) == [None]
+
+
+def test_blocks_give_the_windows_of_whole_clips(spark, monkeypatch):
+    """Many groups and blocks, and a reference of more than one clip's length, against each clip scanned whole."""
+    monkeypatch.setattr(matching, "MAX_REFERENCE_VALUES", 100, raising=False)  # once the bound of all references together
+    monkeypatch.setattr(matching, "BLOCK_STARTS", 16, raising=False)
+    monkeypatch.setattr(matching, "GROUP_VALUES", 150, raising=False)
+    r = np.random.default_rng(3)
+    series = {k: r.normal(size=(n, 2)) for k, n in {0: 20, 1: 7, 2: 33, 3: 90, 4: 150, 5: 9, 6: 40}.items()}
+    rows = [(k, f"c{k}", i, 1000 * k + i, k < 3, float(a), float(b)) for k, x in series.items() for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "clip_key long, clip_id string, frame_index int, frame_number long, is_reference boolean, a double, b double")
+    got = {(x["reference_id"], x["clip_id"]): x for x in matching.dtw_matches(df, ["a", "b"]).collect()}
+    scale = np.concatenate([series[k] for k in range(3)]).std(axis=0)
+    want = {}
+    for ref in range(3):
+        mean, std = series[ref].mean(axis=0), series[ref].std(axis=0)
+        w = std / scale / (std / scale).sum()
+        for k in range(3, 7):
+            if hit := best_matches((series[ref] - mean) / std, [(series[k] - mean) / std], w)[0]:
+                want[f"c{ref}", f"c{k}"] = (*hit, 1000 * k + hit[0], 1000 * k + hit[0] + hit[1] - 1)
+    assert got.keys() == want.keys()
+    for key, (s, n, cost, first, last) in want.items():
+        x = got[key]
+        assert (x["start"], x["window_length_frames"], x["start_frame"], x["end_frame"]) == (s, n, first, last)
+        assert abs(x["normalized_cost"] - cost) < 1e-9
