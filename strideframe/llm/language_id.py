@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
@@ -20,8 +20,8 @@ from .common import crc_mod
 HIDDEN = 8
 WINDOW = 128
 BATCH = 2048
-#: Bounds of the training sample: languages, documents of each, windows of each document.
-MAX_LANGUAGES, DOCS_A_LANGUAGE, WINDOWS_A_DOC = 64, 500, 4
+#: Bounds of the training sample: documents of each language, windows of each document.
+DOCS_A_LANGUAGE, WINDOWS_A_DOC = 500, 4
 STEPS, RATE, TRAIN_BATCH, TRAIN_WINDOW = 350, 0.02, 256, 64
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -177,21 +177,23 @@ def document_probabilities(p: Params, texts: list[bytes]) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """A bounded sample of windows of labelled documents outside the held-out fold."""
+    """A sample of windows of labelled documents outside the held-out fold: every language, a bounded number of each."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 5) != 0)).select(
         "doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")
     )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, DOCS_A_LANGUAGE / r["count"])))]) if counts else None
+    counts = known.groupBy("lang").count()
+    languages = sorted(r["lang"] for r in counts.collect())
     if not languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    chosen = known.filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share[F.col("lang")])
+    shares = counts.select("lang", F.least(F.lit(1.0), DOCS_A_LANGUAGE / F.col("count")).alias("share"))
+    chosen = known.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.col("share"))
     at = F.pmod(F.xxhash64("doc_id", "k"), F.greatest(F.char_length("text") - WINDOW, F.lit(1))).cast("int") + 1
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "k", "piece"))
     rows = (
         chosen.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(WINDOWS_A_DOC)])))
         .select("lang", "doc_id", "k", F.substring(F.col("text"), at, F.lit(WINDOW)).alias("piece"))
-        .orderBy("doc_id", "k", "piece").limit(2 * MAX_LANGUAGES * DOCS_A_LANGUAGE * WINDOWS_A_DOC).collect()
+        .withColumn("place", place).filter(F.col("place") <= 2 * DOCS_A_LANGUAGE * WINDOWS_A_DOC)
+        .orderBy("doc_id", "k", "piece").collect()
     )
     rows = [r for r in rows if LETTER.search(r["piece"])]
     windows = np.zeros((len(rows), WINDOW), np.uint8)

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from strideframe.llm import pii
 from strideframe.llm.dart_minhash import components, near_duplicates
 from strideframe.llm.html_text import main_text
+from strideframe.llm.language_id import training_windows
 from strideframe.llm.packing import pack_documents
 from strideframe.llm.token_files import token_table
 
@@ -92,3 +93,10 @@ def test_added_tokens_in_texts(spark):
         want = ids("word_bpe_49k.json", LITERALS[r["doc_id"]])
         assert r["doc_tokens"] == len(want)
         assert r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"words of language {i % 70}", f"l{i % 70:02d}") for i in range(700)]
+    windows, labels, languages = training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == [f"l{i:02d}" for i in range(70)]
+    assert len(windows) == len(labels) and set(labels.tolist()) == set(range(70))
