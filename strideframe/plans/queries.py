@@ -201,6 +201,11 @@ def match_overlay_progress(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.match_overlay(s, spans, ["value"]), ["progress", "value"])
 
 
+def dtw_match_overlay(spark: SparkSession, d: str) -> DataFrame:
+    s = adapters.signal(spark, d)
+    return rounded(matching.match_overlay(s, matching.dtw_matches(s, ["value"]), ["value"]), ["progress", "value"])
+
+
 def _bone_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, m) for n, m, _, _ in BONES_3D], "bone string, mirror_key string")
 
@@ -330,7 +335,7 @@ QUERIES = {
         shoulder_width, likelihood_mask_rate, nanmean_rowwise, frame_signals_2d, frame_signals_3d, timeseries_time_s, merge_sources, smooth_centered,
         smooth_asymmetric, gap_interpolation, locf, midpoint_window, reference_length_table, window_size, sliding_window_features, pose_window_features,
         dropna_features, normalize_per_clip, standard_scaler, pca_projection, knn_reference_windows, convex_hull, channel_stats, global_channel_scale,
-        channel_weights, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, match_overlay_progress, bone_lengths, bone_length_cv_report,
+        channel_weights, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, match_overlay_progress, dtw_match_overlay, bone_lengths, bone_length_cv_report,
         pbd_fit_skeleton, depth_bilinear_sample, depth_calibrate_scale, backproject_lift, hand_outlier_flags, hand_bboxes, depth_delta_roundtrip,
         axis_limits, progress_stages, progress_rollup, progress_totals, progress_missing_stage, reference_ids, participant_palette_rank,
         stale_runs_antijoin, unknown_references, person_frame_flatten, props_field,
