@@ -3,7 +3,8 @@
 Whole windows are cut from long documents at once. The rest is gathered into groups of GROUP_WINDOWS
 windows; differencing merges partial partitions with opposing imbalances until all pieces of a group
 lie in near-equal windows. A window over capacity hands the tail of its last pieces to windows with
-room; where cutting is turned off, the number of windows rises instead. What is left of the last
+room, which undoes the near-equal loads; where cutting is turned off (no query does), the number of
+windows rises instead. What is left of the last
 window of a task is laid out in lengths that are powers of two, which need no padding.
 """
 
