@@ -15,6 +15,8 @@ BLOCK_STARTS = 256
 #: Query rows that may be broadcast; beyond, blocks of so many meet the windows in a shuffle, in so many parts.
 QUERY_BLOCK, WINDOW_PARTS = 100_000, 64
 GROUP_VALUES = 400_000
+#: Groups of clips at least, so that a small table spreads over the tasks too.
+CLIP_GROUPS = 24
 
 
 def nearest_windows(queries: DataFrame, windows: DataFrame, axes: list[str], k: int = 10) -> DataFrame:
@@ -144,7 +146,7 @@ def dtw_matches(signals: DataFrame, channels: list[str], references: list[str] |
     for r in sizes.groupBy("longest").agg(F.sum("m").alias("frames")).collect():  # one row a power of two
         starts = max(BLOCK_STARTS, r["longest"])
         copies = 1 + 2 * r["longest"] / starts
-        classes.append((r["longest"], starts, 1 + r["frames"] * len(channels) // GROUP_VALUES, 1 + int(n_values * copies) // GROUP_VALUES))
+        classes.append((r["longest"], starts, 1 + r["frames"] * len(channels) // GROUP_VALUES, max(CLIP_GROUPS, 1 + int(n_values * copies) // GROUP_VALUES)))
     known = signals.sparkSession.createDataFrame(classes, "longest long, starts long, n_refs long, n_clips long")
     wide = (
         chosen.select(F.col("clip_id"), "frame_index", values.alias("v")).join(sizes.select("clip_id", "longest"), "clip_id").join(scale, "clip_id")
