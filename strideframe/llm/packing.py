@@ -184,5 +184,6 @@ def pack_documents(
             yield packer.take()
         packer.end()
         yield packer.take()
+        enc.release()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECE)

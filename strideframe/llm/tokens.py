@@ -15,8 +15,10 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Words kept by a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 700_000
+from .common import trim
+
+#: Words kept by a Python worker while it works on a task, and from one task to the next; beyond it the cache starts anew.
+CACHE_WORDS, LASTING_WORDS = 300_000, 150_000
 TAIL = ".,;:!?"
 END_ID = 2
 
@@ -58,6 +60,12 @@ class WordEncoder:
         self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
+    def release(self) -> None:
+        """Call at the end of a task: workers live on and serve other stages."""
+        if len(self.words) > LASTING_WORDS:
+            self.clear()
+        trim()
+
     def _pieces(self, text: str) -> list[str] | None:
         if self.lower:
             if "Σ" in text or "\1" in text:

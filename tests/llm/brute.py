@@ -51,12 +51,16 @@ def exact_groups(docs):
     return {i: (min(g)[1], len(g), sha(norm)) for norm, g in groups.items() for _, i in g}
 
 
-def near_classes(docs, threshold=0.8, width=5):
-    """{doc_id: class id}: components over all pairs of shingle sets."""
+WEIGHTS = {"log": int.bit_length, "count": int, "binary": lambda c: 1}
+
+
+def near_classes(docs, threshold=0.8, width=5, weighting="log"):
+    """{doc_id: class id}: components over all pairs of weighted shingle sets."""
     sets = {}
     for i, text in docs:
         w = words(text)
-        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else None
+        counts = Counter(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else None
+        sets[i] = frozenset((x, j) for x, c in counts.items() for j in range(WEIGHTS[weighting](c))) if w else None
     root = {i: i for i in sets}
 
     def find(i):
