@@ -1,17 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks. For every root-to-leaf path of block elements, text length and punctuation
-are summed and divided by the number of its nodes; both series are smoothed along the page, fused by
-their product and weighed down by the share of link text. Paths above the threshold are content nodes.
-Their blocks are kept wherever they lie, with the headings between them, and so are the other blocks of the
-element that holds most of their text. Blocks below elements that are page furniture by tag, role or class
-are left out before, unless the element holds most of the page's text.
+A page is cut into blocks. For every root-to-leaf path of block elements (tags and classes), text length and
+punctuation are summed and divided by the number of its blocks; both series are smoothed along the page and
+fused by their product, the share of text that is not link text, and a factor for paths that are page
+furniture by name. Paths above the threshold are content nodes: their blocks are kept wherever they lie. The
+element that holds most of their text also keeps its blocks of other paths, unless they are mostly links or
+furniture, and headings that introduce kept blocks are kept. Only what HTML itself sets apart (menus, footers,
+asides, page headers, hidden elements) is left out before, and not if it holds most of the page's text; on a
+page with an article, so is what stands outside of it under a furniture name.
+
+Every step is linear in the page: elements, paths and open tags are numbered, and sums go up the tree once.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?P<shut>-->|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?P<rawshut></(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)>"
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+TAIL = re.compile(r"<[a-zA-Z!/?]")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+READ = {"class", "id", "role", "hidden", "style", "aria-hidden"}
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：…]")
 
@@ -42,201 +49,261 @@ CLOSES_P = set(
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LEVEL_STOPS = {"ul", "ol", "dl", "table", "menu", "nav"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-FURNITURE = set("head nav footer aside form button menu dialog header fieldset input".split())
-FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
+#: Set apart by HTML itself; a header counts outside articles only.
+FURNITURE = set("head nav footer aside button menu dialog header fieldset input".split())
+FURNITURE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Names of page furniture. A class or id counts if it is one of them, if its last part is ("site-footer"), or if its first
+#: part is and its last is a word for a box ("comment-list").
 FURNITURE_WORDS = set(
-    "nav navbar navigation menu menubar topbar breadcrumb breadcrumbs header masthead banner footer foot colophon copyright legal sidebar side aside rail widget widgets "
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsor promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login form search "
-    "pagination pager tags toc skip".split()
+    "nav navbar navigation menu menubar topbar breadcrumb breadcrumbs header masthead banner footer colophon copyright sidebar aside widget widgets "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay "
+    "comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login form search "
+    "pagination pager skip".split()
 )
-WORD = re.compile(r"[a-z]+")
+BOX_WORDS = set("list bar box area block section container wrapper wrap inner slot item items link links panel group text body content unit message banner notice thread holder".split())
+#: A name that says what a page has, not what an element is.
+STATES = {"has", "no", "with", "without", "is", "js", "hide", "show"}
+#: What a furniture name, and a form, leave of a path's fused ratio.
+NAMED, IN_FORM = 0.02, 0.2
 #: A path is content from this share of the best fused ratio on.
 THRESHOLD = 0.1
-#: A furniture mark on an element with more than the first share of the page's text without links is ignored, unless
-#: unmarked text of an article or main element has the second share.
-MOST, OWN_ARTICLE = 0.5, 0.2
+#: Elements set apart by HTML that hold more than this share of the page's text without links are not left out, unless
+#: an article or main element outside of them holds text.
+MOST = 0.5
+#: The element that holds this share of the content keeps its other blocks too.
+HOLDS = 0.6
 
 
-class _Node:
-    __slots__ = ("tag", "path", "marks", "parent", "inside", "number")
+def _attributes(text: str) -> dict[str, str]:
+    if not text:
+        return {}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        name = m[1].lower()
+        if name in READ and name not in found:
+            found[name] = (m[2] or "").strip("\"'").lower()
+    return found
 
-    def __init__(self, tag: str, key: str, marked: bool, parent: _Node | None, number: int) -> None:
-        self.tag, self.parent, self.number = tag, parent, number
-        self.path = f"{parent.path}/{key}" if parent else key
-        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
-        #: numbers of the elements marked as furniture, from the root to this one
-        self.marks: tuple[int, ...] = (parent.marks if parent else ()) + ((number,) if marked else ())
 
+def _named(names: str) -> bool:
+    """Whether a class or id attribute names page furniture."""
+    for name in names.split():
+        parts = re.split(r"[-_]+", name.strip("-_"))
+        if parts[0] in STATES:
+            continue
+        if parts[-1] in FURNITURE_WORDS or (parts[0] in FURNITURE_WORDS and parts[-1] in BOX_WORDS):
+            return True
+    return False
 
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(text)} if text else {}
-
-
-def _furniture(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    if tag in FURNITURE and not (tag == "header" and inside):
-        return True
-    if not attrs:
-        return False
-    if attrs.get("role") in FURNITURE_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return any(w in FURNITURE_WORDS for name in ("class", "id") for w in WORD.findall(attrs.get(name, "")))
-
-
-def blocks_of(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters of link text) of each block in page order."""
-    root = _Node("", "", False, None, 0)
-    stack: list[tuple[str, _Node]] = [("", root)]
-    found: list[tuple[_Node, str, int]] = []
-    buffer: list[str] = []
-    links, n_link, number = 0, 0, 0
-    node = root
-
-    def flush() -> None:
-        nonlocal n_link
-        if buffer:
-            text = SPACE.sub(" ", "".join(buffer)).strip()
+
+def _apart(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    return (tag in FURNITURE and not (tag == "header" and inside)) or attrs.get("role") in FURNITURE_ROLES
+
+
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+
+
+class Page:
+    """The elements of a page, numbered in page order with 0 as the root, and its blocks of text."""
+
+    def __init__(self, page: str) -> None:
+        self.parent, self.tag, self.path = [-1], [""], [0]
+        #: set apart by HTML; hidden; factor of names; in an article or main element
+        self.apart, self.hidden, self.factor, self.inside = [False], [False], [1.0], [False]
+        self._paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of link text
+        self._node, self._links, self._n_link = 0, 0, 0
+        self._buffer: list[str] = []
+        #: open elements as (tag, element), inline ones with the element they stand in
+        self._open: list[tuple[str, int]] = [("", 0)]
+        self._blocks_open: Counter[str] = Counter()
+        #: for each open block element its place in _open, its inline tags, and the nearest open item or list
+        self._frames: list[tuple[int, Counter[str], int]] = [(0, Counter(), -1)]
+        self._read(page)
+
+    def _flush(self) -> None:
+        if self._buffer:
+            text = SPACE.sub(" ", "".join(self._buffer)).strip()
             if text:
-                found.append((node, text, min(n_link, len(text))))
-            buffer.clear()
-        n_link = 0
-
-    def close(to: int) -> None:
-        nonlocal node, links
-        flush()
-        links -= sum(1 for t, _ in stack[to:] if t == "a")
-        del stack[to:]
-        node = stack[-1][1]
-
-    def say(text: str) -> None:
-        nonlocal n_link
+                self.blocks.append((self._node, text, min(self._n_link, len(text))))
+            self._buffer.clear()
+        self._n_link = 0
+
+    def _say(self, text: str) -> None:
         text = html.unescape(text)
-        buffer.append(text)
-        if links:
-            n_link += len(text.strip())
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if not depth:
-                if tag not in INLINE:
-                    flush()
-            elif tag in INLINE:
-                if all(t in INLINE for t, _ in stack[depth:]):
-                    links -= sum(1 for t, _ in stack[depth:] if t == "a")
-                    del stack[depth:]
-            else:
-                close(depth)
-            continue
+        self._buffer.append(text)
+        if self._links:
+            self._n_link += len(text.strip())
+
+    def _close(self, frame: int) -> None:
+        """Closes the block element of a frame and all that is open in it."""
+        self._flush()
+        place = self._frames[frame][0]
+        self._links -= sum(1 for t, _ in self._open[place:] if t == "a")
+        for f in self._frames[frame:]:
+            self._blocks_open[self._open[f[0]][0]] -= 1
+        del self._open[place:], self._frames[frame:]
+        self._node = self._open[self._frames[-1][0]][1]
+
+    def _end(self, tag: str) -> None:
         if tag in INLINE:
-            if tag == "br":
-                buffer.append(" ")
-            elif tag not in VOID:
-                stack.append((tag, node))
-                links += tag == "a"
-            continue
+            if self._frames[-1][1][tag]:
+                while True:
+                    t, _ = self._open.pop()
+                    self._frames[-1][1][t] -= 1
+                    self._links -= t == "a"
+                    if t == tag:
+                        return
+        elif self._blocks_open[tag]:
+            frame = len(self._frames) - 1
+            while self._open[self._frames[frame][0]][0] != tag:
+                frame -= 1
+            self._close(frame)
+        else:
+            self._flush()
+
+    def _start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
-            flush()
-            continue
-        if tag in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-            if depth and all(t in INLINE or t == "p" for t, _ in stack[depth:]):
-                close(depth)
+            if tag == "br":
+                self._buffer.append(" ")
+            elif tag not in INLINE:
+                self._flush()
+            return
+        if tag in INLINE:
+            self._open.append((tag, self._node))
+            self._frames[-1][1][tag] += 1
+            self._links += tag == "a"
+            return
+        if tag in CLOSES_P and self._open[self._frames[-1][0]][0] == "p":
+            self._close(len(self._frames) - 1)
         elif tag in SAME_LEVEL:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SAME_LEVEL[tag]:
-                    close(i)
+            frame = self._frames[-1][2]
+            while frame > 0 and (t := self._open[self._frames[frame][0]][0]) not in LEVEL_STOPS:
+                if t in SAME_LEVEL[tag]:
+                    self._close(frame)
                     break
-                if stack[i][0] in LEVEL_STOPS:
-                    break
-        flush()
-        attrs = _attributes(m["attrs"] or m["attrs2"] or "")
-        number += 1
-        key = tag + "".join("." + x for x in attrs.get("class", "").split())
-        node = _Node(tag, key, _furniture(tag, attrs, node.inside), node, number)
-        stack.append((tag, node))
-    if at < len(page):
-        say(page[at:])
-    flush()
-    return found
+                frame = self._frames[frame - 1][2]
+        self._flush()
+        attrs, up = _attributes(attributes), self._node
+        key = (self.path[up], tag + "".join("." + x for x in attrs.get("class", "").split()))
+        path = self._paths.setdefault(key, len(self._paths) + 1)
+        named = tag not in ("html", "body", "article", "main") and (_named(attrs.get("class", "")) or _named(attrs.get("id", "")))
+        self._node = len(self.parent)
+        self.parent.append(up)
+        self.tag.append(tag)
+        self.path.append(path)
+        self.apart.append(_apart(tag, attrs, self.inside[up]))
+        self.hidden.append(self.hidden[up] or _hidden(attrs))
+        self.factor.append(min(self.factor[up], NAMED if named else IN_FORM if tag == "form" else 1.0))
+        self.inside.append(self.inside[up] or tag in ("article", "main"))
+        self._open.append((tag, self._node))
+        self._blocks_open[tag] += 1
+        level = len(self._frames) if tag in SAME_LEVEL or tag in LEVEL_STOPS else self._frames[-1][2]
+        self._frames.append((len(self._open) - 1, Counter(), level))
 
+    def _read(self, page: str) -> None:
+        at, stop = 0, page.rfind(">") + 1  # no tag ends after the last sign
+        cut = False
+        for m in TOKEN.finditer(page, 0, stop):
+            if m.start() > at:
+                self._say(page[at : m.start()])
+            at = m.end()
+            cut = m["shut"] == "" or m["rawshut"] == ""
+            if tag := m["tag"] or m["tag2"]:
+                if m["end"] or m["end2"]:
+                    self._end(tag.lower())
+                else:
+                    self._start(tag.lower(), m["attrs"] or m["attrs2"] or "")
+        if not cut and at < len(page):
+            tail = TAIL.search(page, max(at, stop))
+            self._say(page[at : tail.start() if tail else len(page)])
+        self._flush()
 
-def _without_furniture(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
-    total, own = 0, 0
-    held: dict[int, int] = {}
+    def sums(self, own: np.ndarray) -> np.ndarray:
+        """What each element and all below it hold; children come after their parents."""
+        total = own.tolist()
+        for i in range(len(total) - 1, 0, -1):
+            total[self.parent[i]] += total[i]
+        return np.array(total)
+
+    def below(self, marked: list[bool]) -> list[bool]:
+        """Whether each element or one above it is marked."""
+        out = list(marked)
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[self.parent[i]]
+        return out
+
+
+def _without_furniture(page: Page) -> list[tuple[int, str, int]]:
+    blocks = [b for b in page.blocks if not page.hidden[b[0]]]
+    plain = np.zeros(len(page.parent))
     for node, text, n_link in blocks:
-        n = len(text) - n_link
-        total += n
-        if node.inside and not node.marks:
-            own += n
-        for mark in node.marks:
-            held[mark] = held.get(mark, 0) + n
-    ignored = {mark for mark, n in held.items() if n > MOST * total} if own < OWN_ARTICLE * total else set()
-    return [b for b in blocks if ignored.issuperset(b[0].marks)]
-
-
-def main_text(page: str) -> str:
-    blocks = _without_furniture(blocks_of(page))
-    if not blocks:
-        return ""
-    order: dict[str, int] = {}
-    length, punctuation, linked, nodes = [], [], [], []
+        plain[node] += len(text) - n_link
+    held, total = page.sums(plain), plain.sum()
+    apart = page.below(page.apart)
+    if any(page.inside[i] and not apart[i] and plain[i] for i in range(len(plain))):  # beside an article, names decide too
+        return [b for b in blocks if not apart[b[0]] and (page.inside[b[0]] or page.factor[b[0]] > NAMED)]
+    apart = page.below([a and not h > MOST * total for a, h in zip(page.apart, held)])
+    return [b for b in blocks if not apart[b[0]]]
+
+
+def content_paths(page: Page, blocks: list[tuple[int, str, int]]) -> set[int]:
+    """The paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
+    order: dict[int, int] = {}
+    rows: list[list[float]] = []  # text, punctuation, link text, blocks, factor
     for node, text, n_link in blocks:
-        i = order.setdefault(node.path, len(order))
-        if i == len(length):
-            for x in (length, punctuation, linked, nodes):
-                x.append(0)
-        length[i] += len(text)
-        punctuation[i] += len(PUNCTUATION.findall(text))
-        linked[i] += n_link
-        nodes[i] += 1
-    n = np.array(nodes, float)
-    text_ratio, mark_ratio = np.array(length) / n, np.array(punctuation) / n
+        i = order.setdefault(page.path[node], len(order))
+        if i == len(rows):
+            rows.append([0, 0, 0, 0, page.factor[node]])
+        for k, v in enumerate((len(text), len(PUNCTUATION.findall(text)), n_link, 1)):
+            rows[i][k] += v
+    length, marks, linked, n, factor = np.array(rows, float).T
 
     def smooth(x: np.ndarray) -> np.ndarray:
         return 0.8 * x + 0.1 * np.append(x[1:], x[-1]) + 0.1 * np.append(x[0], x[:-1])
 
-    fused = smooth(text_ratio) * (smooth(mark_ratio) + 0.1) * (1 - np.array(linked) / np.array(length))
-    content = {path for path, i in order.items() if fused[i] >= THRESHOLD * fused.max()}
-    weight: dict[int, int] = {}
-    elements: dict[int, _Node] = {}
-    total = 0
-    for node, text, n_link in blocks:
-        if node.path not in content:
-            continue
-        total += len(text)
-        up = node
-        while up is not None:
-            weight[up.number] = weight.get(up.number, 0) + len(text)
-            elements[up.number] = up
-            up = up.parent
-    best = elements[min(weight, key=lambda k: (weight[k] < 0.6 * total, -elements[k].path.count("/"), -weight[k], k))]
-    articles = {x.number for x in elements.values() if x.tag == "article" and not (x.parent and x.parent.inside and x.parent.tag == "article")}
-    while best.tag in HEADINGS or best.tag in ("p", "li", "td", "pre", "blockquote", "dd"):
-        best = best.parent or best
-    kept = []
-    for node, text, n_link in blocks:
-        up, held, header = node, False, False
-        while up is not None:
-            held |= up.number == best.number or up.number in articles and best.tag not in ("article", "main")
-            header |= up.tag == "header"
-            up = up.parent
-        plain = node.path in content or not (n_link > 0.6 * len(text) and node.tag in ("li", "div", "ul", "td"))
-        kept.append(node.path in content or held and plain and not (header and node.tag not in HEADINGS))
+    fused = smooth(length / n) * (smooth(marks / n) + 0.1) * (1 - linked / length) * factor
+    return {path for path, i in order.items() if fused[i] >= THRESHOLD * fused.max()}
+
+
+def main_text(source: str) -> str:
+    page = Page(source)
+    blocks = _without_furniture(page)
+    if not blocks:
+        return ""
+    content = content_paths(page, blocks)
+    chosen = [page.path[node] in content for node, _, _ in blocks]
+    own = np.zeros(len(page.parent))
+    for is_content, (node, text, _) in zip(chosen, blocks):
+        own[node] += len(text) * is_content
+    held, total = page.sums(own), own.sum()
+    best, deepest = 0, 0
+    depth = [0] * len(page.parent)
+    for i in range(1, len(depth)):
+        depth[i] = depth[page.parent[i]] + 1
+        if held[i] >= HOLDS * total and depth[i] > deepest:
+            best, deepest = i, depth[i]
+    while page.tag[best] in HEADINGS or page.tag[best] in ("p", "li", "td", "pre", "blockquote", "dd"):
+        best = page.parent[best]
+    outer = [t == "article" and not page.inside[page.parent[i]] for i, t in enumerate(page.tag)]
+    in_best = page.below([i == best or outer[i] for i in range(len(page.tag))])
+    heading = [page.tag[node] in HEADINGS for node, _, _ in blocks]
+    plain_name = [page.factor[node] == page.factor[best] for node, _, _ in blocks]
+    kept = [
+        c or in_best[node] and p and not (n_link > 0.6 * len(text) and page.tag[node] in ("li", "div", "ul", "td"))
+        for c, p, (node, text, n_link) in zip(chosen, plain_name, blocks)
+    ]
     first, last = kept.index(True), len(kept) - kept[::-1].index(True)
-    while first and blocks[first - 1][0].tag in HEADINGS:
+    while first and heading[first - 1]:
         first -= 1
-    return "\n".join(text for i, (node, text, _) in enumerate(blocks) if kept[i] or first <= i < last and node.tag in HEADINGS)
+    for i in range(first, last):
+        kept[i] = kept[i] or heading[i] and plain_name[i]
+    if not any(heading[i] and page.tag[blocks[i][0]] == "h1" for i in range(len(blocks)) if kept[i]):
+        titles = [i for i in range(first) if page.tag[blocks[i][0]] == "h1" and plain_name[i]]
+        for i in titles[-1:]:  # a title that stands apart from the text
+            kept[i] = True
+    return "\n".join(text for keep, (_, text, _) in zip(kept, blocks) if keep)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
