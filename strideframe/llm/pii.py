@@ -12,16 +12,20 @@ import hashlib
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a batch whose texts are Python strings at a time.
+SLICE_ROWS = 256
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 Span = tuple[int, int, int]
@@ -46,13 +50,14 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def ips(text: str) -> list[tuple[int, int]]:
+    """Quads of dotted numbers; a run of digits is entered at its beginning only."""
     found = []
     for m in DOTTED.finditer(text):
         parts, at = m[0].split("."), m.start()
         for i in range(0, len(parts) - 3, 4):
             quad = parts[i : i + 4]
             end = at + sum(map(len, quad)) + 3
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in quad):
+            if all(len(n := x.lstrip("0")) <= 3 and int(n or "0") <= 255 for x in quad):
                 found.append((at, end))
             at = end + 1
     return found
@@ -127,49 +132,74 @@ def _forms() -> dict[str, str]:
 
 
 FORMS = _forms()
-ODD = frozenset(FORMS)
+TABLE = str.maketrans(FORMS)
+ODD = re.compile("[" + "".join(sorted(FORMS)) + "]")
 _WORD = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_WORD}|[0-9])(?![^\W_])[\x20.,-]{{0,2}}){{{LEAST_SPELLED},}}", re.I)
 SPELLED_PART = re.compile(rf"({_WORD}|[0-9])(?:([\x20.,-]{{0,2}}))", re.I)
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
 AT = re.compile(rf"\s?{OPEN}\s?(?:at|@|arobase|arroba|ät)\s?{SHUT}\s?", re.I)
 DOT = re.compile(rf"\s?{OPEN}\s?(?:dot|\.|point|punkt|punto)\s?{SHUT}\s?", re.I)
-SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+)*(\s(?:at|@)\s|@)(?!(?:the|a|an|this|that)\s)[A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+)*\s(?:dot|punkt|punto)\s[A-Za-z]{2,10}(?![A-Za-z0-9-])", re.I
+SPOKEN_AT = re.compile(r"\s(?:at|@)(?=\s)|@", re.I)
+#: What may stand before a spoken at sign, read backwards, and behind it.
+SPOKEN_LOCAL = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.|\stod\s)[A-Za-z0-9_%+-]++)*+(?!\.)", re.I)
+SPOKEN_DOMAIN = re.compile(
+    r"(?:(?<=@)|\s)(?!(?:the|a|an|this|that)\s)[A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+)*\s(?:dot|punkt|punto)\s[A-Za-z]{2,10}(?![A-Za-z0-9-])", re.I
 )
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s@\s(?=[A-Za-z0-9-]+\.[A-Za-z]{2,10})")
-SPOKEN_SIGN = re.compile(r"\s(at|@|dot|punkt|punto)\s", re.I)
+SPOKEN_DOT = re.compile(r"\s(?:dot|punkt|punto|point)\s", re.I)
 SPOKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s(?:dot|punkt|punto|point)\s[0-9]{1,3}){3}(?![0-9.])", re.I)
 PLUS = re.compile(r"(?<![^\W_])plus\s(?=\(?[0-9])", re.I)
 
 
 class Mapped:
-    """A text with, for each character, the source range it stands for."""
+    """A text with the source range that each of its characters stands for. Ranges are kept for whole runs:
+    those copied from the source, and those that replace a range of it. Memory grows with the edits."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.start, self.end = text, None, None
+        self.text, self.edited = text, False
+        self.begin, self.runs = [0], [(0, len(text), True)]  # place in the text; source range, whether copied
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces ranges of the present text; the edits are in order and do not overlap."""
         if not edits:
             return
-        if self.start is None:
-            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-        text, start, end, at = [], [], [], 0
+        text: list[str] = []
+        begin: list[int] = []
+        runs: list[tuple[int, int, bool]] = []
+        ends = [*self.begin[1:], len(self.text)]
+        at, size, k = 0, 0, 0
+
+        def copy(a: int, b: int) -> None:
+            nonlocal k, size
+            text.append(self.text[a:b])
+            while a < b:
+                while ends[k] <= a:
+                    k += 1
+                stop = min(b, ends[k])
+                x, y, copied = self.runs[k]
+                begin.append(size)
+                runs.append((x + a - self.begin[k], x + stop - self.begin[k], True) if copied else (x, y, False))
+                size += stop - a
+                a = stop
+
         for a, b, new in edits:
-            text.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
+            copy(at, a)
             if new:
                 text.append(new)
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
+                begin.append(size)
+                runs.append((*self.source(a, b), False))
+                size += len(new)
             at = b
-        text.append(self.text[at:])
-        self.text, self.start, self.end = "".join(text), start + self.start[at:], end + self.end[at:]
+        copy(at, len(self.text))
+        self.text, self.begin, self.runs, self.edited = "".join(text), begin or [0], runs or [(0, 0, True)], True
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
+        """The source range of the characters from ``a`` to before ``b``."""
+        i, j = bisect_right(self.begin, a) - 1, bisect_right(self.begin, b - 1) - 1
+        x, _, copied = self.runs[i]
+        _, y, last_copied = self.runs[j]
+        return x + a - self.begin[i] if copied else x, self.runs[j][0] + b - self.begin[j] if last_copied else y
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
@@ -192,10 +222,24 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spoken(text: str) -> list[tuple[int, int, str]]:
+    """Edits of addresses whose signs are spoken. Each at sign is looked at once: what stands before it ends
+    at the at sign before, and what stands behind it at the next, so the scan is linear."""
     edits = []
-    for pattern in (SPOKEN, SPOKEN_IP):
-        for m in pattern.finditer(text):
-            edits += [(m.start() + s.start(), m.start() + s.end(), "@" if s[1].lower() in ("at", "@") else ".") for s in SPOKEN_SIGN.finditer(m[0])]
+    done, backwards = 0, None
+    for sign in SPOKEN_AT.finditer(text):
+        if sign.start() < done or not (domain := SPOKEN_DOMAIN.match(text, sign.end())):
+            continue
+        backwards = backwards or text[::-1]
+        local = SPOKEN_LOCAL.match(backwards, len(text) - sign.start(), len(text) - done)
+        if not local:
+            continue
+        start, done = len(text) - local.end(), domain.end()
+        width = sign.end() - sign.start()
+        edits.append((sign.start(), sign.end() + (width > 1), "@"))
+        edits += [(m.start(), m.end(), ".") for m in SPOKEN_DOT.finditer(text, start, sign.start())]
+        edits += [(m.start(), m.end(), ".") for m in SPOKEN_DOT.finditer(text, sign.end(), done)]
+    for m in SPOKEN_IP.finditer(text):
+        edits += [(s.start(), s.end(), ".") for s in SPOKEN_DOT.finditer(text, m.start(), m.end())]
     edits += [(m.start(), m.end(), "@") for m in SPACED_AT.finditer(text)]
     out: list[tuple[int, int, str]] = []
     for e in sorted(edits):
@@ -205,32 +249,39 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
 
 
 BRACKET = re.compile(rf"{OPEN}\s?(?:at|@|arobase|arroba|ät|dot|\.|point|punkt|punto)\s?{SHUT}", re.I)
-SPOKEN_HINTS = (" dot ", " punkt ", " punto ", " point ", " @ ")
+HINT = re.compile(r"\s(?:dot|punkt|punto|point|@)\s")
+
+
+NUMBER = re.compile(rf"(?<![^\W_])(?:{_WORD})(?![^\W_])")
 
 
 def _may_spell(low: str) -> bool:
-    """Whether LEAST_SPELLED number words stand close together; reads each word once."""
-    at = [i for i, w in enumerate(low.replace(".", " ").replace(",", " ").replace("-", " ").split()) if w in NUMBER_WORDS]
-    return any(b - a < 3 * LEAST_SPELLED for a, b in zip(at, at[LEAST_SPELLED - 1 :]))
+    """Whether LEAST_SPELLED number words stand close together."""
+    last: deque[int] = deque(maxlen=LEAST_SPELLED)
+    for m in NUMBER.finditer(low):
+        last.append(m.start())
+        if len(last) == LEAST_SPELLED and last[-1] - last[0] < 16 * LEAST_SPELLED:
+            return True
+    return False
 
 
 def deobfuscated(text: str) -> Mapped | None:
     """The rewritten text, or None if no disguise is found."""
-    odd = not text.isascii() and not ODD.isdisjoint(text)
-    first = "".join(FORMS.get(c, c) for c in text) if odd else text
+    odd = not text.isascii() and ODD.search(text) is not None
+    first = text.translate(TABLE) if odd else text
     low = first.lower()
-    spaced = low.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    if not (odd or _may_spell(low) or BRACKET.search(first) or any(x in spaced for x in SPOKEN_HINTS)):
+    spelled = _may_spell(low)
+    if not (odd or spelled or BRACKET.search(first) or HINT.search(low)):
         return None
     out = Mapped(text)
     if odd:
-        out.replace([(i, i + 1, FORMS[c]) for i, c in enumerate(text) if c in ODD])
-    if _may_spell(low):
+        out.replace([(m.start(), m.end(), FORMS[m[0]]) for m in ODD.finditer(text)])
+    if spelled:
         out.replace(_spelled(out.text))
     out.replace(_signs(out.text))
     out.replace(_spoken(out.text))
     out.replace([(m.start(), m.end(), "+") for m in PLUS.finditer(out.text)])
-    return out if out.start is not None else None
+    return out if out.edited else None
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -255,24 +306,25 @@ def spelled_out(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long"
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
+    for batch in (b.slice(lo, SLICE_ROWS) for b in batches for lo in range(0, b.num_rows, SLICE_ROWS)):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             base, every = all_spans(text)
             counts = [sum(1 for x in base if x[1] == k) for k in range(4)]
-            rows.append((doc_id, *counts, hashlib.sha256(spelled_out(base).encode()).hexdigest(), spelled_out(every), len(every) - len(base)))
+            rows.append((doc_id, *counts, hashlib.sha256(spelled_out(base).encode()).hexdigest(), spelled_out(every), len(every) - len(base), len(every)))
         columns = list(zip(*rows)) if rows else [[]] * len(names)
         kinds = [pa.string() if n in ("base_sha256", "spans") else pa.int64() for n in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, counts of base spans by kind, base_sha256, spans, n_disguised.
+    """One row per row of ``docs``: doc_id, counts of base spans by kind, base_sha256, spans, n_disguised (spans
+    that the method adds), n_spans. The work on a text is linear in its length.
 
     Null texts count as empty and have no spans. Rows are worked on each by itself: repeated rows repeat
     their result, null ids pass through, an empty table gives an empty one, other columns are ignored.
