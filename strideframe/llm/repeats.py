@@ -4,35 +4,37 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a
 earlier in the same document. Every such string is filed under its anchor, the least hash among its
 grams of GRAM bytes (leftmost on ties), which depends on the string alone. Strings of one anchor
 occurrence are neighbours and form a segment. Segments are sorted by anchor and content over the
-cluster, so equal ones lie side by side whatever their number, and all but the first are removed whole.
-Different segments of one anchor meet in a task that sorts their suffixes and builds the
-longest-previous-factor array, cut at LENGTH: a suffix whose nearest earlier neighbour in suffix order
-shares LENGTH bytes is a later copy. Anchors with very many different segments are settled by a
-grouped minimum over their strings instead, which no group can overload.
+cluster, so equal ones (128 bits of hashes) lie side by side whatever their number, and all but the first
+are removed whole.
+
+Different segments of one anchor are put in suffix order, and the nearest smaller positions before and
+behind each suffix give its longest previous factor: where that reaches LENGTH, the string is a later copy.
+Anchors whose segments fit into a task are sorted there; the strings of the others are sorted by their
+bytes over the cluster, split wherever a partition is full, so no group overloads a task.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import byte_slices, discard, staged, trim
 from .dart_minhash import mix
 
 LENGTH = 100
 GRAM = 36
-#: Different segments of one anchor that a task sorts together; beyond it the strings are grouped.
+#: Different segments of one anchor that one task puts in suffix order; beyond it the cluster does.
 LARGE_ANCHOR = 2_000
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Bytes whose suffixes are sorted at a time.
-SUFFIX_BYTES = 2_000_000
+SUFFIX_BYTES = 1_000_000
 
 _U = np.uint64
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -70,11 +72,11 @@ class _Rolling:
             return mix((self.sums[k:] - self.sums[:-k]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
-def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first start, last start, anchor hash, segment hash) of the segments of whole texts; starts are within the text."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
+def segments(data: np.ndarray, stops: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, first start, last start, anchor hash, segment hash) of the segments of whole texts, which lie side by side
+    in ``data`` and end at ``stops``; starts are within the text."""
+    ends = stops.astype(np.int64)
+    sizes = np.diff(ends, prepend=0)
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -89,7 +91,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
         p *= 2
     n = len(hashes) - w + 1
     low = np.minimum(low[:n], low[w - p : w - p + n])
-    owner = np.repeat(np.arange(len(texts)), sizes)[:n]
+    owner = np.repeat(np.arange(len(sizes)), sizes)[:n]
     whole = np.arange(n) + length <= ends[owner]
     starts = np.flatnonzero(whole)
     if not len(starts):
@@ -107,30 +109,20 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     return text, first - begin, last - begin, hashes[anchor], content
 
 
-def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[bytes]]]:
-    lo, size, raw = 0, 0, []
-    texts = batch.column(column).to_pylist()
-    for i, t in enumerate(texts):
-        raw.append(t.encode())
-        size += len(raw[-1])
-        if size >= CHUNK_BYTES or i == len(texts) - 1:
-            yield lo, i + 1, raw
-            lo, size, raw = i + 1, 0, []
-
-
 SEGMENT = "anchor long, content long, doc_id long, place long"
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """place: first start, then the number of starts less one in the low 8 bits."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for lo, hi, raw in _chunks(batch, "text"):
-            text, first, last, anchor, content = segments(raw)
+        for part, data, stops in byte_slices(batch, "text", CHUNK_BYTES):
+            text, first, last, anchor, content = segments(data, stops)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[lo:hi][text].astype(np.int64)), pa.array(first << 8 | (last - first))],
+                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[text].astype(np.int64)), pa.array(first << 8 | (last - first))],
                 names=["anchor", "content", "doc_id", "place"],
             )
+    trim()
 
 
 FILED = "part int, anchor long, content long, doc_id long, place long, first boolean, several boolean, border int"
@@ -239,39 +231,84 @@ def _cut_out(length: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each position by its next ``length`` bytes (zeros after the end), by prefix doubling."""
+def suffix_levels(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(n, rank of each position by its next n bytes, zeros after the end) for n = 8, 16, ... and ``length``, by prefix doubling."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = np.zeros(len(data), np.uint64)
-    for i in range(8):
+    for i in range(min(8, length)):
         word = (word << _U(8)) | padded[i : i + len(data)]
-    rank, known = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
+    known = min(8, length)
+    levels = [(known, np.unique(word, return_inverse=True)[1].astype(np.uint32))]
     while known < length:
-        step = min(known, length - known)
-        ahead = np.concatenate([rank[step:] + _U(1), np.zeros(step, np.uint64)])
-        rank = np.unique(rank << _U(32) | ahead, return_inverse=True)[1].astype(np.uint64)
+        step, rank = min(known, length - known), levels[-1][1]
+        ahead = np.concatenate([rank[step:] + np.uint32(1), np.zeros(min(step, len(rank)), np.uint32)])[: len(rank)]
         known += step
-    return rank
+        levels.append((known, np.unique(rank.astype(np.uint64) << _U(32) | ahead, return_inverse=True)[1].astype(np.uint32)))
+    return levels
+
+
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes at ``a`` and at ``b`` share, at most ``length``, of which all have as many left."""
+    full = levels[-1][1][a] == levels[-1][1][b]
+    shared = np.where(full, length, 0)
+    open_ = np.flatnonzero(~full)
+    for n, rank in levels[-2::-1]:
+        x, y = a[open_] + shared[open_], b[open_] + shared[open_]
+        fits = shared[open_] + n <= length
+        fits[fits] = rank[x[fits]] == rank[y[fits]]
+        shared[open_[fits]] += n
+    for _ in range(min(7, length)):  # the last bytes
+        x, y = a[open_] + shared[open_], b[open_] + shared[open_]
+        more = shared[open_] < length
+        more[more] = data[x[more]] == data[y[more]]
+        open_ = open_[more]
+        shared[open_] += 1
+    return shared
+
+
+def _nearest_smaller(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each place in suffix order the bytes it shares with the nearest place before it of a smaller
+    position; ``shared`` is what each place shares with the one before it. By pointer jumping: what lies
+    between a place and the one it points to has greater positions."""
+    n = len(position)
+    before, least = np.arange(-1, n - 1), shared.copy()
+    open_ = np.flatnonzero(position[before] > position)
+    open_ = open_[before[open_] >= 0]
+    while len(open_):
+        jump = before[open_]
+        least[open_] = np.minimum(least[open_], least[jump])
+        before[open_] = before[jump]
+        open_ = open_[before[open_] >= 0]
+        open_ = open_[position[before[open_]] > position[open_]]
+    least[before < 0] = 0
+    return least
+
+
+def longest_previous_factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each suffix, in suffix order, the most bytes it shares with a suffix of a smaller position: the
+    greater one of what it shares with the nearest such suffix before it and behind it."""
+    behind = np.append(shared[1:], 0)[::-1]
+    return np.maximum(_nearest_smaller(position, shared), _nearest_smaller(position[::-1], behind)[::-1])
 
 
 def later_copies(group: np.ndarray, doc: np.ndarray, start: np.ndarray, parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(part, start) of the strings of ``length`` bytes in ``parts`` with an earlier copy in their group.
-
-    The suffixes are sorted within their groups; of suffixes that share ``length`` bytes, the previous
-    smaller position in suffix order is an earlier copy, so all but the least position are later ones.
-    """
+    """(part, start) of the strings of ``length`` bytes in ``parts`` with an earlier copy in their group:
+    those whose longest previous factor reaches ``length``. Suffixes are ordered by as many bytes, then by position."""
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8)
-    rank = suffix_ranks(data, length)
+    levels = suffix_levels(data, length)
     counts = sizes - length + 1
     part = np.repeat(np.arange(len(parts)), counts)
     offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     at = (np.cumsum(sizes) - sizes)[part] + offset
-    order = np.lexsort((start[part] + offset, doc[part], rank[at], group[part]))
-    g, r = group[part][order], rank[at][order]
-    lcp_full = np.zeros(len(order), bool)  # shares LENGTH bytes with the previous smaller position
-    lcp_full[1:] = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
-    late = np.sort(order[lcp_full])
+    place = np.empty(len(at), np.int64)  # position of each string among all: by document, then start
+    place[np.lexsort((start[part] + offset, doc[part]))] = np.arange(len(at))
+    order = np.lexsort((place, levels[-1][1][at], group[part]))
+    shared = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        shared[1:] = common_prefixes(data, levels, at[order[:-1]], at[order[1:]], length)
+        shared[1:][group[part[order[1:]]] != group[part[order[:-1]]]] = 0
+    late = np.sort(order[longest_previous_factors(place[order], shared) >= length])
     return part[late], start[part[late]] + offset[late]
 
 
@@ -315,30 +352,83 @@ def _factors(length: int):
                 rows, parts = [r[cut:] for r in rows], parts[cut:]
         if parts:
             yield settle(rows, parts)
+        trim()
 
     return run
 
 
+STRING = "string binary, doc_id long, start long"
+NEIGHBOUR = "part int, doc_id long, start long, later boolean, head boolean, string binary"
+
+
 def _strings(length: int):
-    """Hashes of the single strings of segments, for anchors with very many."""
+    """The single strings of segments, for anchors with very many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                cut = batch.slice(lo, 4096)
+            for lo in range(0, batch.num_rows, 512):
+                cut = batch.slice(lo, 512)
                 parts = cut.column("bytes").to_pylist()
+                data = np.frombuffer(b"".join(parts), np.uint8)
                 sizes = np.array([len(p) for p in parts], np.int64)
                 counts = sizes - length + 1
                 part = np.repeat(np.arange(len(parts)), counts)
                 offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
                 at = (np.cumsum(sizes) - sizes)[part] + offset
-                hashed = _Rolling(np.frombuffer(b"".join(parts), np.uint8)).of(at, at + length)
-                anchor, doc, start = (cut.column(x).to_numpy(zero_copy_only=False)[part] for x in ("anchor", "doc_id", "start"))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(hashed.view(np.int64)), pa.array(doc), pa.array(start + offset)], names=["anchor", "string", "doc_id", "start"])
+                strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[at])
+                column = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * length).astype(np.int32)), pa.py_buffer(strings)])
+                doc, start = (cut.column(x).to_numpy(zero_copy_only=False)[part] for x in ("doc_id", "start"))
+                yield pa.RecordBatch.from_arrays([column, pa.array(doc), pa.array(start + offset)], names=["string", "doc_id", "start"])
+        trim()
 
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of one sorted partition: whether the one before is equal, so that this is a later copy. The first
+    row of a partition carries its string as ``head``; its last string comes in a row without a document."""
+    part, last = TaskContext.get().partitionId(), None
+    head = True  # whether all rows so far equal the first
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        string = batch.column("string")
+        later = np.zeros(n, bool)
+        if n > 1:
+            later[1:] = pc.equal(string.slice(1), string.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        begun = last is not None
+        later[0] = begun and string[0].as_py() == last
+        last = string[n - 1].as_py()
+        heads = np.logical_and.accumulate(later) & head if begun else np.concatenate([[True], np.logical_and.accumulate(later[1:])])
+        head = bool(heads[-1])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, part, np.int32)), batch.column("doc_id"), batch.column("start"), pa.array(later), pa.array(heads),
+            pa.array([string[0].as_py() if not begun else None] + [None] * (n - 1), pa.binary()),
+        ], names=[x.split()[0] for x in NEIGHBOUR.split(", ")])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([False]), pa.array([False]), pa.array([last], pa.binary())],
+            names=[x.split()[0] for x in NEIGHBOUR.split(", ")],
+        )
+    trim()
+
+
+def _sorted_over_cluster(strings: DataFrame, length: int) -> DataFrame:
+    """Spans of the later copies among (string, doc_id, start): sorted by bytes, then position, a string's
+    nearest smaller position is its neighbour before it."""
+    order = ["string", "doc_id", "start"]
+    rows = staged(strings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, NEIGHBOUR), "neighbours")
+    by_part = Window.orderBy("part")  # one row a partition
+    ends = rows.filter("string is not null").groupBy("part").agg(
+        F.max(F.when(F.col("doc_id").isNotNull(), F.col("string"))).alias("head_string"), F.max(F.when(F.col("doc_id").isNull(), F.col("string"))).alias("tail_string")
+    )
+    goes_on = ends.select("part", F.coalesce(F.lag("tail_string").over(by_part) == F.col("head_string"), F.lit(False)).alias("goes_on")).filter("goes_on")
+    late = rows.filter("doc_id is not null and (later or head)").join(goes_on, "part", "left")
+    late = late.filter(F.col("later") | (F.col("head") & F.coalesce("goes_on", F.lit(False))))
+    return late.select("doc_id", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the merged spans of each document."""
     for batch in batches:
@@ -368,32 +458,32 @@ def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of stages whose results are staged."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): key is the id, or for rows without one a number beyond all ids from their text."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    doc_id = docs["doc_id"].cast("long")
+    beyond = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, beyond).alias("key"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, large_anchor: int = LARGE_ANCHOR) -> DataFrame:
-    """Byte spans (doc_id, a, b) that later copies cover; spans of a document may overlap."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Byte spans (key, a, b) that later copies cover; spans of a document may overlap. ``key`` is the doc_id, or
+    stands for the text of rows without one."""
+    texts = _keyed(docs).select(F.col("key").alias("doc_id"), "text")
     order = ["anchor", "content", "doc_id", "place"]
     rows = staged(
         texts.mapInArrow(_file, SEGMENT).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_side_by_side, FILED), "segments"
     )
-    _free(spark)
-    # one row for each sorted partition
-    borders = F.broadcast(_borders(rows))
+    borders = staged(_borders(rows), "borders")  # one row for each sorted partition
     at_head, at_tail = F.col("border").bitwiseAND(1) > 0, F.col("border").bitwiseAND(2) > 0
     goes_on = (at_head & F.coalesce("from_before", F.lit(False))) | (at_tail & F.coalesce("into_next", F.lit(False)))
     later = ~F.col("first") | (at_head & F.coalesce("same_segment", F.lit(False)) & (F.col("content") == F.col("head_content")))
     known = rows.join(borders, "part", "left").select("anchor", "doc_id", "place", later.alias("later"), (F.col("several") | goes_on).alias("several"))
     first, more = F.shiftright("place", 8), F.col("place").bitwiseAND(255)
-    copies = known.filter("later").select("doc_id", first.alias("a"), (first + more + length).alias("b"))
-    open_rows = known.filter("not later and several").select("anchor", "doc_id", "place")
-    open_rows = staged(open_rows, "open-segments")
-    large = open_rows.groupBy("anchor").count().filter(F.col("count") > large_anchor).select("anchor", F.lit(True).alias("large"))
+    copies = staged(known.filter("later").select("doc_id", first.alias("a"), (first + more + length).alias("b")), "copies")
+    open_rows = staged(known.filter("not later and several").select("anchor", "doc_id", "place"), "open-segments")
+    discard(rows, borders)
+    large = staged(open_rows.groupBy("anchor").count().filter(F.col("count") > large_anchor).select("anchor", F.lit(True).alias("large")), "large-anchors")
     wanted = (
         open_rows.join(large, "anchor", "left").groupBy("doc_id")
         .agg(F.collect_list(F.struct("anchor", "place", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
@@ -401,27 +491,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large_anchor: int = LA
     cut = staged(
         texts.join(wanted, "doc_id").mapInArrow(_cut_out(length), "anchor long, doc_id long, start long, bytes binary, large boolean"), "segment-bytes"
     )
-    _free(spark)
+    discard(open_rows)
     met = cut.filter("not large").select("anchor", "doc_id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     found = met.mapInArrow(_factors(length), SPAN)
-    strings = staged(cut.filter("large").mapInArrow(_strings(length), "anchor long, string long, doc_id long, start long"), "strings")
-    least = strings.groupBy("anchor", "string").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    singles = strings.join(least, ["anchor", "string"]).filter(
-        (F.col("doc_id") != F.col("least.doc_id")) | (F.col("start") != F.col("least.start"))
-    ).select("doc_id", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-    spans = staged(copies.union(found).union(singles), "spans")
-    _free(spark)
+    if not large.isEmpty():
+        strings = cut.filter("large").select("doc_id", "start", "bytes").mapInArrow(_strings(length), STRING)
+        found = found.union(_sorted_over_cluster(strings, length))
+    spans = staged(copies.union(found).withColumnRenamed("doc_id", "key"), "spans")
+    discard(copies, large, cut)
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, large_anchor: int = LARGE_ANCHOR) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null texts count as empty; texts shorter than ``length`` lose nothing. Copies are told apart by
-    doc_id and start, so rows that share an id count as one document. An empty table gives an empty
-    result; other columns are ignored.
+    Null texts count as empty; texts shorter than ``length`` lose nothing. An id stands for one text, so
+    rows that share an id count as one document and lose what any of them repeats. Rows without an id
+    come after all others, in the order of a hash of their texts; wholly equal ones count as one document. An
+    empty table gives an empty result; other columns are ignored. ``large_anchor`` changes where the
+    work is done, not the result. The operator runs Spark jobs when it is called.
     """
-    spans = repeated_spans(docs, length)
-    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(by_doc, "doc_id", "left").mapInArrow(_merge, RESULT)
+    spans = repeated_spans(docs, length, large_anchor)
+    by_doc = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return _keyed(docs).join(by_doc, "key", "left").select("doc_id", "text", "spans").mapInArrow(_merge, RESULT)
