@@ -308,7 +308,7 @@ def main_text(source: str) -> str:
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(x) for x in batch.column("html").to_pylist()]
+        texts = [main_text(x) for lo in range(0, batch.num_rows, 64) for x in batch.column("html").slice(lo, 64).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],

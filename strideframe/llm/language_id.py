@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, trim
 
 HIDDEN = 8
 WINDOW = 128
@@ -224,6 +224,7 @@ def _predict(p: Params, languages: list[str]):
                     pa.array([languages[b] if ok else UNDETERMINED for b, ok in zip(best, decided)], pa.string()),
                     pa.array([float(min(1.0, probs[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, decided))], pa.float64()),
                 ], names=["doc_id", "held_out", "lang_pred", "score"])
+        trim()
 
     return run
 
@@ -233,7 +234,8 @@ def identify_languages(docs: DataFrame, model: tuple[Params, list[str]] | None =
 
     Null texts and texts without a letter are ``und`` with score 0. Without any labelled document all
     are ``und``. Repeated rows repeat their result, a null id is not held out, an empty table gives an
-    empty one, other columns are ignored. The prediction reads the text alone.
+    empty one, other columns are ignored. The prediction reads the text alone. The network is trained, on
+    a sample that Spark gathers, when the operator is called.
     """
     params, languages = model or fit(docs)
     return docs.select(
@@ -242,7 +244,8 @@ def identify_languages(docs: DataFrame, model: tuple[Params, list[str]] | None =
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is determined, with all their columns; no shuffle."""
+    """The rows of ``docs`` whose language is determined with a probability of ``min_score``, with all their columns;
+    no shuffle. Null texts and texts without a letter go; repeated rows and null ids are judged each by itself."""
     params, languages = fit(docs)
     predict = _predict(params, languages)
 

@@ -1,11 +1,11 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-Whole windows are cut from long documents at once. The rest is gathered into groups of GROUP_WINDOWS
-windows; differencing merges partial partitions with opposing imbalances until all pieces of a group
-lie in near-equal windows. A window over capacity hands the tail of its last pieces to windows with
-room, which undoes the near-equal loads; where cutting is turned off (no query does), the number of
-windows rises instead. What is left of the last
-window of a task is laid out in lengths that are powers of two, which need no padding.
+Whole windows are cut from long documents at once. The rest is gathered into groups of about GROUP_WINDOWS
+windows. A small share of a group's documents is set aside as filler; differencing merges partial partitions
+of the others with opposing imbalances until all lie, whole, in near-equal windows, and the number of
+windows rises whenever one exceeds the capacity. The room left in each window is then filled with slices of
+the filler, so only filler documents are cut. What a group leaves over goes into the next one; the last
+part-filled window of a task is laid out in lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .tokens import END_ID, encoder
 
 CAPACITY = 4096
 GROUP_WINDOWS = 16
+#: Share of a group that is set aside to fill the room that differencing leaves.
+FILLER = 0.03
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,47 +50,52 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else [[] for _ in range(k)]
 
 
-def pack(pieces: list[tuple[int, int, int]], capacity: int = CAPACITY, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length) of at most ``capacity`` ids. Pieces are at most that long."""
+Piece = tuple[int, int, int]
+
+
+def near_equal(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
+    """Windows of whole pieces (document, start, length) of at most ``capacity`` ids, by differencing: as few as hold
+    the total, and one more whenever a window is over capacity."""
     sizes = [p[2] for p in pieces]
-    total = sum(sizes)
-    if not total:
-        return []
-    k = -(-total // capacity)
-    while True:
+    k = max(1, -(-sum(sizes) // capacity))
+    while pieces:
         windows = [[pieces[i] for i in part] for part in difference(sizes, k)]
-        loads = [sum(p[2] for p in w) for w in windows]
-        if cut or max(loads) <= capacity:
-            break
+        if max(sum(p[2] for p in w) for w in windows) <= capacity:
+            return [w for w in windows if w]
         k += 1
-    if not cut:
-        return [w for w in windows if w]
-    order = sorted(range(k), key=lambda i: -loads[i])
-    windows, loads = [windows[i] for i in order], [loads[i] for i in order]
-    room = [capacity] * (k - 1) + [total - capacity * (k - 1)]
-    spare: list[tuple[int, int, int]] = []
-    for w, load, most in zip(windows, loads, room):
-        over = load - most
-        while over > 0:
-            doc, start, n = w.pop()
-            give = min(n, over)
-            if give < n:
-                w.append((doc, start, n - give))
-            spare.append((doc, start + n - give, give))
-            over -= give
-    for w, most in zip(windows, room):
-        need = most - sum(p[2] for p in w)
-        while need > 0:
-            doc, start, n = spare.pop()
-            take = min(n, need)
+    return []
+
+
+def pack(pieces: list[Piece], capacity: int = CAPACITY, filler_share: float = FILLER) -> tuple[list[list[Piece]], list[Piece]]:
+    """(full windows, pieces left over, of less than ``capacity`` ids). Pieces are at most ``capacity`` long."""
+    total = sum(p[2] for p in pieces)
+    whole, filler, n = list(pieces), [], total
+    while whole and n > (1 - filler_share) * total:
+        filler.append(whole.pop())
+        n -= filler[-1][2]
+    windows = sorted(near_equal(whole, capacity), key=lambda w: -sum(p[2] for p in w))
+    full: list[list[Piece]] = []
+    left = sum(p[2] for p in filler)
+    for _ in range(total // capacity):
+        window = windows.pop(0) if windows else []
+        room = capacity - sum(p[2] for p in window)
+        while left < room:  # the emptiest window becomes filler
+            given = windows.pop()
+            filler += given
+            left += sum(p[2] for p in given)
+        left -= room
+        while room:
+            doc, start, n = filler.pop()
+            take = min(n, room)
             if take < n:
-                spare.append((doc, start + take, n - take))
-            w.append((doc, start, take))
-            need -= take
-    return windows
+                filler.append((doc, start + take, n - take))
+            window.append((doc, start, take))
+            room -= take
+        full.append(window)
+    return full, [p for w in windows for p in w] + filler
 
 
-def powers(window: list[tuple[int, int, int]], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
+def powers(window: list[Piece], capacity: int = CAPACITY) -> list[list[Piece]]:
     """The pieces of a part-filled window in windows whose lengths are powers of two."""
     out, rest, p = [], list(reversed(window)), capacity
     left = sum(x[2] for x in window)
@@ -113,10 +120,10 @@ class _Packer:
 
     def __init__(self, part: int, capacity: int, windows: int, cut: bool) -> None:
         self.sequence, self.capacity, self.full, self.cut = part << 40, capacity, capacity * windows, cut
-        self.pieces: list[tuple[int, int, int]] = []
+        self.pieces: list[Piece] = []
         self.total, self.docs, self.rows = 0, {}, []
 
-    def _emit(self, window: list[tuple[int, int, int]]) -> None:
+    def _emit(self, window: list[Piece]) -> None:
         at = 0
         for doc, start, n in window:
             doc_id, ids = self.docs[doc]
@@ -133,29 +140,22 @@ class _Packer:
         if start == n:
             del self.docs[number]
             return
-        while self.cut and self.total + n - start >= self.full:
-            take = self.full - self.total
-            self.pieces.append((number, start, take))
-            start += take
-            self._close(number)
-            if start == n:
-                self.docs.clear()
-                return
         self.pieces.append((number, start, n - start))
         self.total += n - start
-        if not self.cut and self.total >= self.full:
-            self._close(None)
+        if self.total >= self.full:
+            self._close()
 
-    def _close(self, current) -> None:
-        for w in pack(self.pieces, self.capacity, self.cut):
+    def _close(self) -> None:
+        windows, self.pieces = pack(self.pieces, self.capacity) if self.cut else (near_equal(self.pieces, self.capacity), [])
+        for w in windows:
             self._emit(w)
-        self.docs = {current: self.docs[current]} if current in self.docs else {}
-        self.pieces, self.total = [], 0
+        self.docs = {doc: self.docs[doc] for doc, _, _ in self.pieces}
+        self.total = sum(p[2] for p in self.pieces)
 
     def end(self) -> None:
-        for w in pack(self.pieces, self.capacity, self.cut):
-            for part in powers(w, self.capacity) if self.cut else [w]:
-                self._emit(part)
+        self._close()
+        for part in powers(self.pieces, self.capacity):
+            self._emit(part)
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
@@ -169,9 +169,10 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null texts count as empty (one id, the end id). Repeated rows are packed each for itself. An empty
-    table gives no piece. Other columns are ignored. No shuffle: each task packs the rows it reads, with
-    one open group in memory, so a retried task makes the same pieces.
+    Null texts count as empty (one id, the end id), null ids pass through. Repeated rows are packed each for
+    itself. An empty table gives no piece. Other columns are ignored. No shuffle: each task packs the rows it
+    reads, with one open group in memory, so a retried task makes the same pieces. Without ``cut`` documents
+    shorter than the capacity stay whole, and windows keep the room that differencing leaves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ from .common import new_path
 from .tokens import END_ID, encoder
 
 SEGMENT_DOCS = 512
+#: Stands for a missing id in a file.
+NO_ID = -(1 << 63)
 SEGMENT_CHARS = 2_000_000
 SEGMENT = "part int, seq long, ids_before long, n_ids long, doc_ids binary, counts binary, words binary, block_starts binary"
 
@@ -49,7 +51,7 @@ def _encoder(vocabulary: str, path: str | None):
             words, starts = simple8b.encode(flat)
             yield pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()),
-                pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array([len(x) for x in coded], "<u4").tobytes()], pa.binary()),
+                pa.array([np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes()], pa.binary()), pa.array([np.array([len(x) for x in coded], "<u4").tobytes()], pa.binary()),
                 pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([starts.astype("<u4").tobytes()], pa.binary()),
             ], names=["part", "seq", "ids_before", "n_ids", "doc_ids", "counts", "words", "block_starts"])
             before += len(flat)
@@ -61,13 +63,13 @@ def _encoder(vocabulary: str, path: str | None):
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", tokenizer_path: str | None = None) -> None:
     """Encodes the whole text of every row (null: empty), appends id 2 and writes segments in ascending doc_id order.
 
-    Rows with equal ids are all written, one after the other. Null ids are not allowed and raise.
-    An empty table writes no segment. Columns other than doc_id and text are ignored.
+    Rows with equal ids are all written, one after the other; rows without an id come last. An empty table writes no segment. Columns other than doc_id and text are ignored.
     """
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .mapInArrow(_encoder(vocabulary, tokenizer_path), SEGMENT)
         .write.parquet(path)
     )
@@ -81,7 +83,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stops = np.concatenate([[0], np.cumsum(counts)])
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(stops[:-1] + row["start"]), pa.array(counts), pa.array(crc, pa.int64())],
+                [pa.array(ids, mask=ids == NO_ID), pa.array(stops[:-1] + row["start"]), pa.array(counts), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
@@ -104,7 +106,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tokenizer_path: str | None = None) -> DataFrame:
-    """Writes the files to the shared folder, reads them back and digests each document."""
+    """Writes the files to the shared folder, reads them back and digests each row of ``docs``: doc_id, start,
+    n_tokens, ids_crc32. Nulls, repeated rows and empty tables as ``write_token_files`` says; a null id is read back
+    as null. The files are written when the operator is called."""
     path = new_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, vocabulary, tokenizer_path)
     return token_digest(docs.sparkSession, path)
