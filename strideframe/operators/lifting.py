@@ -66,18 +66,21 @@ def hand_outliers(points: DataFrame, keys: list[str], radius: float = OUTLIER_RA
 
 
 def hand_boxes(points: DataFrame, keys: list[str], width: float, height: float, floor: float = 0.1, mean_floor: float = 0.3, scale: float = 2.0) -> DataFrame:
-    """A box around each hand's visible points, clipped to the frame, scaled about its centre, clipped again."""
-    seen = points.filter(F.col("lik") > floor).groupBy(*keys).agg(
+    """A box around each hand's visible points, clipped to the pixels of the frame, scaled about its centre, clipped
+    again. Hands of fewer than two points, of low likelihood, and boxes without an extent give none."""
+    there = finite(F.col("x")).isNotNull() & finite(F.col("y")).isNotNull() & (finite(F.col("lik")) > floor)
+    seen = points.filter(there).groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("lik").alias("mean_lik"), *[f(a).alias(f"{a}_{f.__name__}") for a in "xy" for f in (F.min, F.max)]
     ).filter((F.col("n") >= 2) & (F.col("mean_lik") >= mean_floor))
-    clip = lambda c, top: F.greatest(F.lit(0.0), F.least(c, F.lit(float(top))))
+    clip = lambda c, top: F.greatest(F.lit(0.0), F.least(c, F.lit(float(top - 1))))
+    boxes = seen.select(*keys, *[clip(F.col(f"{a}_{f}"), top).alias(f"{a}_{f}") for a, top in (("x", width), ("y", height)) for f in ("min", "max")])
+    boxes = boxes.filter((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")))
     out = []
     for a, top in (("x", width), ("y", height)):
-        low, high = clip(F.col(f"{a}_min"), top), clip(F.col(f"{a}_max"), top)
-        centre, half = (low + high) / 2, (high - low) * scale / 2
+        centre, half = (F.col(f"{a}_min") + F.col(f"{a}_max")) / 2, (F.col(f"{a}_max") - F.col(f"{a}_min")) * scale / 2
         lo, hi = clip(centre - half, top), clip(centre + half, top)
         out += [(a, lo), (f"size_{a}", hi - lo)]
-    return seen.select(*keys, *[c.alias(n) for n, c in out])
+    return boxes.select(*keys, *[c.alias(n) for n, c in out])
 
 
 def bone_samples(frames: DataFrame, bones: list[tuple[str, str, int, int]], floors: list[float], dims: int = 3) -> DataFrame:

@@ -64,12 +64,18 @@ def global_channel_scale(signals: DataFrame, channels: list[str]) -> DataFrame:
 
 
 def channel_weights(signals: DataFrame, channels: list[str]) -> DataFrame:
-    """clip_id, channel, weight: a reference's deviations in units of the global ones, summing to 1 (all 0 if they do)."""
-    ratio = channel_stats(signals, channels).join(global_channel_scale(signals, channels), "channel").withColumn("ratio", F.col("std") / F.col("scale"))
+    """clip_id, channel, weight: a reference's deviations (0 for a flat channel) in units of the global ones, summing to 1 (all 0 if they do)."""
+    ratio = channel_stats(signals, channels).join(global_channel_scale(signals, channels), "channel").withColumn("ratio", F.col("raw_std") / F.col("scale"))
     total = F.sum("ratio").over(Window.partitionBy("clip_id"))
     return ratio.select("clip_id", "channel", F.coalesce(F.try_divide("ratio", total), F.lit(0.0)).alias("weight"))
 
 
+def weight_report(weights: DataFrame) -> DataFrame:
+    """Each reference's channels by descending weight, with their place."""
+    place = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("weight"), "channel"))
+    return weights.withColumn("place", place).orderBy("clip_id", "place")
+
+
 def channel_zscores(signals: DataFrame, stats: DataFrame, reference_id: str, channels: list[str]) -> DataFrame:
     """Channels in a reference's units; missing values become 0."""
     mine = stats.filter(F.col("clip_id") == reference_id)
@@ -79,21 +85,46 @@ def channel_zscores(signals: DataFrame, stats: DataFrame, reference_id: str, cha
     return joined.select(*keep, *[F.coalesce((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s"), F.lit(0.0)).alias(c) for c in channels])
 
 
-def closed_dtw(query: np.ndarray, windows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Cost of warping ``query`` (m, c) onto each of ``windows`` (n, l, c), both ends fixed, by anti-diagonals."""
-    n, length = windows.shape[:2]
-    m = len(query)
-    inf = np.full((n, m + 1), np.inf)
-    before, last = inf.copy(), inf.copy()  # diagonals d - 2 and d - 1; column i + 1 holds row i
-    for d in range(m + length - 1):
-        i = np.arange(max(0, d - length + 1), min(m, d + 1))
-        now = inf.copy()
-        best = np.minimum(np.minimum(last[:, i + 1], last[:, i]), before[:, i])
+def closed_ends(query: np.ndarray, windows: np.ndarray, weights: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """(lengths, n) costs of warping ``query`` (m, c) onto the first frames of ``windows`` (c, l, n), for each of
+    ``lengths`` up to l; both ends fixed. One table serves all lengths, as a shorter window is a part of it. By
+    anti-diagonals, with the windows side by side in memory."""
+    m, (c, l, n) = len(query), windows.shape
+    last_at = {m + length - 2: k for k, length in enumerate(lengths)}
+    out = np.full((len(lengths), n), np.inf)
+    before, last, now = (np.full((m + 2, n), np.inf) for _ in range(3))  # diagonals d - 2, d - 1, d; row i + 1 holds row i
+    local, gap, least = (np.empty((m, n)) for _ in range(3))
+    scale = np.sqrt(weights)
+    for d in range(m + l - 1):
+        lo, hi = max(0, d - l + 1), min(m, d + 1)
+        k = hi - lo
+        for j in range(c):
+            to = local[:k] if j == 0 else gap[:k]
+            np.subtract(query[lo:hi, j, None], windows[j, d - hi + 1 : d - lo + 1][::-1], out=to)
+            to *= scale[j]
+            if c == 1:
+                np.abs(to, out=to)
+            else:
+                to *= to
+                if j:
+                    local[:k] += to
+        if c > 1:
+            np.sqrt(local[:k], out=local[:k])
+        best = np.minimum(last[lo + 1 : hi + 1], last[lo:hi], out=least[:k])
+        np.minimum(best, before[lo:hi], out=best)
         if d == 0:
             best[:] = 0.0
-        now[:, i + 1] = np.sqrt((weights * (query[None, i] - windows[:, d - i]) ** 2).sum(axis=2)) + best
-        before, last = last, now
-    return last[:, m]
+        np.add(local[:k], best, out=now[lo + 1 : hi + 1])
+        now[lo], now[hi + 1] = np.inf, np.inf  # beyond the table
+        if hi == m and d in last_at:
+            out[last_at[d]] = now[m]
+        before, last, now = last, now, before
+    return out
+
+
+def closed_dtw(query: np.ndarray, windows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Cost of warping ``query`` (m, c) onto each of ``windows`` (n, l, c), both ends fixed."""
+    return closed_ends(query, np.ascontiguousarray(windows.transpose(2, 1, 0)), weights, [windows.shape[1]])[0]
 
 
 def best_matches(
@@ -103,21 +134,29 @@ def best_matches(
 
     A series may be part of a longer one: it begins at frame ``firsts[k]`` of it, and windows begin in its first ``starts`` frames.
     """
-    m = len(query)
+    m, c = query.shape
     lengths = sorted({max(2, round(m * f)) for f in LENGTH_FACTORS})
     stride = max(1, m // 5)
-    best: list[tuple[int, int, float] | None] = [None] * len(series)
-    for length in lengths:
-        spots = [
-            (k, s) for k, x in enumerate(series)
-            for s in range(-(firsts[k] if firsts else 0) % stride, min(len(x) - length + 1, starts or len(x)), stride)
-        ]
-        for lo in range(0, len(spots), block):
-            part = spots[lo : lo + block]
-            costs = closed_dtw(query, np.stack([series[k][s : s + length] for k, s in part]), weights) / (m + length)
-            for (k, s), c in zip(part, costs.tolist()):
-                if best[k] is None or c < best[k][2]:
-                    best[k] = (s, length, c)
+    sizes = np.array([len(x) for x in series], np.int64)
+    joined = np.concatenate([*series, np.zeros((lengths[-1], c))]).T
+    base = np.cumsum(sizes) - sizes
+    first = [np.arange(-(firsts[k] if firsts else 0) % stride, min(len(x) - lengths[0] + 1, starts or len(x)), stride) for k, x in enumerate(series)]
+    own, spot = np.repeat(np.arange(len(series)), [len(x) for x in first]), np.concatenate([*first, np.zeros(0, np.int64)]).astype(np.int64)
+    room = sizes[own] - spot
+    costs = np.full((len(lengths), len(own)), np.inf)
+    for lo in range(0, len(own), block):
+        part = slice(lo, lo + block)
+        longest = min(lengths[-1], int(room[part].max()))
+        some = [n for n in lengths if n <= longest]
+        at = (base[own[part]] + spot[part])[None, :] + np.arange(longest)[:, None]
+        found = closed_ends(query, joined[:, at], weights, some) / (m + np.array(some))[:, None]
+        costs[: len(some), part] = np.where(room[None, part] >= np.array(some)[:, None], found, np.inf)
+    ends = np.searchsorted(own, np.arange(len(series) + 1))
+    best: list[tuple[int, int, float] | None] = []
+    for a, b in zip(ends[:-1], ends[1:]):
+        i = int(costs[:, a:b].argmin()) if b > a else 0  # by length, then by start
+        k, j = divmod(i, int(b - a)) if b > a else (0, 0)
+        best.append((int(spot[a + j]), lengths[k], float(costs[k, a + j])) if b > a and np.isfinite(costs[k, a + j]) else None)
     return best
 
 

@@ -77,6 +77,12 @@ def carry_forward(value: str, key: str = "clip_key", order: str = "frame_index")
     return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def carry_sampled(value: str, failed: Column, n: int, key: str = "clip_key", order: str = "frame_index") -> Column:
+    """The value of the last frame that was looked at, every ``n``-th from the first; NULL if looking failed there."""
+    seen = F.when(F.col(order) % n == 0, F.struct(F.when(~failed, F.col(value)).alias("v")))
+    return F.last(seen, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))["v"]
+
+
 def midpoint_rows(df: DataFrame, n: int = 10, key: str = "clip_key", order: str = "frame_index") -> DataFrame:
     """The ``n`` middle rows of each clip that has as many; ``is_middle`` marks the one at n // 2."""
     total = F.count("*").over(Window.partitionBy(key))
@@ -90,3 +96,66 @@ def flatten_persons(frames: DataFrame) -> DataFrame:
     person = frames.select("frame", F.posexplode("persons").alias("person_id", "kp"))
     rounded = F.transform("kp", lambda k: F.transform(k, lambda v, i: F.when(i == F.size(k) - 1, F.bround(v, 3)).otherwise(F.bround(v, 2))))
     return person.select("frame", "person_id", rounded.alias("kp"))
+
+
+def whole_body_to_joints(points: Column) -> Column:
+    """The joints of a whole-body detection of 133 points: the body, and both hands."""
+    return F.concat(F.slice(points, 1, 17), F.slice(points, 92, 42))
+
+
+def place_hands(labels: Column, hands: Column, n_hand: int = 21) -> Column:
+    """Detected hands in their slots, left before right; a hand that was not detected is missing. A label that occurs
+    twice takes its last hand."""
+    def slot(label: str) -> Column:
+        at = F.size(labels) - F.array_position(F.reverse(labels), label)
+        found = F.when(F.array_contains(labels, label), F.get(hands, at.cast("int")))
+        return F.transform(F.sequence(F.lit(0), F.lit(n_hand - 1)), lambda i: F.get(found, i))
+
+    return F.concat(slot("left"), slot("right"))
+
+
+def frame_range(frames: DataFrame, start: int = 0, end: int = -1, stride: int = 1, number: str = "frame_number") -> DataFrame:
+    """Every ``stride``-th frame from ``start`` to before ``end`` (-1: to the last)."""
+    n = F.col(number)
+    return frames.filter((n >= start) & (F.lit(end == -1) | (n < end)) & ((n - start) % stride == 0))
+
+
+def visible_joints(frames: DataFrame, hidden: list[int], dims: int = 3, floor: float = 0.05) -> DataFrame:
+    """Rows (clip_key, frame_number, joint, coordinates, lik) of joints that are there, confident and not hidden."""
+    axes = AXES[:dims]
+    long = frames.select("clip_key", "frame_number", F.posexplode("kp").alias("joint", "k")).select("clip_key", "frame_number", "joint", *[F.col(f"k.{a}") for a in axes], "k.lik")
+    there = reduce(lambda a, b: a & b, [finite(F.col(a)).isNotNull() for a in axes])
+    return long.filter(there & (F.col("lik") >= floor) & ~F.col("joint").isin(hidden))
+
+
+def extents(points: DataFrame, axes: str, key: str = "clip_key") -> DataFrame:
+    """Plot ranges of each group: in 2D the bounds, widened by 13 % of the larger span; in 3D a cube of 1.18 times half
+    the largest span, 1e-3 at least, about the middle."""
+    found = points.groupBy(key).agg(*[f(a).alias(f"{a}_{f.__name__}") for a in axes for f in (F.min, F.max)])
+    span = F.greatest(*[F.col(f"{a}_max") - F.col(f"{a}_min") for a in axes])
+    if len(axes) == 2:
+        return found.select(key, *[c for a in axes for c in ((F.col(f"{a}_min") - span * 0.13).alias(f"{a}_low"), (F.col(f"{a}_max") + span * 0.13).alias(f"{a}_high"))])
+    half = F.greatest(span / 2, F.lit(1e-3)) * 1.18
+    middle = {a: (F.col(f"{a}_min") + F.col(f"{a}_max")) / 2 for a in axes}
+    return found.select(key, *[c for a in axes for c in ((middle[a] - half).alias(f"{a}_low"), (middle[a] + half).alias(f"{a}_high"))])
+
+
+def trail_alpha(age: Column, n: Column) -> Column:
+    """How opaque the pose of an ``age`` (0 the oldest) among ``n`` is drawn."""
+    return F.when(n == 1, 1.0).otherwise(0.10 + 0.90 * F.pow(F.try_divide(age.cast("double"), n - 1), F.lit(1.7)))
+
+
+def companion_pixels(frames: DataFrame, companion: DataFrame) -> DataFrame:
+    """3D frames with the 2D keypoints of the same clip and place as ``kp_2d``; a clip whose companion has another number
+    of frames has none."""
+    n = lambda df, name: df.groupBy("clip_key").agg(F.count("*").alias(name))
+    good = n(frames, "_a").join(n(companion, "_b"), "clip_key").filter("_a = _b").select("clip_key")
+    pixels = companion.join(good, "clip_key", "left_semi").select("clip_key", "frame_index", F.col("kp").alias("kp_2d"))
+    return frames.join(pixels, ["clip_key", "frame_index"], "left")
+
+
+def frame_mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(clip_key, frame_number) that only one of two tables has."""
+    keys = ["clip_key", "frame_number"]
+    one, two = a.select(*keys), b.select(*keys)
+    return one.join(two, keys, "left_anti").union(two.join(one, keys, "left_anti"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The stages of a recording, in order.
@@ -70,3 +70,37 @@ def require_known(requested: DataFrame, clips: DataFrame) -> None:
     missing = [r["clip_id"] for r in unknown_references(requested, clips).orderBy("clip_id").limit(20).collect()]
     if missing:
         raise ValueError(f"unknown reference ids: {', '.join(missing)}")
+
+
+def seconds_ago(seconds: Column) -> Column:
+    """How long ago, in words: seconds, minutes or hours, rounded half up."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5)).cast("long")
+    minutes, hours = F.floor(s / 60.0 + 0.5), F.floor(F.floor(s / 60.0 + 0.5) / 60.0 + 0.5)
+    text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    return F.when(s < 5, "just now").when(s < 60, text(s, "s ago")).when(minutes < 60, text(minutes, "m ago")).otherwise(text(hours, "h ago"))
+
+
+def model_kinds(name: Column) -> dict[str, Column]:
+    """Of a depth model's name: whether its output needs scaling to metres, and whether it looks at frames together."""
+    short = F.lower(F.element_at(F.split(F.regexp_replace(name, "/+$", ""), "/"), -1))
+    metric_only = short.contains("metric") & ~short.contains("nested")
+    return {"is_metric_only": metric_only, "cross_view": ~(short.contains("mono") | metric_only)}
+
+
+def excerpt_name(rank: Column, participant: Column, clip: Column, first: Column, last: Column) -> Column:
+    """The file name of an excerpt: neighbours count rows and end before ``last``, matches count frame numbers and end with it."""
+    return F.format_string("rank%02d_%s_%s_f%05d-%05d.mp4", rank, participant, clip, first, last)
+
+
+def neighbour_clips(neighbours: DataFrame, clips: DataFrame) -> DataFrame:
+    """Neighbours (rank, participant_id, clip_id, window_start_frame, n_frames) with their clips' other columns and the
+    name of their excerpt; those whose clip is not there are left out."""
+    end = F.col("window_start_frame") + F.col("n_frames")
+    name = excerpt_name(F.col("rank"), F.col("participant_id"), F.col("clip_id"), F.col("window_start_frame"), end)
+    return neighbours.join(clips, ["participant_id", "clip_id"]).withColumn("excerpt", name)
+
+
+def select_people(recordings: DataFrame, schools: list[str] | None = None, participants: list[str] | None = None) -> DataFrame:
+    """The recordings of some schools and participants; None means all."""
+    out = recordings if schools is None else recordings.filter(F.col("school").isin(schools))
+    return out if participants is None else out.filter(F.col("participant").isin(participants))

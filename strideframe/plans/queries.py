@@ -109,16 +109,20 @@ def sliding_window_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_event_features(spark, d), ["value_mean", "value_std"])
 
 
-def _pose_features(spark: SparkSession, d: str) -> DataFrame:
-    s = _signals(spark, d, SMALL_2D)
+def _pose_features(spark: SparkSession, d: str, layout=SMALL_2D) -> DataFrame:
+    s = _signals(spark, d, layout)
     sizes = features.window_sizes(s).select("fps", F.greatest(F.lit(2), F.bround(F.col("window_frames") / 4).cast("int")).alias("window_frames"))
-    return features.feature_table(s, signal_names(2), ["clip_key", "clip_id", "is_reference"], sizes).persist()
+    return features.feature_table(s, signal_names(layout.dims), ["clip_key", "clip_id", "is_reference"], sizes).persist()
 
 
 def pose_window_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_pose_features(spark, d), feature_names(2), 4)
 
 
+def pose_window_features_3d(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_pose_features(spark, d, SMALL_3D), feature_names(3), 3)
+
+
 def dropna_features(spark: SparkSession, d: str) -> DataFrame:
     table = features.drop_incomplete(_pose_features(spark, d), feature_names(2))
     return table.groupBy("clip_id").agg(F.count("*").alias("windows"))
@@ -158,7 +162,7 @@ def convex_hull(spark: SparkSession, d: str) -> DataFrame:
     return matching.convex_hull(_points(spark, d), "label", "u", "v")
 
 
-CHANNELS = dtw_channels(2)
+CHANNELS, CHANNELS_3D = dtw_channels(2), dtw_channels(3)
 
 
 def channel_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +197,20 @@ def dtw_pose_match(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.dtw_matches(clips, CHANNELS), ["normalized_cost"])
 
 
+def channel_weights_3d(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(matching.channel_weights(_signals(spark, d, SMALL_3D), CHANNELS_3D), ["weight"], 4)
+
+
+def weight_report(spark: SparkSession, d: str) -> DataFrame:
+    weights = matching.channel_weights(_signals(spark, d, SMALL_2D), CHANNELS)
+    return rounded(matching.weight_report(weights), ["weight"], 5)
+
+
+def dtw_pose_match_3d(spark: SparkSession, d: str) -> DataFrame:
+    clips = adapters.bounded_clips(_signals(spark, d, SMALL_3D))
+    return rounded(matching.dtw_matches(clips, CHANNELS_3D), ["normalized_cost"])
+
+
 def match_overlay_progress(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d)
     spans = s.filter("not is_reference").groupBy("clip_key").agg(
@@ -238,7 +256,7 @@ def _shoulder_pairs(spark: SparkSession, d: str) -> DataFrame:
     r = adapters.rasters(spark, d)
     k = F.col("kp")
     at = lambda s: lifting.bilinear(F.col("depth"), (k[s]["x"] + 1) * 3, (k[s]["y"] + 1) * 3, F.col("w"), F.col("h"))
-    return p.join(r, "frame_number").select(
+    return p.join(r, "frame_number", "left").select(  # a pose without a raster has no depth
         F.col("clip_key").alias("run"), "frame_number",
         *[k[s][a].alias(f"{n}{b}") for s, n in ((0, "l"), (1, "r")) for a, b in (("x", "x"), ("y", "y"), ("lik", "lik"))], at(0).alias("dl"), at(1).alias("dr"),
     )
@@ -294,7 +312,7 @@ def progress_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def progress_missing_stage(spark: SparkSession, d: str) -> DataFrame:
-    out = progress.filter_recordings(adapters.hierarchy(spark, d), FLAGS, search="an", status="incomplete", missing="s3")
+    out = progress.filter_recordings(adapters.hierarchy(spark, d), FLAGS, search="nation_1", status="incomplete", missing="s3")
     return out.select("school", "participant", "recording", "completed")
 
 
@@ -333,9 +351,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         shoulder_width, likelihood_mask_rate, nanmean_rowwise, frame_signals_2d, frame_signals_3d, timeseries_time_s, merge_sources, smooth_centered,
-        smooth_asymmetric, gap_interpolation, locf, midpoint_window, reference_length_table, window_size, sliding_window_features, pose_window_features,
+        smooth_asymmetric, gap_interpolation, locf, midpoint_window, reference_length_table, window_size, sliding_window_features, pose_window_features, pose_window_features_3d,
         dropna_features, normalize_per_clip, standard_scaler, pca_projection, knn_reference_windows, convex_hull, channel_stats, global_channel_scale,
-        channel_weights, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, match_overlay_progress, dtw_match_overlay, bone_lengths, bone_length_cv_report,
+        channel_weights, channel_weights_3d, weight_report, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, dtw_pose_match_3d, match_overlay_progress, dtw_match_overlay, bone_lengths, bone_length_cv_report,
         pbd_fit_skeleton, depth_bilinear_sample, depth_calibrate_scale, backproject_lift, hand_outlier_flags, hand_bboxes, depth_delta_roundtrip,
         axis_limits, progress_stages, progress_rollup, progress_totals, progress_missing_stage, reference_ids, participant_palette_rank,
         stale_runs_antijoin, unknown_references, person_frame_flatten, props_field,

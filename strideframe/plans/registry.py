@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.plans import oracles
+from strideframe.plans import oracles, recordings
 from strideframe.plans import queries as q
 
 
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(q.QUERIES)
+    return {**q.QUERIES, **recordings.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    return {**oracles.ORACLES, **recordings.ORACLES}

@@ -5,7 +5,9 @@ import pytest
 
 import __spark_entry__ as contract
 from strideframe.plans import queries as q
-from strideframe.plans.oracles import ORACLES
+from strideframe.plans.registry import oracle_sql, queries
+
+ORACLES = oracle_sql()
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -24,9 +26,11 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf, con, name):
-    df = q.QUERIES[name](spark, sf)
+    df = queries()[name](spark, sf)
     cols = sorted(df.columns)
     got = by_value(tuple(r) for r in df.select(*cols).collect())
+    spark.catalog.clearCache()
+    assert got
     assert got == by_value(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
 
 
