@@ -31,7 +31,7 @@ from .dart_minhash import mix
 LENGTH = 100
 GRAM = 36
 #: Different segments of one anchor that one task puts in suffix order; beyond it the cluster does.
-LARGE_ANCHOR = 2_000
+LARGE_ANCHOR = 500
 CHUNK_BYTES = 1_000_000
 #: Bytes whose suffixes are sorted at a time.
 SUFFIX_BYTES = 1_000_000
