@@ -80,33 +80,16 @@ def drop_incomplete(table: DataFrame, features: list[str]) -> DataFrame:
     return table.na.drop(how="any", subset=features)
 
 
-def normalise(table: DataFrame, features: list[str]) -> DataFrame:
+def normalise_at_scale(table: DataFrame, features: list[str]) -> DataFrame:
     """z-scores: references against all references; other clips against themselves, with the pooled
     deviation where their own is 0, and pooled mean and deviation where they have one window. What is
-    still missing is 0."""
-    kind = Window.partitionBy("is_reference")
+    still missing is 0. A clip's own statistics are taken where its rows lie; the pooled ones, of a group that
+    holds nearly all rows, are aggregated first and come back as two rows."""
     clip = Window.partitionBy("is_reference", "clip_id")
-    single = F.count("*").over(clip) == 1
-    out = [c for c in table.columns if c not in features]
-    cols = []
-    for f in features:
-        pooled_mean, pooled_std = F.avg(f).over(kind), F.stddev_pop(f).over(kind)
-        own = ~F.col("is_reference") & ~single
-        mean = F.when(own, F.avg(f).over(clip)).otherwise(pooled_mean)
-        std = F.when(own, F.coalesce(F.nullif(F.stddev_pop(f).over(clip), F.lit(0.0)), pooled_std)).otherwise(pooled_std)
-        cols.append(F.coalesce(F.try_divide(F.col(f) - mean, F.nullif(std, F.lit(0.0))), F.lit(0.0)).alias(f))
-    return table.select(*out, *cols)
-
-
-def normalise_at_scale(table: DataFrame, features: list[str]) -> DataFrame:
-    """The same, with the statistics aggregated before they are joined, so that the pooled group, which
-    holds nearly all rows, never meets in one task."""
-    stats = lambda by, p: table.groupBy(*by).agg(
-        F.count("*").alias(f"{p}n"), *[a for f in features for a in (F.avg(f).alias(f"{p}m_{f}"), F.stddev_pop(f).alias(f"{p}s_{f}"))]
-    )
-    pooled, own = stats(["is_reference"], "_p"), stats(["is_reference", "clip_id"], "_c")
-    joined = table.join(own, ["is_reference", "clip_id"]).join(F.broadcast(pooled), "is_reference")  # two rows
-    alone = ~F.col("is_reference") & (F.col("_cn") > 1)
+    pooled = table.groupBy("is_reference").agg(*[a for f in features for a in (F.avg(f).alias(f"_pm_{f}"), F.stddev_pop(f).alias(f"_ps_{f}"))])
+    own = table.select("*", F.count("*").over(clip).alias("_n"), *[a for f in features for a in (F.avg(f).over(clip).alias(f"_cm_{f}"), F.stddev_pop(f).over(clip).alias(f"_cs_{f}"))])
+    joined = own.join(F.broadcast(pooled), "is_reference")  # two rows
+    alone = ~F.col("is_reference") & (F.col("_n") > 1)
     cols = []
     for f in features:
         mean = F.when(alone, F.col(f"_cm_{f}")).otherwise(F.col(f"_pm_{f}"))

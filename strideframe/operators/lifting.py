@@ -101,7 +101,9 @@ def bone_lengths(samples: DataFrame, bones: DataFrame) -> DataFrame:
 
 
 def bone_report(lengths: DataFrame) -> DataFrame:
-    return lengths.orderBy(F.desc_nulls_last("cv"), "clip_key", "bone")
+    """The bones of each clip by descending spread, missing ones last, with their place."""
+    place = F.row_number().over(Window.partitionBy("clip_key").orderBy(F.desc_nulls_last("cv"), "bone"))
+    return lengths.withColumn("place", place).orderBy("clip_key", "place")
 
 
 def relax(positions: np.ndarray, likelihood: np.ndarray, bones: list[tuple[int, int]], lengths: np.ndarray, floors: np.ndarray, iterations: int = 30, stiffness: float = 1.0) -> np.ndarray:
@@ -170,9 +172,45 @@ def delta_decode(df: DataFrame, delta: str, key: str, order: str) -> Column:
     return wrap_int16(F.sum(delta).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Values that are looked at one by one where a quantile lies.
+QUANTILE_VALUES = 100_000
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], most: int = QUANTILE_VALUES) -> list[float | None]:
+    """Quantiles of a whole column, interpolated between neighbours. Values are counted in buckets, and the bucket that
+    holds the sought place is divided again until few enough values are left, so nothing grows with the table."""
+    v = df.select(finite(F.col(column).cast("double")).alias("v")).filter("v is not null")
+    n, least, greatest = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+
+    def at(place: int) -> float:
+        lo, hi, below, inside = least, greatest, 0, n
+        while inside > most and lo < hi:
+            bucket = F.least(F.lit(1023), F.floor((F.col("v") - lo) / ((hi - lo) / 1024)))
+            rows = v.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            for r in sorted(rows, key=lambda r: r["b"]):
+                if below + r["n"] > place:
+                    lo, hi, inside = r["lo"], r["hi"], r["n"]
+                    break
+                below += r["n"]
+        if lo == hi:
+            return lo
+        return sorted(r["v"] for r in v.filter((F.col("v") >= lo) & (F.col("v") <= hi)).collect())[place - below]
+
+    out: list[float | None] = []
+    for share in shares:
+        if not n:
+            out.append(None)
+            continue
+        place = (n - 1) * share
+        low = at(int(place))
+        out.append(low + (at(min(n - 1, int(place) + 1)) - low) * (place - int(place)))
+    return out
+
+
 def axis_limits(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, pad: float = 0.08) -> DataFrame:
-    """Plot limits of each column: percentiles, padded by a share of their span."""
-    wide = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns])
-    span = lambda c: (F.col(c)[1] - F.col(c)[0]) * pad
-    rows = F.array(*[F.struct(F.lit(c).alias("axis"), (F.col(c)[0] - span(c)).alias("low"), (F.col(c)[1] + span(c)).alias("high")) for c in columns])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    """Plot limits of each column: percentiles, padded by a share of their span. The percentiles are computed when it is called."""
+    rows = []
+    for c in columns:
+        a, b = exact_quantiles(df, c, [low, high])
+        rows.append((c, None, None) if a is None else (c, a - (b - a) * pad, b + (b - a) * pad))
+    return df.sparkSession.createDataFrame(rows, "axis string, low double, high double")

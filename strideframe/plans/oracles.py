@@ -252,7 +252,7 @@ ORACLES = {
     "channel_weights_3d": f"WITH {weights_sql(3)} SELECT clip_id, channel, {_digits(['weight'], 4)} FROM weights",
     "weight_report": f"WITH {weights_sql(2)} SELECT clip_id, channel, {_digits(['weight'], 5)}, (row_number() OVER (PARTITION BY clip_id ORDER BY weight DESC, channel))::INT AS place FROM weights",
     "bone_lengths": f"WITH {BONE_SAMPLES}, m AS (SELECT clip_key, mirror, {BONE_ROWS} FROM b GROUP BY ALL) SELECT clip_key, bone, n, median_m, std_m, cv FROM m JOIN names USING (mirror)",
-    "bone_length_cv_report": f"WITH {BONE_SAMPLES}, m AS (SELECT mirror, {BONE_ROWS} FROM b GROUP BY ALL) SELECT bone, n, median_m, std_m, cv FROM m JOIN names USING (mirror)",
+    "bone_length_cv_report": f"WITH {BONE_SAMPLES}, m AS (SELECT clip_key, mirror, {BONE_ROWS} FROM b GROUP BY ALL) SELECT clip_key, bone, n, median_m, std_m, cv, (row_number() OVER (PARTITION BY clip_key ORDER BY cv DESC NULLS LAST, bone))::INT AS place FROM m JOIN names USING (mirror)",
     "depth_bilinear_sample": f"WITH {POSE} SELECT frame_number, round({_bilinear('((frame_number % 11) * 0.77::DOUBLE - 0.4::DOUBLE)', '((frame_number % 7) * 1.21::DOUBLE - 0.3::DOUBLE)')}, 6) AS depth_at FROM p",
     "depth_calibrate_scale": f"""WITH {SHOULDERS}, s AS (SELECT run, sqrt((rx - lx) ** 2 + (ry - ly) ** 2) AS n, (dl + dr) / 2 AS z FROM q WHERE llik >= 0.5 AND rlik >= 0.5 AND dl > 0 AND dr > 0),
         m AS (SELECT run, count(*) AS n_samples, median(n * z) AS m FROM s WHERE n >= 1e-3 GROUP BY run)

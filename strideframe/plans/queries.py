@@ -39,9 +39,9 @@ def nanmean_rowwise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, d: str, layout) -> DataFrame:
+    """The signals, cached: several consumers of a query read them, and the cached relation keeps their generated code
+    small. It spills to disk and is made anew if an executor goes; ``spark.catalog.clearCache()`` releases it."""
     frames = adapters.pose_2d(spark, d) if layout.dims == 2 else adapters.pose_3d(spark, d)
-    # several consumers read the signals, and the cached relation keeps their generated code small;
-    # it spills to disk and is made anew from its inputs if an executor goes
     return signals.frame_signals(frames, layout).persist()
 
 
@@ -235,8 +235,7 @@ def bone_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 def bone_length_cv_report(spark: SparkSession, d: str) -> DataFrame:
     samples = lifting.bone_samples(adapters.pose_3d(spark, d), BONES_3D, FLOORS_3D)
-    every = samples.withColumn("clip_key", F.lit(0))
-    return rounded(lifting.bone_report(lifting.bone_lengths(every, _bone_table(spark))).drop("clip_key"), ["median_m", "std_m", "cv"])
+    return rounded(lifting.bone_report(rounded(lifting.bone_lengths(samples, _bone_table(spark)), ["cv"])), ["median_m", "std_m", "cv"])
 
 
 def pbd_fit_skeleton(spark: SparkSession, d: str) -> DataFrame:

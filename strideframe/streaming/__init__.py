@@ -1,0 +1 @@
+"""Signals of recordings that are still running, as streams."""
