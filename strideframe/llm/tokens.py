@@ -18,7 +18,7 @@ import numpy as np
 from .common import trim
 
 #: Words kept by a Python worker while it works on a task, and from one task to the next; beyond it the cache starts anew.
-CACHE_WORDS, LASTING_WORDS = 300_000, 150_000
+CACHE_WORDS, LASTING_WORDS = 700_000, 150_000
 TAIL = ".,;:!?"
 END_ID = 2
 
