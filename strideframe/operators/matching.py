@@ -16,7 +16,7 @@ BLOCK_STARTS = 256
 QUERY_BLOCK, WINDOW_PARTS = 100_000, 64
 GROUP_VALUES = 400_000
 #: Groups of clips at least, so that a small table spreads over the tasks too.
-CLIP_GROUPS = 24
+CLIP_GROUPS, MOST_PARTS = 24, 20_000
 
 
 def nearest_windows(queries: DataFrame, windows: DataFrame, axes: list[str], k: int = 10) -> DataFrame:
@@ -224,6 +224,9 @@ def dtw_matches(signals: DataFrame, channels: list[str], references: list[str] |
 
     names = [x.split()[0] for x in MATCH.split(", ")]
     keys = ["longest", "ref_group", "clip_group"]
+    # a partition a group: the tables are small for the work in them, and adaptive execution would put them in one task
+    n_parts = min(MOST_PARTS, sum(n_refs * n_clips for _, _, n_refs, n_clips in classes)) or 1
+    wide, blocks = wide.repartition(n_parts, *keys), blocks.repartition(n_parts, *keys)
     found = wide.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(scan, MATCH)
     order = F.struct("normalized_cost", "window_length_frames", "start")
     best = found.groupBy("reference_id", "clip_key", "clip_id").agg(F.min_by(F.struct(*names[3:]), order).alias("best"))
@@ -249,6 +252,26 @@ def match_overlay(signals: DataFrame, matches: DataFrame, channels: list[str]) -
     )
 
 
+def overlay_channels(signals: DataFrame, matches: DataFrame, channels: list[str]) -> DataFrame:
+    """reference_id, clip_key (null for the reference itself), progress and the channels in the reference's units, missing ones 0:
+    the frames of each match beside those of its reference."""
+    stats = channel_stats(signals, channels).groupBy("clip_id").pivot("channel", channels).agg(F.first("mean").alias("m"), F.first("std").alias("s"))
+    stats = stats.withColumnRenamed("clip_id", "reference_id")
+    found = match_overlay(signals, matches, channels).drop("frame_index")
+    n = F.count("*").over(Window.partitionBy("clip_id"))
+    own = signals.filter("is_reference").join(matches.select(F.col("reference_id").alias("clip_id")).distinct(), "clip_id", "left_semi").select(
+        F.col("clip_id").alias("reference_id"), F.lit(None).cast(found.schema["clip_key"].dataType).alias("clip_key"),
+        F.coalesce(F.try_divide(F.col("frame_index").cast("double"), n - 1), F.lit(0.0)).alias("progress"), *channels,
+    )
+    z = [F.coalesce((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s"), F.lit(0.0)).alias(c) for c in channels]
+    return found.union(own).join(stats, "reference_id").select("reference_id", "clip_key", "progress", *z)
+
+
+def match_table(matches: DataFrame, clips: DataFrame, k: int = 5) -> DataFrame:
+    """The best ``k`` clips of each reference with the columns of ``clips`` (clip_id, participant_id, school, ...)."""
+    return top_matches(matches, k).join(clips, "clip_id", "left")
+
+
 def convex_hull(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Hull corners of each group of points, counter-clockwise; none for fewer than three points or a line.
 

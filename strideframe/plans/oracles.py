@@ -187,6 +187,11 @@ HANDS = POSE + ", h AS (" + " UNION ALL ".join(
 ) + ")"
 
 
+BOXES = """s AS (SELECT frame_number, side, greatest(0, min((x + 1) * 320)) AS x0, least(639, max((x + 1) * 320)) AS x1, greatest(0, min((y + 1) * 240)) AS y0, least(479, max((y + 1) * 240)) AS y1
+          FROM h WHERE lik > 0.1 GROUP BY ALL HAVING count(*) >= 2 AND avg(lik) >= 0.3),
+        z AS (SELECT frame_number, side, greatest(0, (x0 + x1) / 2 - (x1 - x0)) AS ax, least(639, (x0 + x1) / 2 + (x1 - x0)) AS bx, greatest(0, (y0 + y1) / 2 - (y1 - y0)) AS ay, least(479, (y0 + y1) / 2 + (y1 - y0)) AS high_y
+          FROM s WHERE x1 > x0 AND y1 > y0)"""
+
 ORACLES = {
     "merge_sources": f"""SELECT frame, round(b.v, 6) AS body_value, round(f.v, 6) AS full_body_value, round(h.v, 6) AS hand_value, round(coalesce(b.v, f.v, h.v), 6) AS value
         FROM {_SOURCE.format("click")} b FULL JOIN {_SOURCE.format("view")} f USING (frame) FULL JOIN {_SOURCE.format("purchase")} h USING (frame)""",
@@ -260,11 +265,13 @@ ORACLES = {
     "backproject_lift": f"WITH {SHOULDERS} SELECT frame_number, round((lx - 4) * dl / 8, 6) + 0 AS x, round((ly - 4) * dl / 8, 6) + 0 AS y, round(dl, 6) + 0 AS z FROM q",
     "hand_outlier_flags": f"""WITH {HANDS}, c AS (SELECT frame_number, side, count(*) AS n, median(x) AS cx, median(y) AS cy, median(z) AS cz FROM h WHERE lik >= 0.05 GROUP BY ALL)
         SELECT frame_number, side, joint, coalesce(lik >= 0.05 AND n >= 2 AND joint <> 0 AND sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2) > 0.15, false) AS outlier FROM h LEFT JOIN c USING (frame_number, side)""",
-    "hand_bboxes": f"""WITH {HANDS}, s AS (SELECT frame_number, side, greatest(0, min((x + 1) * 320)) AS x0, least(639, max((x + 1) * 320)) AS x1, greatest(0, min((y + 1) * 240)) AS y0, least(479, max((y + 1) * 240)) AS y1
-          FROM h WHERE lik > 0.1 GROUP BY ALL HAVING count(*) >= 2 AND avg(lik) >= 0.3),
-        z AS (SELECT frame_number, side, greatest(0, (x0 + x1) / 2 - (x1 - x0)) AS ax, least(639, (x0 + x1) / 2 + (x1 - x0)) AS bx, greatest(0, (y0 + y1) / 2 - (y1 - y0)) AS ay, least(479, (y0 + y1) / 2 + (y1 - y0)) AS high_y
-          FROM s WHERE x1 > x0 AND y1 > y0)
-        SELECT frame_number, side, round(ax, 6) AS x, round(ay, 6) AS y, round(bx - ax, 6) AS size_x, round(high_y - ay, 6) AS size_y FROM z""",
+    "hand_bboxes": f"""WITH {HANDS}, {BOXES} SELECT frame_number, side, round(ax, 6) AS x, round(ay, 6) AS y, round(bx - ax, 6) AS size_x, round(high_y - ay, 6) AS size_y FROM z""",
+    "hand_boxes_of_frames": f"""WITH {HANDS}, {BOXES}, n AS (SELECT frame_number, count(*) AS boxes, max(side) AS last_side FROM z WHERE frame_number % 6 <> 0 GROUP BY ALL)
+        SELECT frame_number, coalesce(boxes, 0) AS boxes, last_side FROM p LEFT JOIN n USING (frame_number)""",
+    "match_overlay_channels": f"""WITH {SIGNAL}, r AS (SELECT coalesce(avg(value), 0) AS m, CASE WHEN stddev_pop(value) > 1e-6 THEN stddev_pop(value) ELSE 1 END AS d FROM s WHERE clip_id = 'user_00010' AND is_reference),
+        o AS (SELECT clip_key, (frame_index - 3) / 11 AS progress, value FROM s WHERE NOT is_reference AND frame_index BETWEEN 3 AND 14
+          UNION ALL SELECT NULL, frame_index / nullif(count(*) OVER () - 1, 0), value FROM s WHERE clip_id = 'user_00010')
+        SELECT 'user_00010' AS reference_id, clip_key, round(progress, 5) AS progress, round(coalesce((value - m) / d, 0), 5) + 0 AS value FROM o, r""",
     "person_frame_flatten": "WITH p AS (SELECT vec_id AS frame, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings) " + " UNION ALL ".join(
         f"SELECT frame, {i} AS person_id, " + ", ".join(
             f"round_even(e[{o + 3 * j + 1}], 2) + 0 AS kpt{j}_x, round_even(e[{o + 3 * j + 2}], 2) + 0 AS kpt{j}_y, round_even(abs(e[{o + 3 * j + 3}]), 3) + 0 AS kpt{j}_score" for j in range(3)

@@ -219,6 +219,19 @@ def match_overlay_progress(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.match_overlay(s, spans, ["value"]), ["progress", "value"])
 
 
+def match_overlay_channels(spark: SparkSession, d: str) -> DataFrame:
+    s = adapters.signal(spark, d)
+    spans = s.filter("not is_reference").groupBy("clip_key").agg(
+        F.lit("user_00010").alias("reference_id"), (F.min("frame_index") + 3).alias("start"), F.lit(12).alias("window_length_frames")
+    )
+    return rounded(matching.overlay_channels(s, spans, ["value"]), ["progress", "value"], 5)
+
+
+def hand_boxes_of_frames(spark: SparkSession, d: str) -> DataFrame:
+    boxes = hand_bboxes(spark, d).filter("frame_number % 6 <> 0").groupBy("frame_number").agg(F.count("*").alias("boxes"), F.max("side").alias("last_side"))
+    return adapters.pose_3d(spark, d).select("frame_number").join(boxes, "frame_number", "left").na.fill({"boxes": 0})
+
+
 def dtw_match_overlay(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d)
     return rounded(matching.match_overlay(s, matching.dtw_matches(s, ["value"]), ["value"]), ["progress", "value"])
@@ -352,7 +365,7 @@ QUERIES = {
         shoulder_width, likelihood_mask_rate, nanmean_rowwise, frame_signals_2d, frame_signals_3d, timeseries_time_s, merge_sources, smooth_centered,
         smooth_asymmetric, gap_interpolation, locf, midpoint_window, reference_length_table, window_size, sliding_window_features, pose_window_features, pose_window_features_3d,
         dropna_features, normalize_per_clip, standard_scaler, pca_projection, knn_reference_windows, convex_hull, channel_stats, global_channel_scale,
-        channel_weights, channel_weights_3d, weight_report, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, dtw_pose_match_3d, match_overlay_progress, dtw_match_overlay, bone_lengths, bone_length_cv_report,
+        channel_weights, channel_weights_3d, weight_report, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, dtw_pose_match_3d, match_overlay_progress, match_overlay_channels, hand_boxes_of_frames, dtw_match_overlay, bone_lengths, bone_length_cv_report,
         pbd_fit_skeleton, depth_bilinear_sample, depth_calibrate_scale, backproject_lift, hand_outlier_flags, hand_bboxes, depth_delta_roundtrip,
         axis_limits, progress_stages, progress_rollup, progress_totals, progress_missing_stage, reference_ids, participant_palette_rank,
         stale_runs_antijoin, unknown_references, person_frame_flatten, props_field,

@@ -103,6 +103,17 @@ def reference_meta(path: Column) -> dict[str, Column]:
     return {"clip_id": clip, "category": F.when(F.lower(_part(path, 3)).contains("irrelevant"), "irrelevant").otherwise("relevant")}
 
 
+def load_dataset(spark: SparkSession, participants: str, references: str, fps: DataFrame | None = None, dims: int = 2) -> DataFrame:
+    """Frames of the pose tables of participants and references (globs), with what their paths say and ``is_reference``.
+    ``fps``: path and fps where the frame rate of a clip's video is known."""
+    path = F.col("path")
+    mine = read_pose_csv(spark, participants, dims).select("*", F.lit(False).alias("is_reference"), *[c.alias(n) for n, c in participant_meta(path).items()])
+    theirs = read_pose_csv(spark, references, dims).select("*", F.lit(True).alias("is_reference"), *[c.alias(n) for n, c in reference_meta(path).items()])
+    every = mine.unionByName(theirs, allowMissingColumns=True)
+    rates = every.withColumn("fps", F.lit(None).cast("double")) if fps is None else every.join(fps.select("path", "fps"), "path", "left")
+    return rates.withColumn("fps", fps_or_default(F.col("fps"))).withColumn("clip_key", F.xxhash64("path"))
+
+
 def is_participant_csv(path: Column) -> Column:
     return path.rlike(r"/recording_[^/]*\.mp4/results_[^/]*_merged\.csv$")
 

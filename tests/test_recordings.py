@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.skeleton import BODYPARTS, FULL_2D, FULL_3D
 from strideframe.operators import features, lifting, poses, progress, runs, signals
-from strideframe.operators.matching import best_matches, channel_weights
+from strideframe.operators.matching import best_matches, channel_weights, match_table
 from strideframe.plans import recordings
 from strideframe.sources import files
 
@@ -285,6 +285,25 @@ def test_person_frames_and_settings(spark, tmp_path):
     assert files.read_settings(spark, f"{tmp_path}/c.json").select("a.b").first()[0] == 3
 
 
+def test_a_dataset_of_participants_and_references(spark, tmp_path):
+    text = "scorer,a,a\nindividuals,i,i\nbodyparts,nose,nose\ncoords,x,y\nframe_0004,1,2\n"
+    one, two = tmp_path / "p/S1/AL79NI/recording_AL79NI_explain__2.mp4", tmp_path / "r/EPF_irrelevantDA/pose_estimation/merged_predictions"
+    for folder, name in ((one, "results_recording_AL79NI_explain__2.mp4_merged.csv"), (two, "results_wave.mp4_merged.csv")):
+        folder.mkdir(parents=True)
+        (folder / name).write_text(text)
+    got = {r["clip_id"]: r for r in files.load_dataset(spark, f"{tmp_path}/p/*/*/recording_*.mp4/results_*_merged.csv", f"{two}/results_*_merged.csv").collect()}
+    mine, theirs = got["recording_AL79NI_explain__2"], got["wave"]
+    assert (mine["school"], mine["participant_id"], mine["category"], mine["is_reference"], mine["fps"]) == ("S1", "AL79NI", "explain", False, 30.0)
+    assert (theirs["school"], theirs["category"], theirs["is_reference"], theirs["frame_number"]) == (None, "irrelevant", True, 4)
+
+
+def test_match_tables_name_people(spark):
+    matches = spark.createDataFrame([("r", f"c{i}", float(i)) for i in range(4)], "reference_id string, clip_id string, normalized_cost double")
+    clips = spark.createDataFrame([("c0", "p0", "S"), ("c1", "p1", "S")], "clip_id string, participant_id string, school string")
+    got = match_table(matches, clips, 3).orderBy("rank").collect()
+    assert [(r["rank"], r["clip_id"], r["participant_id"]) for r in got] == [(1, "c0", "p0"), (2, "c1", "p1"), (3, "c2", None)]
+
+
 def test_unknown_references_are_named(spark):
     clips = spark.createDataFrame([("a", True), ("b", False)], "clip_id string, is_reference boolean")
     progress.require_known(clips.filter("is_reference"), clips)
