@@ -13,7 +13,6 @@ import re
 import sys
 import unicodedata
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -133,7 +132,7 @@ def _forms() -> dict[str, str]:
 
 FORMS = _forms()
 TABLE = str.maketrans(FORMS)
-ODD = re.compile("[" + "".join(sorted(FORMS)) + "]")
+ODD = frozenset(FORMS)
 _WORD = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_WORD}|[0-9])(?![^\W_])[\x20.,-]{{0,2}}){{{LEAST_SPELLED},}}", re.I)
 SPELLED_PART = re.compile(rf"({_WORD}|[0-9])(?:([\x20.,-]{{0,2}}))", re.I)
@@ -249,33 +248,40 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
 
 
 BRACKET = re.compile(rf"{OPEN}\s?(?:at|@|arobase|arroba|ät|dot|\.|point|punkt|punto)\s?{SHUT}", re.I)
-HINT = re.compile(r"\s(?:dot|punkt|punto|point|@)\s")
+SPOKEN_HINTS = (" dot ", " punkt ", " punto ", " point ", " @ ")
 
 
-NUMBER = re.compile(rf"(?<![^\W_])(?:{_WORD})(?![^\W_])")
+#: Characters of a text whose words are listed at a time, and by how many two such parts overlap.
+PART, OVERLAP = 1 << 20, 256
 
 
 def _may_spell(low: str) -> bool:
-    """Whether LEAST_SPELLED number words stand close together."""
-    last: deque[int] = deque(maxlen=LEAST_SPELLED)
-    for m in NUMBER.finditer(low):
-        last.append(m.start())
-        if len(last) == LEAST_SPELLED and last[-1] - last[0] < 16 * LEAST_SPELLED:
+    """Whether LEAST_SPELLED number words stand close together; reads each word once."""
+    for lo in range(0, len(low), PART):
+        words = low[lo : lo + PART + OVERLAP].replace(".", " ").replace(",", " ").replace("-", " ").split()
+        at = [i for i, w in enumerate(words) if w in NUMBER_WORDS]
+        if any(b - a < 3 * LEAST_SPELLED for a, b in zip(at, at[LEAST_SPELLED - 1 :])):
             return True
     return False
 
 
+def _may_speak(low: str) -> bool:
+    spaced = low.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    return any(x in spaced for x in SPOKEN_HINTS)
+
+
 def deobfuscated(text: str) -> Mapped | None:
     """The rewritten text, or None if no disguise is found."""
-    odd = not text.isascii() and ODD.search(text) is not None
+    odd = set() if text.isascii() else ODD.intersection(text)
     first = text.translate(TABLE) if odd else text
     low = first.lower()
     spelled = _may_spell(low)
-    if not (odd or spelled or BRACKET.search(first) or HINT.search(low)):
+    if not (odd or spelled or BRACKET.search(first) or _may_speak(low)):
         return None
     out = Mapped(text)
     if odd:
-        out.replace([(m.start(), m.end(), FORMS[m[0]]) for m in ODD.finditer(text)])
+        here = re.compile("[" + "".join(map(re.escape, sorted(odd))) + "]")
+        out.replace([(m.start(), m.end(), FORMS[m[0]]) for m in here.finditer(text)])
     if spelled:
         out.replace(_spelled(out.text))
     out.replace(_signs(out.text))

@@ -1,5 +1,7 @@
 """Each query over its whole table, held against a plain version."""
 
+import html
+import re
 import zlib
 
 import duckdb
@@ -9,9 +11,11 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from strideframe.llm import language_id, toxicity
 from strideframe.llm.registry import oracle_sql, queries
 
 from . import brute
+from .test_edges import plain_probabilities
 
 
 @pytest.fixture(scope="module")
@@ -23,10 +27,11 @@ def rows(spark, sf, name):
     return queries()[name](spark, sf).collect()
 
 
+LIBRARY = {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+
+
 def tokens(name, text):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    return np.array([*LIBRARY[name].encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
 def test_personal_data(spark, sf, docs):
@@ -77,10 +82,20 @@ def test_exact(spark, sf, docs):
     assert got == brute.exact_groups(docs)
 
 
+def plain_article(page):
+    """The text of the one article of a page of this table, by cutting it at its block elements."""
+    inner = re.search(r"<article>(.*)</article>", page or "", re.S)
+    parts = re.split(r"</?(?:p|h1|h2|h3|div|ul|ol|li|pre|table|tr|td)\b[^>]*>", inner[1].replace("<br>", " ")) if inner else []
+    return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]+>", "", q)).split()) for q in parts) if x)
+
+
 def test_pages(spark, sf):
-    got = rows(spark, sf, "op6_tag_paths")
-    assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
-    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    for folder in (sf, sf.replace("0.001", "0.01")):
+        got = {r["page_id"]: r for r in rows(spark, folder, "op6_tag_paths")}
+        pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+        assert len(got) == len(pages)
+        assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+        assert all(got[p["page_id"]]["text"] == plain_article(p["html"]) for p in pages)
 
 
 def test_token_files(spark, sf, docs):
@@ -127,14 +142,31 @@ def auc(scores, labels):
     return (order[pos].sum() - pos.sum() * (pos.sum() - 1) / 2) / (pos.sum() * (~pos).sum())
 
 
-def test_toxicity(spark):
-    sf = "/root/testdata/sf0.1"  # enough labelled rows to learn from
+@pytest.mark.parametrize("size, least", [("0.01", 0.9), ("0.1", 0.95)])
+def test_toxicity(spark, size, least):
+    sf = f"/root/testdata/sf{size}"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [r for r in rows(spark, sf, "op9_counterfactual") if r["held_out"] and labels.get(r["doc_id"]) is not None]
-    assert auc([r["score"] for r in got], [labels[r["doc_id"]] for r in got]) > 0.95
+    assert auc([r["score"] for r in got], [labels[r["doc_id"]] for r in got]) > least
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def test_scores_and_languages_are_those_of_the_models(spark, sf, docs):
+    """Both queries against plain scoring by the same models."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    weights, bias = model = toxicity.fit(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table, table, model).collect()}
+    for i, text in docs:
+        found = {f for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for f in [w, *(w[:k] + "*" for k in range(5, 9) if len(w) > k)]}
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-bias - sum(weights.get(f, 0.0) for f in found))))
+    params, languages = model = language_id.fit(table)
+    got = {r["doc_id"]: r for r in language_id.identify_languages(table, model).collect()}
+    for i, text in sorted(docs, key=lambda x: len(x[1] or ""))[:60]:
+        if text and language_id.LETTER.search(text):
+            want = plain_probabilities(params, text.encode())
+            assert got[i]["score"] == pytest.approx(want.max(), abs=1e-4) and got[i]["lang_pred"] == languages[int(want.argmax())]
+
+
 def test_repeats(spark, sf, docs):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(spark, sf, "op10_longest_previous_factor")}
     assert got == brute.repeats(docs)

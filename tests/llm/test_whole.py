@@ -1,6 +1,7 @@
 """Inputs on which an operator once did less than the whole job."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,9 +11,11 @@ from tokenizers import Tokenizer
 
 from strideframe.llm import pii
 from strideframe.llm.dart_minhash import components, near_duplicates
+from strideframe.llm.decontamination import contamination
 from strideframe.llm.html_text import main_text
 from strideframe.llm.language_id import training_windows
 from strideframe.llm.packing import pack_documents
+from strideframe.llm.repeats import remove_repeats
 from strideframe.llm.token_files import token_table
 
 from . import brute
@@ -100,3 +103,91 @@ def test_every_language_is_learned(spark):
     windows, labels, languages = training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert languages == [f"l{i:02d}" for i in range(70)]
     assert len(windows) == len(labels) and set(labels.tolist()) == set(range(70))
+
+
+def seconds(work, text):
+    begun = time.process_time()
+    work(text)
+    return time.process_time() - begun
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<div>x " * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<a " * n, lambda n: "<b>" + "<div>" * n + "</b>" * n, lambda n: "<td><table>" + "<div>" * n + "<td>z</td>" * n,
+    lambda n: '<div class="comment">x ' * n,
+])
+def test_pages_are_read_in_linear_time(make):
+    assert seconds(main_text, make(100_000)) < 60  # hours if the work grew with the square
+
+
+@pytest.mark.parametrize("make", [lambda n: "a dot " * n, lambda n: "a at a dot " * n, lambda n: "1" * n, lambda n: "1." * n, lambda n: "a@" * n, lambda n: "one " * n, lambda n: "a dot b at c dot de " * n])
+def test_personal_data_is_found_in_linear_time(make):
+    assert seconds(pii.all_spans, make(200_000)) < 60
+
+
+def test_numbers_of_any_length_are_parts_of_addresses():
+    assert pii.all_spans("0" * 5000 + ".1.2.3")[0] == [(0, 1, 5006)]
+
+
+def templates(r):
+    """(page, its main blocks): nested layouts, lists, comments, missing end tags, furniture by tag, role and name."""
+    words = lambda n: " ".join(r.choice(["tide", "moon", "salt", "harbour", "lantern", "rope", "gull", "quay"], n))
+    para = lambda: f"The {words(9)}, and the {words(7)}; it {words(6)}. So {words(8)}, they say."
+    menu = "".join(f"<li><a href=/{i}>{words(1)}</a></li>" for i in range(6))
+    paras, title = [para() for _ in range(6)], words(4)
+    p = "".join(f"<p>{x}</p>" for x in paras)
+    loose = "".join(f"<p>{x}" for x in paras)
+    said = "".join(f"<li><p>I {words(5)}, truly.</p></li>" for _ in range(5))
+    notes = [f"{words(6)}, {words(4)}." for _ in range(3)]
+    yield f"<body><nav><ul>{menu}</ul></nav><main><article><h1>{title}</h1>{p}</article></main><footer>Copyright {words(5)}.</footer></body>", [title, *paras]
+    yield f"<body><div class=wrap><div class='site-header'>{words(3)}</div><div class='main-nav'><ul>{menu}</ul></div><div id=content><h1>{title}</h1>{loose}</div><div class='left-sidebar'><p>{words(9)}.</p></div></div>", [title, *paras]
+    yield f"<body><div class=page><h1>{title}</h1><div class=meta>by {words(2)}</div><div class=story>{p}</div><ol class='comment-list'>{said}</ol></div><div role=contentinfo>{words(6)}.</div>", [title, *paras]
+    yield f"<body><form id=aspnetForm><div class=nav><a href=x>Home</a></div><div class=body><h2>{title}</h2>{p}<ul class=points>" + "".join(f"<li>{x}" for x in notes) + f"</ul></div><div class='cookie-banner'>{words(12)}, ok.</div></form>", [title, *paras, *notes]
+    yield f"<body><table><tr><td class=menu><ul>{menu}</ul><td class=main><h1>{title}</h1>{p}</table><div class='ad-slot'>{words(9)}.</div>", [title, *paras]
+    yield f"<article><header><h1>{title}</h1><p>{notes[0]}</p></header><div class=side-effects>{p}</div><aside>{para()}</aside><div hidden>{para()}</div></article><div class=comments>{said}</div>", [title, notes[0], *paras]
+
+
+def test_blocks_of_labelled_pages():
+    r = np.random.default_rng(11)
+    right = found = wanted = 0
+    for _ in range(20):
+        for page, want in templates(r):
+            got = main_text(page).split("\n")
+            right += len(set(got) & set(want))
+            found, wanted = found + len(set(got)), wanted + len(set(want))
+    assert right / found > 0.95 and right / wanted > 0.97, (right / found, right / wanted)
+
+
+def edited(r, base, n):
+    words = list(base)
+    for _ in range(n):
+        words[r.randrange(len(words))] = f"z{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("weighting", ["log", "count", "binary"])
+def test_a_group_of_near_copies_loses_no_link(spark, weighting):
+    """Edits of one text, many of them just under the threshold to the pivot, with a repeated line."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(110)] + "a line that stands here often".split() * 8
+    rows = [(i, edited(r, base, r.randrange(14))) for i in range(250)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == brute.near_classes(rows, weighting=weighting)
+
+
+def test_wide_and_narrow_bitmaps_give_the_same(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(60)}" for _ in range(40))) for i in range(80)]
+    items = [(k, " ".join(rows[k * 7][1].split()[5:5 + n])) for k, n in enumerate((1, 2, 5, 13, 20, 30))]
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bits in (64, 1 << 22):
+        got = {x["doc_id"]: tuple(x)[1:] for x in contamination(docs, asked, bits=bits).collect()}
+        assert got == brute.contaminated(rows, items)
+
+
+@pytest.mark.parametrize("large", [0, 3])
+def test_anchors_sorted_over_the_cluster_give_the_same(spark, large):
+    r = random.Random(8)
+    line = "".join(r.choice("abc ") for _ in range(140))
+    rows = [(i, "".join(r.choice("xyz") for _ in range(r.randrange(60))) + line[r.randrange(20):] + "".join(r.choice("xyz") for _ in range(50))) for i in range(60)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), large_anchor=large).collect()
+    assert {x["doc_id"]: tuple(x)[1:] for x in got} == brute.repeats(rows)
