@@ -12,11 +12,11 @@ OVERLAP = 0.5
 def reference_lengths(frames: DataFrame) -> DataFrame:
     """One row per reference clip: its length in frames and seconds, and the differences from the means."""
     clips = frames.filter("is_reference").groupBy("clip_id", "category").agg(F.count("*").alias("n_frames"), F.max("fps").alias("_fps"))
-    every = Window.partitionBy()  # reference clips: a list chosen by a person
     duration = F.col("n_frames") / F.col("_fps")
-    return clips.select(
+    means = clips.agg(F.avg("n_frames").alias("_mean_n"), F.avg(duration).alias("_mean_s"))
+    return clips.join(F.broadcast(means), how="inner").select(  # one row
         "clip_id", "category", "n_frames", F.round("_fps", 2).alias("fps"), duration.alias("duration_s"),
-        (F.col("n_frames") - F.avg("n_frames").over(every)).alias("diff_from_mean_frames"), (duration - F.avg(duration).over(every)).alias("diff_from_mean_s"),
+        (F.col("n_frames") - F.col("_mean_n")).alias("diff_from_mean_frames"), (duration - F.col("_mean_s")).alias("diff_from_mean_s"),
     ).orderBy("category", "clip_id")
 
 

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session()
+    return build_session(spark_sql_shuffle_partitions="4")
 
 
 @pytest.fixture(scope="session")
