@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame
 that is written as Parquet and read again as the next stage's docs. All stages but the last return the
-columns of documents.
+columns of documents, whatever else they are named, and empty tables give empty ones. Ids may be missing or
+repeated: every row is judged by its own text.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ from strideframe.llm.packing import pack_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined."""
+    """Documents whose language is determined. Null texts and texts without a letter go, repeated rows are judged each for itself."""
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; of wholly equal rows too. Null counts as empty, and empty texts are equal."""
     return keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, the first of its least id. Texts without words (null and empty ones) all stay."""
     return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Null texts have no words and stay; an empty benchmark drops nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences."""
+    """Pieces of the documents in training sequences. Null texts count as empty (one id), repeated rows are packed each for itself."""
     return pack_documents(docs)
 
 
