@@ -55,7 +55,6 @@ def _encoder(vocabulary: str, path: str | None):
                 pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([starts.astype("<u4").tobytes()], pa.binary()),
             ], names=["part", "seq", "ids_before", "n_ids", "doc_ids", "counts", "words", "block_starts"])
             before += len(flat)
-        enc.release()
 
     return run
 
