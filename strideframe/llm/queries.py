@@ -12,6 +12,7 @@ from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
 from .language_id import identify_languages
+from .lexical_search import search
 from .packing import pack_documents
 from .pii import find_personal_data
 from .repeats import remove_repeats
@@ -59,7 +60,17 @@ def op10_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_deobfuscation, op2_dart_minhash, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp, op9_counterfactual, op10_longest_previous_factor)}
+def op11_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_deobfuscation, op2_dart_minhash, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp,
+        op9_counterfactual, op10_longest_previous_factor, op11_max_score,
+    )
+}
 
 OP5_SQL = r"""
 WITH d AS (
@@ -100,6 +111,29 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS asked
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM sizes, total),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+s AS (SELECT item_id, doc_id, CAST(sum(asked * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 QUERIES["pipeline"] = lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir)
 
-ORACLES = {"op4_prefix_filter": OP4_SQL, "op5_content_sort": OP5_SQL}
+ORACLES = {"op4_prefix_filter": OP4_SQL, "op5_content_sort": OP5_SQL, "op11_max_score": OP11_SQL}
