@@ -9,6 +9,7 @@ import corpus_pipeline
 from .common import table
 from .dart_minhash import near_duplicates
 from .decontamination import contamination
+from .embedding_join import near_vectors
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
 from .language_id import identify_languages
@@ -16,6 +17,7 @@ from .lexical_search import search
 from .packing import pack_documents
 from .pii import find_personal_data
 from .repeats import remove_repeats
+from .spelling import spelling_variants
 from .token_files import token_table
 from .toxicity import score_toxicity
 
@@ -64,11 +66,19 @@ def op11_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_deobfuscation, op2_dart_minhash, op3_byte_gru, op4_prefix_filter, op5_content_sort, op6_tag_paths, op7_simple8b, op8_karmarkar_karp,
-        op9_counterfactual, op10_longest_previous_factor, op11_max_score,
+        op9_counterfactual, op10_longest_previous_factor, op11_max_score, op12_spelling_variants, op13_pigeonhole_join,
     )
 }
 
@@ -134,6 +144,48 @@ FROM s WHERE score > 0
 QUALIFY rank <= 10
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS step),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(concat(doc_id, ':', run)) AS bytes FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(range(1, length(bytes), 2),
+    lambda c, pos: xor(c >> 8, step[xor(c & 255, CAST('0x' || bytes[pos:pos + 1] AS BIGINT)) + 1]), 4294967295)) AS h
+  FROM counted, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT DISTINCT word, n, word[:pos] || word[pos + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS pos FROM words)),
+cut_pos AS (SELECT DISTINCT word, n, pos, word[:pos] || word[pos + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS pos FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut_pos a JOIN cut_pos b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+known AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+follow AS (
+  SELECT word, word AS pos, 0 AS steps FROM known
+  UNION ALL SELECT follow.word, form, steps + 1 FROM follow JOIN known ON known.word = pos WHERE form IS NOT NULL)
+SELECT known.word, form, root, n, n_near, form_n FROM known JOIN (SELECT word, arg_max(pos, steps) AS root FROM follow GROUP BY word) USING (word)
+"""
+
+OP13_SQL = """
+WITH RECURSIVE
+good AS (
+  SELECT vec_id, e, len(e) AS dim FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.dim = b.dim AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT b, r FROM reach JOIN links ON a = v)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT v AS vec_id, min(r) AS component_id FROM reach GROUP BY v) LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a) USING (vec_id)
+"""
+
 QUERIES["pipeline"] = lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir)
 
-ORACLES = {"op4_prefix_filter": OP4_SQL, "op5_content_sort": OP5_SQL, "op11_max_score": OP11_SQL}
+ORACLES = {"op4_prefix_filter": OP4_SQL, "op5_content_sort": OP5_SQL, "op11_max_score": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_pigeonhole_join": OP13_SQL}

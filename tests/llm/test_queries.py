@@ -63,7 +63,7 @@ def test_languages(spark, sf):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries()[name](spark, sf)
     cols = sorted(df.columns)
