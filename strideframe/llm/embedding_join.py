@@ -34,7 +34,7 @@ CELL_ROWS, CELL_BYTES = 1 << 14, 16_000_000
 #: Cuts of the tree come from so many vectors at most (all vectors are placed by them); cells beyond are told apart by hash.
 SAMPLE, SAMPLE_BYTES = 20_000, 64_000_000
 SAMPLE_A_CELL = 8
-CHUNK_PAIRS = 2_000_000
+CHUNK_PAIRS, PAIRS_AT_ONCE = 2_000_000, 50_000
 #: Coordinates are whole multiples of this; SLACK is more than it moves a block's distance (BLOCK_DIMS ** 0.5 * STEP).
 STEP, SLACK = 2.0**-20, 1e-5
 ROTATIONS, SEED = 2, 20_011
@@ -185,52 +185,64 @@ def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = parent[parent]
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of x and y: whole numbers below 2 ** 53, so exact in any order."""
-    left = np.column_stack([x, (x**2).sum(axis=1), np.ones(len(x))])
-    right = np.column_stack([-2 * y, np.ones(len(y)), (y**2).sum(axis=1)])
+def _squares(x: np.ndarray, y: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Squared distances of all rows of x and y. In float64 they are whole numbers below 2 ** 53, exact in any order;
+    in float32, and in units of the vectors, they serve as a first sieve."""
+    scale = 1.0 if kind is np.float64 else STEP
+    x, y = x * scale, y * scale
+    left = np.column_stack([x, (x**2).sum(axis=1), np.ones(len(x))]).astype(kind)
+    right = np.column_stack([-2 * y, np.ones(len(y)), (y**2).sum(axis=1)]).astype(kind)
     return left @ right.T
 
 
+def _gaps(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, part: slice) -> np.ndarray:
+    """Exact squared distances of pairs of rows in a block."""
+    out = np.zeros(len(i))
+    for s in range(0, len(i), PAIRS_AT_ONCE):
+        out[s : s + PAIRS_AT_ONCE] = ((left[i[s : s + PAIRS_AT_ONCE], part] - right[j[s : s + PAIRS_AT_ONCE], part]) ** 2).sum(axis=1)
+    return out
+
+
 def linked_pairs(unit: np.ndarray, turned: np.ndarray, x: np.ndarray, y: np.ndarray, slices: list[slice], k: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs (i of ``x``, j of ``y``; row numbers) that link and whose least distance is that of block ``k``."""
     within = radius(threshold, len(slices)) ** 2
+    sieve = np.float32(within * STEP**2 + 1e-4)  # float32 errs by less
     step = max(1, CHUNK_PAIRS // max(1, len(y)))
     right = turned[y]
     for lo in range(0, len(x), step):
         rows = x[lo : lo + step]
         left = turned[rows]
-        here = _squares(left[:, slices[k]], right[:, slices[k]])
-        i, j = np.nonzero(here <= within)
-        if x is y:
-            i, j = i[j > i + lo], j[j > i + lo]
+        if x is y:  # the pairs above the diagonal
+            near = _squares(left[:, slices[k]], right[lo:, slices[k]], np.float32) <= sieve
+            i, j = np.divmod(np.flatnonzero(near), len(y) - lo)
+            i, j = i[j > i], j[j > i] + lo
+        else:
+            near = _squares(left[:, slices[k]], right[:, slices[k]], np.float32) <= sieve
+            i, j = np.divmod(np.flatnonzero(near), len(y))
         if not len(i):
             continue
-        crowded = len(i) > here.size // 20
-        if crowded:
+        if len(i) > near.size // 20:  # many pairs: whole matrices are less work
             cosine = (unit[rows] @ unit[y].T)[i, j]
             close = np.flatnonzero(np.abs(cosine - threshold) < 1e-9)
             cosine[close] = _dots(unit, rows[i[close]], y[j[close]])
+            gap = lambda part: _squares(left[:, part], right[:, part])[i, j]
         else:
             cosine = _dots(unit, rows[i], y[j])
+            gap = lambda part: _gaps(left, right, i, j, part)
         keep = cosine >= threshold
         i, j = i[keep], j[keep]
-        own = here[i, j]
-        least = np.ones(len(i), bool)
+        own = gap(slices[k])
+        least = own <= within
         for b, part in enumerate(slices):
-            if b != k:
-                if crowded:
-                    there = _squares(left[:, part], right[:, part])[i, j]
-                else:
-                    there = np.concatenate([((left[i[s : s + 50_000], part] - right[j[s : s + 50_000], part]) ** 2).sum(axis=1) for s in range(0, len(i), 50_000)] or [np.zeros(0)])
-                least &= there > own if b < k else there >= own
+            if b != k and least.any():
+                least &= gap(part) > own if b < k else gap(part) >= own
         yield rows[i[least]], y[j[least]]
 
 
 def _dots(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.zeros(len(i))
-    for s in range(0, len(i), 50_000):
-        out[s : s + 50_000] = np.einsum("ij,ij->i", unit[i[s : s + 50_000]], unit[j[s : s + 50_000]])
+    for s in range(0, len(i), PAIRS_AT_ONCE):
+        out[s : s + PAIRS_AT_ONCE] = np.einsum("ij,ij->i", unit[i[s : s + PAIRS_AT_ONCE]], unit[j[s : s + PAIRS_AT_ONCE]])
     return out
 
 
