@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions.expr import finite
+from strideframe.operators import quantiles
 
 SHOULDER_WIDTH_M = 0.40
 OUTLIER_RADIUS_M, OUTLIER_LIKELIHOOD = 0.15, 0.05
@@ -36,9 +37,12 @@ def calibration_samples(pairs: DataFrame, min_likelihood: float = 0.5) -> DataFr
     return pairs.filter(ok).select("run", (length * (F.col("dl") + F.col("dr")) / 2).alias("sample"))
 
 
-def depth_scale(samples: DataFrame, runs: DataFrame, fx: Column, shoulder_width_m: float = SHOULDER_WIDTH_M) -> DataFrame:
-    """run, n_samples, depth_scale: one factor a run; 1 where nothing could be measured."""
-    found = samples.groupBy("run").agg(F.count("*").alias("n_samples"), F.median("sample").alias("_m"))
+def depth_scale(samples: DataFrame, runs: DataFrame, fx: Column, shoulder_width_m: float = SHOULDER_WIDTH_M, long_runs: bool = False) -> DataFrame:
+    """run, n_samples, depth_scale: one factor a run; 1 where nothing could be measured. ``long_runs``: see ``bone_lengths``."""
+    if long_runs:
+        found = quantiles.grouped_median(samples, ["run"], "sample", "_m").withColumnRenamed("n", "n_samples")
+    else:
+        found = samples.groupBy("run").agg(F.count("*").alias("n_samples"), F.median("sample").alias("_m"))
     return runs.join(found, "run", "left").select(
         "run", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.coalesce(F.try_divide(F.lit(shoulder_width_m) * fx, F.col("_m")), F.lit(1.0)).alias("depth_scale")
     )
@@ -93,9 +97,14 @@ def bone_samples(frames: DataFrame, bones: list[tuple[str, str, int, int]], floo
     return frames.select("clip_key", F.explode(F.array(*out)).alias("b")).select("clip_key", "b.*").filter("length is not null")
 
 
-def bone_lengths(samples: DataFrame, bones: DataFrame) -> DataFrame:
-    """clip_key, bone, n, median, std, cv of each bone; left and right are pooled."""
-    pooled = samples.groupBy("clip_key", "mirror_key").agg(F.count("*").alias("n"), F.median("length").alias("median_m"), F.stddev_pop("length").alias("std_m"))
+def bone_lengths(samples: DataFrame, bones: DataFrame, long_clips: bool = False) -> DataFrame:
+    """clip_key, bone, n, median, std, cv of each bone; left and right are pooled. With ``long_clips``, medians are refined from counts, so
+    that no clip's lengths meet in one task."""
+    keys, facts = ["clip_key", "mirror_key"], [F.count("*").alias("n"), F.stddev_pop("length").alias("std_m")]
+    if long_clips:
+        pooled = samples.groupBy(*keys).agg(*facts).join(quantiles.grouped_median(samples, keys, "length", "median_m").drop("n"), keys)
+    else:
+        pooled = samples.groupBy(*keys).agg(*facts, F.median("length").alias("median_m"))
     cv = F.when(F.col("median_m") > 1e-9, F.col("std_m") / F.col("median_m"))
     return pooled.join(F.broadcast(bones), "mirror_key").select("clip_key", "bone", "n", "median_m", "std_m", cv.alias("cv"))  # a skeleton's bones
 
@@ -137,26 +146,30 @@ def fit_skeleton(frames: DataFrame, bones: list[tuple[str, str, int, int]], floo
     pooled = bone_samples(frames, bones, floors).groupBy("clip_key").pivot("mirror_key", sorted(keys)).agg(F.median("length"))
     lengths = pooled.select("clip_key", F.array(*[F.col(f"`{m}`") for _, m, _, _ in bones]).alias("lengths"))
     joined = frames.select("clip_key", "frame_index", "kp").join(lengths, "clip_key", "left")
-    edges, floor = [(i, j) for _, _, i, j in bones], np.array(floors)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.empty(len(pdf), object)
-            for _, part in pdf.groupby("clip_key", sort=False):
-                raw = np.array([[[np.nan if k[a] is None else k[a] for a in ("x", "y", "z", "lik")] for k in kp] for kp in part["kp"]], float)
-                first = part["lengths"].iloc[0]
-                target = np.array([np.nan if v is None else v for v in first], float) if first is not None else np.full(len(edges), np.nan)
-                moved = relax(raw[..., :3], raw[..., 3], edges, target, floor, iterations, stiffness)
-                for at, p, lik in zip(pdf.index.get_indexer(part.index), moved, raw[..., 3]):
-                    out[at] = [
-                        {"x": None if np.isnan(v[0]) else float(v[0]), "y": None if np.isnan(v[1]) else float(v[1]), "z": None if np.isnan(v[2]) else float(v[2]), "lik": None if np.isnan(q) else float(q)}
-                        for v, q in zip(p, lik)
-                    ]
-            yield pd.DataFrame({"clip_key": pdf["clip_key"], "frame_index": pdf["frame_index"], "kp": out})
+    edges, floor, axes = [(i, j) for _, _, i, j in bones], np.array(floors), ("x", "y", "z", "lik")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kp, target = batch.column("kp"), batch.column("lengths")
+            joints = kp.flatten()
+            raw = np.stack([joints.field(a).to_numpy(zero_copy_only=False).astype(float) for a in axes], axis=1).reshape(batch.num_rows, -1, 4)
+            wanted = np.full((batch.num_rows, len(edges)), np.nan)
+            there = np.flatnonzero(target.is_valid().to_numpy(zero_copy_only=False))
+            wanted[there] = target.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(there), -1)
+            known = np.nan_to_num(wanted, nan=-1.0)
+            cuts = np.flatnonzero(np.append(True, (known[1:] != known[:-1]).any(axis=1)))  # rows of equal lengths are solved together
+            for lo, hi in zip(cuts, np.append(cuts[1:], batch.num_rows)):
+                raw[lo:hi, :, :3] = relax(raw[lo:hi, :, :3], raw[lo:hi, :, 3], edges, wanted[lo], floor, iterations, stiffness)
+            flat = raw.reshape(-1, 4)
+            fitted = pa.StructArray.from_arrays([pa.array(flat[:, i], mask=np.isnan(flat[:, i])) for i in range(4)], names=list(axes))
+            offsets = pa.array(np.arange(batch.num_rows + 1) * raw.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("clip_key"), batch.column("frame_index"), pa.ListArray.from_arrays(offsets, fitted)], names=["clip_key", "frame_index", "kp"])
 
     kind = frames.schema["clip_key"].dataType.simpleString()
     index = frames.schema["frame_index"].dataType.simpleString()
-    return joined.mapInPandas(run, f"clip_key {kind}, frame_index {index}, kp array<struct<x:double,y:double,z:double,lik:double>>")
+    return joined.mapInArrow(run, f"clip_key {kind}, frame_index {index}, kp array<struct<x:double,y:double,z:double,lik:double>>")
 
 
 def wrap_int16(c: Column) -> Column:

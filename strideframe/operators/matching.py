@@ -7,38 +7,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.operators import spatial
+
 STD_FLOOR = 1e-6
 #: Candidate lengths as shares of the reference's length.
 LENGTH_FACTORS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
 #: Starts of a window block at least, and about how many values of references and of clips meet in one group.
 BLOCK_STARTS = 256
-#: Query rows that may be broadcast; beyond, blocks of so many meet the windows in a shuffle, in so many parts.
-QUERY_BLOCK, WINDOW_PARTS = 100_000, 64
 GROUP_VALUES = 400_000
 #: Groups of clips at least, so that a small table spreads over the tasks too.
 CLIP_GROUPS, MOST_PARTS = 24, 20_000
 
 
 def nearest_windows(queries: DataFrame, windows: DataFrame, axes: list[str], k: int = 10) -> DataFrame:
-    """The ``k`` windows nearest to each query row (query_id and ``axes``), with distance and rank.
-
-    The queries are a stated set, read against all windows in blocks of bounded size; each task keeps its
-    best k of a query before the shuffle, so a query's group holds at most k rows a task.
-    """
-    q = queries.select("query_id", *[F.col(a).alias(f"q_{a}") for a in axes])
-    gap = F.sqrt(sum(((F.col(f"q_{a}") - F.col(a)) ** 2 for a in axes[1:]), (F.col(f"q_{axes[0]}") - F.col(axes[0])) ** 2))
-    n_blocks = -(-q.count() // QUERY_BLOCK)
-    if n_blocks <= 1:
-        pairs = windows.join(F.broadcast(q), how="inner")
-    else:
-        part = F.explode(F.sequence(F.lit(0), F.lit(WINDOW_PARTS - 1)))
-        q = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("_block"), part.alias("_part"))
-        spread = windows.withColumn("_part", F.pmod(F.xxhash64(*windows.columns), F.lit(WINDOW_PARTS)).cast("int"))
-        spread = spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        pairs = spread.join(q.hint("merge"), ["_block", "_part"]).drop("_block", "_part")
-    pairs = pairs.withColumn("distance", gap)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", *[c for c in ("clip_id", "window_index") if c in windows.columns]))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop(*[f"q_{a}" for a in axes])
+    """The ``k`` windows nearest to each query row (query_id and ``axes``), with distance and rank: exact, by an index of cells."""
+    return spatial.nearest(queries, windows, axes, k, [c for c in ("clip_id", "window_index") if c in windows.columns])
 
 
 def channel_stats(signals: DataFrame, channels: list[str]) -> DataFrame:

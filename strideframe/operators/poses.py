@@ -39,13 +39,15 @@ def merge_pose_sources(body: DataFrame, full_body: DataFrame, hand: DataFrame, n
     wrists instead: body wrist, full_body hand root, full_body wrist; the hand model's own root is unused."""
     names = {"b": body, "f": full_body, "h": hand}
     joined = reduce(lambda x, y: x.join(y, "frame_number", "full_outer"), [df.select("frame_number", F.col("kp").alias(n)) for n, df in names.items()])
-    b, f, h = F.col("b"), F.col("f"), F.col("h")
-    wrist = {0: 9, n_hand // 2: 10}
-    slots = [first_available([b[i], f[i]]) for i in range(n_body)]
-    for i in range(n_hand):
-        full = f[n_body + i]
-        slots.append(first_available([b[wrist[i]], full, f[wrist[i]]]) if i in wrist else first_available([h[i], full]))
-    return joined.select("frame_number", F.array(*slots).alias("kp"))
+    of = lambda name, n: F.coalesce(F.col(name), F.array_repeat(F.lit(None).cast(body.schema["kp"].dataType.elementType), n))
+    rows = joined.select("frame_number", of("b", n_body).alias("b"), of("f", n_body + n_hand).alias("f"), of("h", n_hand).alias("h"))
+    b, f = F.col("b"), F.col("f")
+    roots = {n_body: 9, n_body + n_hand // 2: 10}
+    by_root = lambda i, make, other: reduce(lambda out, r: F.when(i == r, make(roots[r])).otherwise(out), roots, other)
+    own = F.transform(F.concat(F.slice(b, 1, n_body), F.slice("h", 1, n_hand)), lambda k, i: by_root(i, lambda w: b[w], k))
+    rows = rows.select("frame_number", "f", own.alias("own"))
+    merged = F.transform("own", lambda k, i: first_available([k, F.get(f, i), by_root(i, lambda w: f[w], F.lit(None))]))
+    return rows.select("frame_number", merged.alias("kp"))
 
 
 def windowed_median(df: DataFrame, value: str, before: int, after: int, key: str = "clip_key", order: str = "frame_index") -> Column:

@@ -1,26 +1,31 @@
 """Per-frame kinematic signals of clips.
 
 Input frames: clip_key, frame_index (dense, from 0), fps, kp (array of joints), other columns pass through.
-One exchange on clip_key serves the shoulder width and all differences in time; neighbours are rows of
-adjacent frame_index, whatever their frame numbers.
+One exchange on clip_key serves the shoulder width and all differences in time, or one on blocks of a clip where clips are
+long; neighbours are rows of adjacent frame_index, whatever their frame numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strideframe.functions.expr import AXES, LIKELIHOOD, angle, distance, dot, joint, mean_of, norm, point, sub
 from strideframe.functions.skeleton import Layout, signal_names
+from strideframe.operators import quantiles, scans
 
 
 def shoulder_distance(layout: Layout, kp: str = "kp") -> Column:
     return distance(point(layout.slot("left_shoulder"), layout.dims, kp), point(layout.slot("right_shoulder"), layout.dims, kp))
 
 
-def shoulder_width(frames: DataFrame, layout: Layout) -> DataFrame:
-    """clip_key and the median over its frames of the masked shoulder distance; NULL if no frame has one."""
-    return frames.groupBy("clip_key").agg(F.median(shoulder_distance(layout)).alias("shoulder_width"))
+def shoulder_width(frames: DataFrame, layout: Layout, long_clips: bool = False) -> DataFrame:
+    """clip_key and the median over its frames of the masked shoulder distance; NULL if no frame has one. With ``long_clips``, it is
+    refined from counts, so that no clip's distances meet in one task."""
+    if not long_clips:
+        return frames.groupBy("clip_key").agg(F.median(shoulder_distance(layout)).alias("shoulder_width"))
+    widths = quantiles.grouped_median(frames.select("clip_key", shoulder_distance(layout).alias("_d")), ["clip_key"], "_d", "shoulder_width").drop("n")
+    return frames.select("clip_key").distinct().join(widths, "clip_key", "left")
 
 
 def likelihood_mask_rate(frames: DataFrame, layout: Layout, floor: float = LIKELIHOOD) -> DataFrame:
@@ -56,11 +61,20 @@ def body_frame(frames: DataFrame, layout: Layout) -> DataFrame:
     return unit.withColumn("kp", F.transform("kp", turned)).drop("_o", "_r", "_x", "_z")
 
 
-def frame_signals(frames: DataFrame, layout: Layout) -> DataFrame:
-    """The frames' columns, shoulder_width and one column for each signal, NULL where it is missing."""
-    clip = Window.partitionBy("clip_key")
-    order = clip.orderBy("frame_index")
-    frames = frames.withColumn("shoulder_width", F.percentile(shoulder_distance(layout), F.lit(0.5)).over(clip))
+def frame_signals(frames: DataFrame, layout: Layout, block: int | None = None) -> DataFrame:
+    """The frames' columns, shoulder_width and one column for each signal, NULL where it is missing. With ``block``, clips may
+    be of any length: widths are medians by refinement, and differences are taken in blocks of so many frames."""
+    if block is None:
+        clip = Window.partitionBy("clip_key")
+        order = clip.orderBy("frame_index")
+        frames = frames.withColumn("shoulder_width", F.percentile(shoulder_distance(layout), F.lit(0.5)).over(clip))
+        return _signals(frames, layout, order)
+    frames = scans.with_halo(frames.join(shoulder_width(frames, layout, True), "clip_key"), 2, 0, block=block)
+    out = _signals(frames, layout, Window.partitionBy("clip_key", "_block").orderBy("frame_index"))
+    return out.filter("_own").drop("_own", "_block")
+
+
+def _signals(frames: DataFrame, layout: Layout, order: WindowSpec) -> DataFrame:
     if layout.dims == 3:
         frames = body_frame(frames, layout)
     d, axes = layout.dims, AXES[: layout.dims]

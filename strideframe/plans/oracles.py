@@ -45,7 +45,12 @@ _NO_ERRORS = ", m AS (SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN val
 _SOURCE = "(SELECT strftime(ts, '%Y-%m-%d %H') AS frame, arg_min(value, event_id) FILTER (value IS NOT NULL) AS v FROM events WHERE event_type = '{}' GROUP BY 1)"
 
 # Poses. Slots: shoulders 0 1, elbows 2 3, wrists 4 5, hand roots 6 7, then the finger tips of the left and the right hand.
+# A clip is a label's vectors of one range of ids; in POSE_LONG it is a whole label.
 POSE = """p AS (
+  SELECT label * 1000000::BIGINT + vec_id // 640 AS clip_key, 'clip_' || lpad(label::VARCHAR, 2, '0') || '_' || lpad((vec_id // 640)::VARCHAR, 6, '0') AS clip_id,
+         row_number() OVER (PARTITION BY label, vec_id // 640 ORDER BY vec_id) - 1 AS frame_index,
+         vec_id AS frame_number, 30.0::DOUBLE AS fps, label < 3 AS is_reference, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)"""
+POSE_LONG = """p AS (
   SELECT label AS clip_key, 'clip_' || lpad(label::VARCHAR, 2, '0') AS clip_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index,
          vec_id AS frame_number, 30.0::DOUBLE AS fps, label < 3 AS is_reference, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)"""
 TIPS_2D = {"left": dict(zip(("thumb", "index", "middle", "ring", "pinky"), range(8, 13))), "right": dict(zip(("thumb", "index", "middle", "ring", "pinky"), range(13, 18)))}
@@ -71,12 +76,12 @@ def _mean(values: list[str]) -> str:
     return f"list_avg([{', '.join(values)}])"
 
 
-def signals_sql(dims: int) -> str:
+def signals_sql(dims: int, pose: str = POSE) -> str:
     """CTEs down to ``g``: the pose columns and one column for each signal."""
     tips, slots = (TIPS_2D, range(18)) if dims == 2 else (TIPS_3D, range(14))
     masked = lambda j, x: f"CASE WHEN {_lik(j, dims)} < 0.1 THEN NULL ELSE {x} END"
     camera = lambda j: [masked(j, _raw(j, a, dims)) for a in range(dims)]
-    base = f"{POSE}, w AS (SELECT clip_key, median({_gap(camera(0), camera(1))}) AS sw FROM p GROUP BY clip_key)"
+    base = f"{pose}, w AS (SELECT clip_key, median({_gap(camera(0), camera(1))}) AS sw FROM p GROUP BY clip_key)"
     if dims == 2:
         joints = ", ".join(f"{x} AS {'xyz'[a]}{j}" for j in slots for a, x in enumerate(camera(j)))
         base += f", j AS (SELECT p.*, CASE WHEN sw > 0 THEN sw END AS sw, {joints} FROM p JOIN w USING (clip_key))"
@@ -245,6 +250,11 @@ ORACLES = {
     "likelihood_mask_rate": f"WITH {POSE} SELECT clip_key, count(*) * 21 AS n_joints, sum(" + " + ".join(f"({_lik(j, 2)} < 0.1)::INT" for j in range(21)) + ")::BIGINT AS n_masked FROM p GROUP BY clip_key",
     "nanmean_rowwise": f"WITH {POSE} SELECT clip_key, frame_number, round({_mean([f'CASE WHEN {_lik(j, 2)} >= 0.1 THEN {_raw(j, 1, 2)} END' for j in range(8, 18)])}, 6) + 0 AS mean_tip_y FROM p",
     "frame_signals_2d": f"WITH {signals_sql(2)} SELECT clip_key, frame_number, {_digits(SIGNALS_2D, 5)} FROM g",
+    "frame_signals_long": f"WITH {signals_sql(2, POSE_LONG)} SELECT clip_key, frame_number, {_digits(SIGNALS_2D, 5)} FROM g",
+    "signal_changes": f"""WITH {SIGNAL}, a AS (SELECT *, (value - lag(value) OVER (PARTITION BY clip_key ORDER BY frame_index)) * fps AS v FROM s)
+        SELECT clip_key, frame_number, round(v, 4) + 0 AS speed, round((v - lag(v) OVER (PARTITION BY clip_key ORDER BY frame_index)) * fps, 4) + 0 AS acceleration FROM a""",
+    "event_type_quantiles": "SELECT event_type, count(value) AS n, " + ", ".join(
+        f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in (("low", 0.01), ("first_quarter", 0.25), ("middle", 0.5), ("last_quarter", 0.75), ("high", 0.99))) + " FROM events GROUP BY event_type",
     "frame_signals_3d": f"WITH {signals_sql(3)} SELECT clip_key, frame_number, {_digits(SIGNALS_3D, 4)} FROM g",
     "timeseries_time_s": f"""WITH {signals_sql(2)} SELECT clip_key, frame_number AS frame, round((frame_number - first_value(frame_number) OVER (PARTITION BY clip_key ORDER BY frame_index)) / fps, 6) AS time_s,
         round(wrist_distance, 6) AS wrist_distance FROM g""",

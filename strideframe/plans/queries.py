@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.expr import mean_of, point
 from strideframe.functions.skeleton import SMALL_2D, SMALL_3D, dtw_channels, feature_names, signal_names
-from strideframe.operators import features, lifting, matching, poses, progress, signals
+from strideframe.operators import features, lifting, matching, poses, progress, quantiles, scans, signals
 from strideframe.sources import adapters
 
 DIGITS = 6
@@ -50,6 +50,12 @@ def frame_signals_2d(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_signals(spark, d, SMALL_2D).select("clip_key", "frame_number", *names), names, 5)
 
 
+def frame_signals_long(spark: SparkSession, d: str) -> DataFrame:
+    names = signal_names(2)
+    out = signals.frame_signals(adapters.long_pose_2d(spark, d), SMALL_2D, block=adapters.CLIP_IDS)
+    return rounded(out.select("clip_key", "frame_number", *names), names, 5)
+
+
 def frame_signals_3d(spark: SparkSession, d: str) -> DataFrame:
     names = signal_names(3)
     return rounded(_signals(spark, d, SMALL_3D).select("clip_key", "frame_number", *names), names, 4)
@@ -68,22 +74,32 @@ def merge_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def smooth_centered(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d).withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
-    return rounded(s.select("clip_key", "frame_number", poses.smooth(s, "value", 5, True).alias("smoothed")), ["smoothed"])
+    return rounded(scans.smooth(s, "value", 5, True).select("clip_key", "frame_number", "smoothed"), ["smoothed"])
 
 
 def smooth_asymmetric(spark: SparkSession, d: str) -> DataFrame:
-    s = adapters.signal(spark, d)
-    return rounded(s.select("clip_key", "frame_number", poses.smooth(s, "value", 10, False).alias("smoothed")), ["smoothed"])
+    return rounded(scans.smooth(adapters.signal(spark, d), "value", 10, False).select("clip_key", "frame_number", "smoothed"), ["smoothed"])
 
 
 def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d).withColumn("flagged", F.col("event_type") == "error")
-    return rounded(s.select("clip_key", "frame_number", poses.fill_gaps(s, "value", "flagged").alias("filled")), ["filled"])
+    return rounded(scans.fill_gaps(s, "value", "flagged").select("clip_key", "frame_number", "filled"), ["filled"])
 
 
 def locf(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d).withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
-    return rounded(s.select("clip_key", "frame_number", poses.carry_forward("value").alias("carried")), ["carried"])
+    return rounded(scans.carry_forward(s, "value").select("clip_key", "frame_number", "carried"), ["carried"])
+
+
+def signal_changes(spark: SparkSession, d: str) -> DataFrame:
+    s = scans.differences(adapters.signal(spark, d), ["value"], F.col("fps"))
+    return rounded(s.select("clip_key", "frame_number", F.col("d1_value").alias("speed"), F.col("d2_value").alias("acceleration")), ["speed", "acceleration"], 4)
+
+
+def event_type_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    shares = {"low": 0.01, "first_quarter": 0.25, "middle": 0.5, "last_quarter": 0.75, "high": 0.99}
+    return rounded(quantiles.grouped_quantiles(events, ["event_type"], "value", shares), list(shares))
 
 
 def midpoint_window(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +209,7 @@ def dtw_top_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dtw_pose_match(spark: SparkSession, d: str) -> DataFrame:
-    clips = adapters.bounded_clips(_signals(spark, d, SMALL_2D))
-    return rounded(matching.dtw_matches(clips, CHANNELS), ["normalized_cost"])
+    return rounded(matching.dtw_matches(_signals(spark, d, SMALL_2D), CHANNELS), ["normalized_cost"])
 
 
 def channel_weights_3d(spark: SparkSession, d: str) -> DataFrame:
@@ -207,8 +222,7 @@ def weight_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dtw_pose_match_3d(spark: SparkSession, d: str) -> DataFrame:
-    clips = adapters.bounded_clips(_signals(spark, d, SMALL_3D))
-    return rounded(matching.dtw_matches(clips, CHANNELS_3D), ["normalized_cost"])
+    return rounded(matching.dtw_matches(_signals(spark, d, SMALL_3D), CHANNELS_3D), ["normalized_cost"])
 
 
 def match_overlay_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +248,7 @@ def hand_boxes_of_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def dtw_match_overlay(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d)
-    return rounded(matching.match_overlay(s, matching.dtw_matches(s, ["value"]), ["value"]), ["progress", "value"])
+    return rounded(matching.match_overlay(s, matching.top_matches(matching.dtw_matches(s, ["value"])), ["value"]), ["progress", "value"])
 
 
 def _bone_table(spark: SparkSession) -> DataFrame:
@@ -302,8 +316,7 @@ def hand_bboxes(spark: SparkSession, d: str) -> DataFrame:
 
 def depth_delta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d).withColumn("raw", lifting.wrap_int16(F.floor(F.col("value") * 1000)))
-    s = s.withColumn("delta", lifting.delta_encode(s, "raw", "clip_key", "frame_index"))
-    s = s.withColumn("decoded", lifting.delta_decode(s, "delta", "clip_key", "frame_index"))
+    s = scans.delta_decode(scans.delta_encode(s, "raw", lifting.wrap_int16), "delta", lifting.wrap_int16)
     return s.select("clip_key", "frame_number", "raw", "delta", "decoded")
 
 
@@ -362,7 +375,7 @@ def props_field(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        shoulder_width, likelihood_mask_rate, nanmean_rowwise, frame_signals_2d, frame_signals_3d, timeseries_time_s, merge_sources, smooth_centered,
+        shoulder_width, likelihood_mask_rate, nanmean_rowwise, frame_signals_2d, frame_signals_3d, frame_signals_long, signal_changes, event_type_quantiles, timeseries_time_s, merge_sources, smooth_centered,
         smooth_asymmetric, gap_interpolation, locf, midpoint_window, reference_length_table, window_size, sliding_window_features, pose_window_features, pose_window_features_3d,
         dropna_features, normalize_per_clip, standard_scaler, pca_projection, knn_reference_windows, convex_hull, channel_stats, global_channel_scale,
         channel_weights, channel_weights_3d, weight_report, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, dtw_pose_match_3d, match_overlay_progress, match_overlay_channels, hand_boxes_of_frames, dtw_match_overlay, bone_lengths, bone_length_cv_report,

@@ -42,7 +42,7 @@ def participant_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def reference_paths(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("p_partkey")
-    path = F.concat(F.when(p % 2 == 0, "/ref/EPF_IrrelevantDA").otherwise("/ref/EPF_relevantDA"), F.lit("/pose_estimation/pose_3d_predictions/results_clip_"), p.cast("string"), F.lit(".mp4_3d.csv"))
+    path = F.concat(F.when(p % 2 == 0, "/ref/set_IrrelevantDA").otherwise("/ref/set_relevantDA"), F.lit("/pose_estimation/pose_3d_predictions/results_clip_"), p.cast("string"), F.lit(".mp4_3d.csv"))
     rows = _table(spark, d, "part").select("p_partkey", files.companion_2d(path).alias("path")).filter(files.is_reference_csv(F.col("path")))
     return rows.select("p_partkey", "path", *[c.alias(n) for n, c in files.reference_meta(F.col("path")).items()])
 
@@ -213,8 +213,8 @@ def full_pose(spark: SparkSession, d: str) -> DataFrame:
     """59 joints of (x, y, z, lik) a frame, from the 64 numbers of an embedding."""
     at = lambda k: F.get("e", (k % 64).cast("int"))
     joint = lambda j: F.struct(at(4 * j).alias("x"), at(4 * j + 1).alias("y"), at(4 * j + 2).alias("z"), F.least(F.lit(1.0), 8 * F.abs(at(4 * j + 3))).alias("lik"))
-    place = F.row_number().over(poses.Window.partitionBy("label").orderBy("vec_id")) - 1
-    return _e(spark, d).select(F.col("label").alias("clip_key"), place.alias("frame_index"), F.transform(F.sequence(F.lit(0), F.lit(58)), joint).alias("kp"))
+    place = F.row_number().over(poses.Window.partitionBy("clip_key").orderBy("vec_id")) - 1
+    return _e(spark, d).withColumn("clip_key", adapters.clip_of_label()).select("clip_key", place.alias("frame_index"), F.transform(F.sequence(F.lit(0), F.lit(58)), joint).alias("kp"))
 
 
 def skeleton_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +253,7 @@ ORACLES = {
     "frame_numbers": "SELECT printf('frame_%04d', event_id) AS label, event_id::INT AS frame_number FROM events",
     "participant_paths": """SELECT o_orderkey, 'recording_' || CASE WHEN o_orderkey % 2 = 0 THEN 'P' ELSE 'p' END || o_custkey || '_task' || o_orderkey % 5 || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '__' || o_orderkey % 3 END AS clip_id,
         CASE WHEN o_orderkey % 3 = 0 THEN 'task' || o_orderkey % 5 ELSE 'task' || o_orderkey % 5 END AS category, 'P' || o_custkey AS participant_id, 'S' || o_custkey % 9 AS school FROM orders""",
-    "reference_paths": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/ref/EPF_IrrelevantDA' ELSE '/ref/EPF_relevantDA' END || '/pose_estimation/merged_predictions/results_clip_' || p_partkey || '.mp4_merged.csv' AS path,
+    "reference_paths": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/ref/set_IrrelevantDA' ELSE '/ref/set_relevantDA' END || '/pose_estimation/merged_predictions/results_clip_' || p_partkey || '.mp4_merged.csv' AS path,
         'clip_' || p_partkey AS clip_id, CASE WHEN p_partkey % 2 = 0 THEN 'irrelevant' ELSE 'relevant' END AS category FROM part""",
     "frame_rates": """SELECT event_id, round(CASE WHEN fps > 0.001 THEN fps ELSE 30 END, 6) AS fps FROM (
         SELECT event_id, CASE event_id % 3 WHEN 1 THEN value / 1e6::DOUBLE WHEN 2 THEN value END AS fps FROM events)""",
@@ -278,14 +278,14 @@ ORACLES = {
         SELECT clip_key, frame_index, round(0.1::DOUBLE + 0.9::DOUBLE * pow((frame_index - (n - 10) // 2) / 9, 1.7), 6) AS alpha FROM n WHERE n >= 10 AND frame_index >= (n - 10) // 2 AND frame_index < (n - 10) // 2 + 10""",
     "companion_pixels": f"""WITH {POSE}, c AS (SELECT clip_key, row_number() OVER (PARTITION BY clip_key ORDER BY frame_number) - 1 AS frame_index, e, count(*) OVER (PARTITION BY clip_key) AS n FROM p WHERE clip_key % 2 = 0 OR frame_number % 10 <> 0)
         SELECT p.clip_key, frame_number, round(c.e[1], 6) + 0 AS px, round(c.e[2], 6) + 0 AS py FROM (SELECT *, count(*) OVER (PARTITION BY clip_key) AS n FROM p) p LEFT JOIN c ON c.clip_key = p.clip_key AND c.frame_index = p.frame_index AND c.n = p.n""",
-    "frame_mismatches": "SELECT label AS clip_key, vec_id AS frame_number FROM embeddings WHERE (vec_id % 11 = 0) <> (vec_id % 7 = 0)",
+    "frame_mismatches": "SELECT label * 1000000::BIGINT + vec_id // 640 AS clip_key, vec_id AS frame_number FROM embeddings WHERE (vec_id % 11 = 0) <> (vec_id % 7 = 0)",
     "neighbour_excerpts": """SELECT 'S' || c_nationkey AS school, printf('rank%02d_U%d_c%d_f%05d-%05d.mp4', event_id % 10 + 1, user_id, user_id % 3, event_id % 97, event_id % 97 + event_id % 13 + 2) AS excerpt
         FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 2 = 0""",
     "times_ago": """WITH t AS (SELECT event_id, floor(event_id * 1.5::DOUBLE + 0.5)::BIGINT AS s FROM events), u AS (SELECT *, floor(s / 60.0::DOUBLE + 0.5)::BIGINT AS m FROM t)
         SELECT event_id, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN m < 60 THEN m || 'm ago' ELSE floor(m / 60.0::DOUBLE + 0.5)::BIGINT || 'h ago' END AS ago FROM u""",
     "depth_model_kinds": "SELECT p_partkey, p_partkey % 4 = 0 AS is_metric_only, p_partkey % 4 IN (1, 3) AS cross_view FROM part",
     "people_of_schools": "SELECT n_name AS school, c_custkey AS participant, o_orderkey AS recording FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name IN ('NATION_1', 'NATION_3') AND c_custkey % 3 = 0 AND c_custkey < 150",
-    "preview_frames": "SELECT vec_id AS frame_number, label AS clip_key FROM embeddings ORDER BY vec_id LIMIT 60",
+    "preview_frames": "SELECT vec_id AS frame_number, label * 1000000::BIGINT + vec_id // 640 AS clip_key FROM embeddings ORDER BY vec_id LIMIT 60",
     "depth_of_frames": "SELECT vec_id AS frame_number, CASE WHEN vec_id % 4 <> 0 THEN vec_id % 3 = 0 END AS is_metric, round(CASE WHEN vec_id % 4 <> 0 THEN abs(embedding[1]::DOUBLE) * 600 / 300 END, 6) + 0 AS metres FROM embeddings",
     "sky_bits": "SELECT vec_id, array_to_string(list_transform(range(8), lambda i: list_sum(list_transform(range(8), lambda b: CASE WHEN embedding[i * 8 + b + 1] > 0 THEN 128 >> b::INT ELSE 0 END))::INT), ' ') AS bytes, true AS same FROM embeddings",
     "color_limits": "SELECT axis, round(lo, 6) + 0 AS low, round(hi, 6) + 0 AS high FROM (" + " UNION ALL ".join(

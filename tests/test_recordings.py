@@ -287,13 +287,13 @@ def test_person_frames_and_settings(spark, tmp_path):
 
 def test_a_dataset_of_participants_and_references(spark, tmp_path):
     text = "scorer,a,a\nindividuals,i,i\nbodyparts,nose,nose\ncoords,x,y\nframe_0004,1,2\n"
-    one, two = tmp_path / "p/S1/AL79NI/recording_AL79NI_explain__2.mp4", tmp_path / "r/EPF_irrelevantDA/pose_estimation/merged_predictions"
-    for folder, name in ((one, "results_recording_AL79NI_explain__2.mp4_merged.csv"), (two, "results_wave.mp4_merged.csv")):
+    one, two = tmp_path / "p/S1/P01QX/recording_P01QX_explain__2.mp4", tmp_path / "r/set_irrelevantDA/pose_estimation/merged_predictions"
+    for folder, name in ((one, "results_recording_P01QX_explain__2.mp4_merged.csv"), (two, "results_wave.mp4_merged.csv")):
         folder.mkdir(parents=True)
         (folder / name).write_text(text)
     got = {r["clip_id"]: r for r in files.load_dataset(spark, f"{tmp_path}/p/*/*/recording_*.mp4/results_*_merged.csv", f"{two}/results_*_merged.csv").collect()}
-    mine, theirs = got["recording_AL79NI_explain__2"], got["wave"]
-    assert (mine["school"], mine["participant_id"], mine["category"], mine["is_reference"], mine["fps"]) == ("S1", "AL79NI", "explain", False, 30.0)
+    mine, theirs = got["recording_P01QX_explain__2"], got["wave"]
+    assert (mine["school"], mine["participant_id"], mine["category"], mine["is_reference"], mine["fps"]) == ("S1", "P01QX", "explain", False, 30.0)
     assert (theirs["school"], theirs["category"], theirs["is_reference"], theirs["frame_number"]) == (None, "irrelevant", True, 4)
 
 
