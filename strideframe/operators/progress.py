@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.operators import scans
+
 # The stages of a recording, in order.
 STAGES = ["body", "full_body", "hand", "merged", "depth", "pose_3d", "fitted"]
 
@@ -44,7 +46,7 @@ def filter_recordings(recordings: DataFrame, flags: list[str], search: str | Non
 def reference_ids(clips: DataFrame) -> DataFrame:
     """clip_id, category and a number from 1 in the order of category and clip_id."""
     refs = clips.filter("is_reference").select("category", "clip_id").distinct()
-    return refs.withColumn("reference_number", F.row_number().over(Window.orderBy("category", "clip_id")))  # a list chosen by a person
+    return scans.ranked(refs, ["category", "clip_id"], "reference_number")
 
 
 def participant_shades(people: DataFrame) -> DataFrame:
@@ -92,6 +94,11 @@ def excerpt_name(rank: Column, participant: Column, clip: Column, first: Column,
     return F.format_string("rank%02d_%s_%s_f%05d-%05d.mp4", rank, participant, clip, first, last)
 
 
+def match_excerpts(matches: DataFrame) -> DataFrame:
+    """Matches (rank, participant_id, clip_id, start_frame, end_frame; frame numbers, the last one included) with the name of their excerpt."""
+    return matches.withColumn("excerpt", excerpt_name(F.col("rank"), F.col("participant_id"), F.col("clip_id"), F.col("start_frame"), F.col("end_frame")))
+
+
 def neighbour_clips(neighbours: DataFrame, clips: DataFrame) -> DataFrame:
     """Neighbours (rank, participant_id, clip_id, window_start_frame, n_frames) with their clips' other columns and the
     name of their excerpt; those whose clip is not there are left out."""

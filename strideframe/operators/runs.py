@@ -104,3 +104,14 @@ def lift_settings(width: int, height: int, focal: float, metric: bool, scale: Co
         (F.lit(metric) | (n_samples > 0)).alias("is_metric"), scale.alias("depth_scale"), F.lit(float(focal)).alias("assumed_focal_length_px"),
         F.lit(shoulder_width_m).alias("shoulder_width_m"), n_samples.alias("n_calibration_samples"), F.lit(width).alias("frame_width"), F.lit(height).alias("frame_height"),
     ))
+
+
+def fit_settings(report: DataFrame, iterations: int = 30, stiffness: float = 1.0, window: int = 10, body_floor: float = BODY_FLOOR, hand_floor: float = HAND_FLOOR) -> DataFrame:
+    """clip_key and ``settings``: the parameters of a fit and the lengths it aimed at (null where unknown) as JSON, from the fit's report."""
+    lengths = F.map_from_entries(F.array_sort(F.collect_list(F.struct("bone", "median_m_before"))))  # a skeleton's bones
+    rows = report.groupBy("clip_key").agg(lengths.alias("of"))
+    settings = F.struct(
+        F.lit(iterations).alias("iterations"), F.lit(float(stiffness)).alias("stiffness"), F.lit(body_floor).alias("min_likelihood"), F.lit(hand_floor).alias("min_likelihood_hand"),
+        F.lit(window).alias("post_fit_smoothing_window"), F.col("of").alias("reference_lengths_m"),
+    )
+    return rows.select("clip_key", F.to_json(settings, {"ignoreNullFields": "false"}).alias("settings"))

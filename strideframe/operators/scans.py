@@ -156,3 +156,14 @@ def numbered(df: DataFrame, key: str, bucket: Column, orders: list, name: str =
     met = _joined(rows, _carry(counts, ["rows"], key, True, True, block, span), ["rows"], key)
     at = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*orders)) - 1
     return met.withColumn(name, at + F.col("_in_rows")).drop("_block", "_in_rows")
+
+
+def ranked(df: DataFrame, orders: list[str], name: str) -> DataFrame:
+    """The rows with their place (from 1) in the order of all rows. Rows are dealt out by ranges of the order, counted range by range, and
+    numbered within their range. The ranges are cached, so that both steps see the same ones."""
+    dealt = df.repartitionByRange(*orders).withColumn("_range", F.spark_partition_id()).persist()
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+    ahead = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*orders))
+    placed = dealt.join(counts.select("_range", ahead.alias("_ahead")), "_range")
+    return placed.withColumn(name, (at + F.col("_ahead")).cast("int")).drop("_range", "_ahead")

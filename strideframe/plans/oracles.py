@@ -231,6 +231,7 @@ ORACLES = {
         FROM s WHERE NOT is_reference AND frame_index BETWEEN 3 AND 14""",
     "depth_delta_roundtrip": f"""WITH {SIGNAL}, r AS (SELECT *, ((floor(value * 1000)::BIGINT + 32768) % 65536 + 65536) % 65536 - 32768 AS raw FROM s)
         SELECT clip_key, frame_number, raw, ((raw - coalesce(lag(raw) OVER (PARTITION BY clip_key ORDER BY frame_index), 0) + 32768) % 65536 + 65536) % 65536 - 32768 AS delta, raw AS decoded FROM r""",
+    "depth_blocks": """SELECT label * 1000000::BIGINT + vec_id // 640 AS run, vec_id::INT AS frame_number, len(list_filter(embedding, lambda v: abs(v) > 0.15::DOUBLE))::INT AS sky_pixels, true AS close FROM embeddings""",
     "axis_limits": "SELECT axis, round(lo - (hi - lo) * 0.08, 6) AS low, round(hi + (hi - lo) * 0.08, 6) AS high FROM (" + " UNION ALL ".join(
         f"SELECT '{a}' AS axis, quantile_cont(embedding[{i}]::DOUBLE, 0.01) AS lo, quantile_cont(embedding[{i}]::DOUBLE, 0.99) AS hi FROM embeddings" for a, i in (("u", 1), ("v", 2))) + ")",
     "progress_stages": f"WITH {HIERARCHY} SELECT * FROM h",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strideframe.functions.expr import mean_of, point
 from strideframe.functions.skeleton import SMALL_2D, SMALL_3D, dtw_channels, feature_names, signal_names
 from strideframe.operators import features, lifting, matching, poses, progress, quantiles, scans, signals
-from strideframe.sources import adapters
+from strideframe.sources import adapters, depth
 
 DIGITS = 6
 FLAGS = [f"s{k}" for k in range(1, 8)]
@@ -251,6 +251,22 @@ def dtw_match_overlay(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.match_overlay(s, matching.top_matches(matching.dtw_matches(s, ["value"])), ["value"]), ["progress", "value"])
 
 
+def dtw_match_table(spark: SparkSession, d: str) -> DataFrame:
+    """The best five clips of each reference with their people and the names of their excerpts."""
+    s = adapters.signal(spark, d)
+    people = s.select("clip_id", F.col("clip_key").cast("string").alias("participant_id"), F.format_string("S%d", F.col("clip_key") % 7).alias("school")).distinct()
+    return progress.match_excerpts(rounded(matching.match_table(matching.dtw_matches(s, ["value"]), people), ["normalized_cost"]))
+
+
+def depth_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters packed into blocks of frames and unpacked: how many sky pixels come back, and whether depth does to the precision of a half float."""
+    r = adapters.rasters(spark, d).withColumn("sky", F.transform("depth", lambda v: v > 0.15))
+    frames = r.select(F.col("run").cast("string").alias("run"), F.col("frame_number").cast("int").alias("frame_number"), F.lit(False).alias("is_metric"), "h", "w", F.col("depth").cast("array<float>").alias("depth"), "sky")
+    back = depth.decode(depth.encode(frames)).select("run", "frame_number", F.col("depth").alias("b"), F.col("sky").alias("s"))
+    gap = F.array_max(F.transform(F.arrays_zip("depth", "b"), lambda z: F.abs(z["depth"] - z["b"]) / F.greatest(F.lit(6.2e-5), z["depth"])))
+    return frames.join(back, ["run", "frame_number"], "left").select(F.col("run").cast("long").alias("run"), "frame_number", F.size(F.filter("s", lambda v: v)).alias("sky_pixels"), (gap <= 2.0**-10).alias("close"))
+
+
 def _bone_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, m) for n, m, _, _ in BONES_3D], "bone string, mirror_key string")
 
@@ -378,7 +394,7 @@ QUERIES = {
         shoulder_width, likelihood_mask_rate, nanmean_rowwise, frame_signals_2d, frame_signals_3d, frame_signals_long, signal_changes, event_type_quantiles, timeseries_time_s, merge_sources, smooth_centered,
         smooth_asymmetric, gap_interpolation, locf, midpoint_window, reference_length_table, window_size, sliding_window_features, pose_window_features, pose_window_features_3d,
         dropna_features, normalize_per_clip, standard_scaler, pca_projection, knn_reference_windows, convex_hull, channel_stats, global_channel_scale,
-        channel_weights, channel_weights_3d, weight_report, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, dtw_pose_match_3d, match_overlay_progress, match_overlay_channels, hand_boxes_of_frames, dtw_match_overlay, bone_lengths, bone_length_cv_report,
+        channel_weights, channel_weights_3d, weight_report, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, dtw_pose_match_3d, match_overlay_progress, match_overlay_channels, hand_boxes_of_frames, dtw_match_overlay, dtw_match_table, depth_blocks, bone_lengths, bone_length_cv_report,
         pbd_fit_skeleton, depth_bilinear_sample, depth_calibrate_scale, backproject_lift, hand_outlier_flags, hand_bboxes, depth_delta_roundtrip,
         axis_limits, progress_stages, progress_rollup, progress_totals, progress_missing_stage, reference_ids, participant_palette_rank,
         stale_runs_antijoin, unknown_references, person_frame_flatten, props_field,

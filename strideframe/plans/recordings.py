@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.functions.skeleton import SMALL_3D
-from strideframe.operators import lifting, poses, progress, runs
+from strideframe.operators import lifting, poses, progress, runs, scans
 from strideframe.plans.oracles import POSE, SIGNAL, _bilinear
 from strideframe.sources import adapters, files
 
@@ -179,7 +179,8 @@ def color_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def carried_detections(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.signal(spark, d)
-    return _six(s.select("clip_key", "frame_number", poses.carry_sampled("value", F.col("event_type") == "error", 3).alias("carried")), ["carried"])
+    out = scans.carry_sampled(s, "value", F.col("event_type") == "error", 3)
+    return _six(out.select("clip_key", "frame_number", "carried"), ["carried"])
 
 
 def _sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:

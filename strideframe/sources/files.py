@@ -1,20 +1,17 @@
-"""Recordings in folders: pose tables with four header rows, depth archives, listings and their metadata.
+"""Recordings in folders: pose tables with four header rows, listings and their metadata.
 
-Whole files are parsed one by one inside tasks (``binaryFile``), so memory is bounded by the largest file; what a
-path says about its clip is column expressions.
+Tables are read as text, which Spark splits by size, and parsed by expressions; so is what a path says about its clip.
 """
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideframe.functions.expr import finite
 from strideframe.functions.skeleton import BODYPARTS
+from strideframe.operators import scans
+from strideframe.sources.depth import read_archives
 
 DEFAULT_FPS = 30.0
 # The file of each stage of a recording, with {run} for its folder's name, and the head of a compressed depth file.
@@ -22,8 +19,12 @@ STAGE_FILES = {
     "body": "results_{run}_body.csv", "full_body": "results_{run}_full_body.csv", "hand": "results_{run}_hand.csv", "merged": "results_{run}_merged.csv",
     "depth": "depth_{run}.npz", "pose_3d": "results_{run}_3d.csv", "fitted": "results_{run}_3d_fitted.csv",
 }
-ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
-KP = {2: "array<struct<x:double,y:double,lik:double>>", 3: "array<struct<x:double,y:double,z:double,lik:double>>"}
+# The first cell of each header row.
+HEADS = ["scorer", "individuals", "bodyparts", "coords"]
+AXES_OF = {2: ("x", "y", "lik"), 3: ("x", "y", "z", "lik")}
+#: Parts in which the rows of one file meet its head.
+SALTS = 32
+read_depth = read_archives
 
 
 def frame_number(label: Column) -> Column:
@@ -32,36 +33,63 @@ def frame_number(label: Column) -> Column:
     return F.when(digits != "", digits.cast("int")).otherwise(F.raise_error(F.concat(F.lit("Unexpected frame label: "), label)).cast("int"))
 
 
-def parse_pose_table(raw: bytes, dims: int, bodyparts: list[str] = BODYPARTS) -> pd.DataFrame:
-    """label and kp of each row, in the file's order. Scorers and individuals collapse to the first present value
-    of each joint and coordinate; joints that are absent are missing."""
-    table = pd.read_csv(io.BytesIO(raw), header=[0, 1, 2, 3], index_col=0)
-    coords = ["x", "y", "z", "likelihood"] if dims == 3 else ["x", "y", "likelihood"]
-    first: dict[tuple[str, str], np.ndarray] = {}
-    for _, _, part, coord in dict.fromkeys(table.columns):
-        same = [i for i, c in enumerate(table.columns) if c[2:] == (part, coord)]
-        if (part, coord) not in first:
-            first[part, coord] = table.iloc[:, same].apply(pd.to_numeric).bfill(axis=1).iloc[:, 0].to_numpy(float)
-    gone = np.full(len(table), np.nan)
-    values = np.stack([[first.get((p, c), gone) for c in coords] for p in bodyparts])  # joint, coordinate, frame
-    names = ["x", "y", "z", "lik"] if dims == 3 else ["x", "y", "lik"]
-    kp = [[{n: None if not np.isfinite(v) else float(v) for n, v in zip(names, joint)} for joint in values[:, :, t]] for t in range(len(table))]
-    return pd.DataFrame({"label": table.index.astype(str), "kp": kp})
+def _number(text: Column) -> Column:
+    """A finite number, or nothing."""
+    return finite(text.try_cast("double"))
+
+
+def _columns_of(parts: Column, coords: Column, dims: int, bodyparts: list[str]) -> Column:
+    """Of each joint and coordinate the places of its columns, in the file's order."""
+    names = {"x": "x", "y": "y", "z": "z", "lik": "likelihood"}
+    at = F.sequence(F.lit(1), F.size(parts) - 1)
+    of = lambda joint, c: F.filter(at, lambda i: (F.get(parts, i) == joint) & (F.get(coords, i) == c))
+    return F.transform(F.array(*map(F.lit, bodyparts)), lambda joint: F.struct(*[of(joint, names[a]).alias(a) for a in AXES_OF[dims]]))
+
+
+def pose_heads(lines: DataFrame, dims: int = 2, bodyparts: list[str] = BODYPARTS) -> DataFrame:
+    """path and ``slots`` (where each joint's coordinates stand) of every file, from its header rows."""
+    kind = lambda k: F.max(F.when(F.substring_index("value", ",", 1) == k, F.col("value")))
+    heads = lines.filter(F.substring_index("value", ",", 1).isin(HEADS)).groupBy("path").agg(kind("bodyparts").alias("b"), kind("coords").alias("c"))
+    return heads.select("path", _columns_of(F.split("b", ","), F.split("c", ","), dims, bodyparts).alias("slots"))
+
 
+def pose_rows(lines: DataFrame, heads: DataFrame, dims: int = 2) -> DataFrame:
+    """path, frame_number and kp of the lines (path, value) that are no header rows. Scorers and individuals collapse to the first
+    present value of each joint and coordinate; joints that are absent are missing. Rows of a file meet its head in SALTS parts, so one large
+    file is no single task."""
+    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
+    rows = lines.filter(~F.substring_index("value", ",", 1).isin(HEADS)).withColumn("_salt", salt)
+    spread = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.join(spread, ["path", "_salt"]).select("path", F.split("value", ",").alias("cells"), "slots")
+    first = lambda places: F.get(F.filter(F.transform(places, lambda i: _number(F.get(F.col("cells"), i))), lambda v: v.isNotNull()), 0)
+    kp = F.transform("slots", lambda s: F.struct(*[first(s[a]).alias(a) for a in AXES_OF[dims]]))
+    return met.select("path", frame_number(F.get("cells", 0)).alias("frame_number"), kp.alias("kp"))
 
-def read_pose_csv(spark: SparkSession, path: str | list[str], dims: int = 2) -> DataFrame:
-    """path, frame_index (by frame number, from 0), frame_number and kp of every row of the pose tables at ``path`` (globs too)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                rows = parse_pose_table(raw, dims)
-                rows.insert(0, "path", name)
-                yield rows
+def _lines(text: DataFrame) -> DataFrame:
+    """path (as listings write it) and value of the lines that are not empty."""
+    path = F.regexp_replace("_metadata.file_path", "^file:///", "file:/")
+    return text.select(path.alias("path"), F.regexp_replace("value", "\r$", "").alias("value")).filter("value <> ''")
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, label string, kp {KP[dims]}")
-    place = F.row_number().over(Window.partitionBy("path").orderBy("frame_number")) - 1
-    return found.select("path", frame_number(F.col("label")).alias("frame_number"), "kp").select("path", place.alias("frame_index"), "frame_number", "kp")
+
+def read_pose_csv(spark: SparkSession, path: str | list[str], dims: int = 2, bodyparts: list[str] = BODYPARTS) -> DataFrame:
+    """path, frame_index (by frame number, from 0), frame_number and kp of every row of the pose tables at ``path`` (globs too). Files are
+    read line by line in as many tasks as their sizes ask for, and numbered in ranges of frames."""
+    lines = _lines(spark.read.text(path))
+    rows = pose_rows(lines, pose_heads(lines, dims, bodyparts), dims)
+    placed = scans.numbered(rows, "path", F.floor(F.col("frame_number") / scans.BLOCK), ["frame_number"])
+    return placed.select("path", F.col("frame_index").cast("int").alias("frame_index"), "frame_number", "kp")
+
+
+def stream_pose_csv(spark: SparkSession, folder: str, like: str, dims: int = 2, files_a_batch: int = 1000, glob: str = "*", bodyparts: list[str] = BODYPARTS) -> DataFrame:
+    """The rows (path, frame_number, kp) of pose tables as they arrive below ``folder``, all with the columns of the file ``like``."""
+    slots = pose_heads(_lines(spark.read.text(like)), dims, bodyparts).drop("path")
+    text = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).text(folder)
+    lines = _lines(text)
+    rows = lines.filter(~F.substring_index("value", ",", 1).isin(HEADS)).crossJoin(F.broadcast(slots))  # one row
+    first = lambda places: F.get(F.filter(F.transform(places, lambda i: _number(F.get(F.col("cells"), i))), lambda v: v.isNotNull()), 0)
+    kp = F.transform("slots", lambda s: F.struct(*[first(s[a]).alias(a) for a in AXES_OF[dims]]))
+    return rows.select("path", F.split("value", ",").alias("cells"), "slots").select("path", frame_number(F.get("cells", 0)).alias("frame_number"), kp.alias("kp"))
 
 
 def write_pose_csv(frames: DataFrame, path: str, scorer: str, dims: int = 2, bodyparts: list[str] = BODYPARTS) -> None:
@@ -129,13 +157,15 @@ def companion_2d(path: Column) -> Column:
 
 def fps_or_default(fps: Column) -> Column:
     """Frame rates that are missing or next to 0 count as 30."""
-    return F.when(fps > 1e-3, fps).otherwise(DEFAULT_FPS)
+    return F.when((fps > 1e-3) & ~F.isnan(fps), fps).otherwise(DEFAULT_FPS)
 
 
-def first_videos(files: DataFrame) -> DataFrame:
-    """folder and its first video by name, made by nobody of the pipeline."""
-    name = F.lower(_part(F.col("path"), 0))
-    mine = name.rlike(r"\.(mp4|avi)$") & ~name.rlike(r"^(visualization_|results_|bboxes_)")
+def first_videos(files: DataFrame, rule: str = "made") -> DataFrame:
+    """folder and its first video by name. Left out are by ``rule`` "made": what the pipeline made (by the beginning of names); "drawn": drawings
+    only; "run": videos whose name contains the folder's name."""
+    file, run = _part(F.col("path"), 0), _part(F.col("path"), 1)
+    rules = {"made": ~F.lower(file).rlike(r"^(visualization_|results_|bboxes_)"), "drawn": ~file.startswith("visualization_"), "run": ~file.contains(run)}
+    mine = F.lower(file).rlike(r"\.(mp4|avi)$") & rules[rule]
     return files.filter(mine).groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).agg(F.min("path").alias("video"))
 
 
@@ -193,42 +223,6 @@ def unpack_bits(packed: Column, n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), bit)).otherwise(F.array().cast("array<boolean>"))
 
 
-def depth_frames(raw: bytes) -> dict[str, np.ndarray]:
-    """The arrays of a depth file: Zstandard around differences in time of the 16-bit patterns, or a plain archive."""
-    if raw[:4] != ZSTD_MAGIC:
-        data = np.load(io.BytesIO(raw))
-        return {k: data[k] for k in data.files}
-    import zstandard
-
-    data = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 33)))
-    out = {k: data[k] for k in data.files if not k.startswith(("_depth", "_sky"))}
-    if "_depth_delta_i16" in data.files:
-        out["depth"] = np.cumsum(data["_depth_delta_i16"], axis=0, dtype=np.int16).view(np.dtype(str(data["_depth_dtype"]))).reshape(tuple(data["_depth_shape"]))
-    if "_sky_packed" in data.files:
-        shape = tuple(data["_sky_shape"])
-        out["sky"] = np.unpackbits(data["_sky_packed"], count=int(np.prod(shape))).reshape(shape).astype(bool)
-    return out
-
-
-def read_depth(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, frame_number, is_metric, h, w, depth (row-major) and sky (null if the file has none) of each frame of depth files."""
-    schema = "path string, frame_number int, is_metric boolean, h int, w int, depth array<float>, sky array<boolean>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                a = depth_frames(raw)
-                n, h, w = a["depth"].shape
-                for t in range(n):
-                    sky = a["sky"][t].reshape(-1).tolist() if "sky" in a else None
-                    yield pd.DataFrame({
-                        "path": [name], "frame_number": [int(a["frame_indices"][t])], "is_metric": [bool(a.get("is_metric", False))], "h": [h], "w": [w],
-                        "depth": [a["depth"][t].astype(np.float32).reshape(-1).tolist()], "sky": [sky],
-                    })
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
-
-
 def read_person_frames(spark: SparkSession, path: str) -> DataFrame:
     """frame and persons (arrays of [x, y, ..., score]) of JSON lists of frames."""
     schema = "frame long, persons array<struct<keypoints:array<array<double>>>>"
@@ -238,3 +232,37 @@ def read_person_frames(spark: SparkSession, path: str) -> DataFrame:
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """A settings file as one row; a dotted name such as ``a.b`` selects a value."""
     return spark.read.option("multiLine", "true").json(path)
+
+
+def read_boxes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, frame_number, boxes ([x, y, width, height] each) and hand_labels of box tables: CSV files whose cells hold lists."""
+    schema = "frame_label string, bboxes string, hand_labels string"
+    rows = spark.read.schema(schema).option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    boxes = F.from_json(F.regexp_replace("bboxes", "nan", "null"), "array<array<double>>")
+    labels = F.from_json(F.regexp_replace("hand_labels", "'", '"'), "array<string>")
+    at = F.regexp_replace("_metadata.file_path", "^file:///", "file:/")
+    return rows.select(at.alias("path"), frame_number(F.col("frame_label")).alias("frame_number"), boxes.alias("boxes"), labels.alias("hand_labels"))
+
+
+def write_boxes(frames: DataFrame, path: str) -> None:
+    """Box tables in folders ``clip_key=...``: frame_label, bboxes and hand_labels of ``frames`` (clip_key, frame_number, boxes, hand_labels), by frame."""
+    of = lambda c, inner: F.concat(F.lit("["), F.array_join(F.transform(c, inner), ", "), F.lit("]"))
+    boxes = of("boxes", lambda b: F.concat(F.lit("["), F.array_join(F.transform(b, lambda v: v.cast("string")), ", "), F.lit("]")))
+    labels = of("hand_labels", lambda v: F.concat(F.lit("'"), v, F.lit("'")))
+    rows = frames.select("clip_key", F.col("frame_number").alias("_n"), F.format_string("frame_%04d", "frame_number").alias("frame_label"), boxes.alias("bboxes"), labels.alias("hand_labels"))
+    ordered = rows.repartitionByRange("clip_key", "_n").sortWithinPartitions("clip_key", "_n").drop("_n")
+    ordered.write.partitionBy("clip_key").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+
+
+#: The view of the sweep, in degrees.
+SWEEP_STEP, SWEEP_ELEVATION = 36, 0
+
+
+def selections(middle: DataFrame, videos: DataFrame) -> DataFrame:
+    """clip_key, ``selection`` and ``angle_sweep`` (JSON): the middle frames of each clip as its artwork takes them. ``middle``: clip_key, frame_index,
+    frame_number and is_middle (ten rows a clip); ``videos``: clip_key, video, pose_2d_csv, pose_3d_csv."""
+    rows = middle.groupBy("clip_key").agg(F.array_sort(F.collect_list(F.struct("frame_index", "frame_number"))).alias("r"), F.max(F.when(F.col("is_middle"), F.col("frame_number"))).alias("m"))
+    selection = F.to_json(F.struct("video", "pose_2d_csv", "pose_3d_csv", F.col("r.frame_index").alias("prediction_rows"), F.col("r.frame_number").alias("video_frames"), F.col("m").alias("middle_video_frame")))
+    angles = F.sequence(F.lit(0), F.lit(360 - SWEEP_STEP), F.lit(SWEEP_STEP))
+    sweep = F.to_json(F.struct(F.col("m").alias("frame"), F.lit(SWEEP_ELEVATION).alias("elevation_degrees"), angles.alias("azimuth_degrees")))
+    return rows.join(videos, "clip_key", "left").select("clip_key", selection.alias("selection"), sweep.alias("angle_sweep"))

@@ -30,8 +30,10 @@ def _speed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     seconds, values = rows["ts"].map(lambda t: t.timestamp()), rows["value"]
     gap = seconds - seconds.shift(fill_value=before[0]) if before[0] is not None else seconds.diff()
     step = values - values.shift(fill_value=before[1]) if before[0] is not None else values.diff()
-    state.update((float(seconds.iloc[-1]), float(values.iloc[-1])))
-    state.setTimeoutTimestamp(max(int(seconds.iloc[-1] * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
+    latest = (float(seconds.iloc[-1]), float(values.iloc[-1]))
+    latest = latest if before[0] is None or latest[0] >= before[0] else before  # an older sample does not set the state back
+    state.update(latest)
+    state.setTimeoutTimestamp(max(int(latest[0] * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
     yield pd.DataFrame({"clip_key": key[0], "ts": rows["ts"], "speed": (step / gap).where(gap > 0)})
 
 

@@ -74,3 +74,13 @@ def test_the_overlay_of_matches_covers_their_windows(spark, sf):
     found = queries.dtw_top_matches(spark, sf).agg({"window_length_frames": "sum"}).first()[0]
     got = queries.dtw_match_overlay(spark, sf).collect()
     assert len(got) == found and {0.0, 1.0} <= {x["progress"] for x in got}
+
+
+def test_match_tables_name_their_excerpts(spark, sf):
+    best = {(r["reference_id"], r["clip_id"]): r for r in queries.dtw_top_matches(spark, sf).collect()}
+    got = queries.dtw_match_table(spark, sf).collect()
+    assert len(got) == len(best) > 0
+    for r in got:
+        b = best[r["reference_id"], r["clip_id"]]
+        assert (r["rank"], r["start_frame"], r["end_frame"], r["normalized_cost"]) == (b["rank"], b["start_frame"], b["end_frame"], b["normalized_cost"])
+        assert r["excerpt"] == f"rank{b['rank']:02d}_{b['clip_key']}_{b['clip_id']}_f{b['start_frame']:05d}-{b['end_frame']:05d}.mp4" and r["school"] == f"S{b['clip_key'] % 7}"

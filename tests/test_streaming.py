@@ -38,3 +38,13 @@ def test_speeds_go_on_across_batches(spark, tmp_path):
     again.start().awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/out").orderBy("clip_key", "ts").collect()
     assert [(r["clip_key"], r["speed"]) for r in rows] == [(1, None), (1, 2.0), (1, -1.0), (2, None)]
+
+
+def test_an_older_sample_does_not_set_the_state_back(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    for rows in ([(1, at(10), 1.0)], [(1, at(4), 50.0)], [(1, at(12), 5.0)]):  # a batch each
+        write(spark, folder, rows)
+        out = signals.speeds(signals.read_samples(spark, folder, "*.parquet")).writeStream.outputMode("append").format("parquet")
+        out.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("ts").collect()
+    assert [r["speed"] for r in got] == [None, None, 2.0]
