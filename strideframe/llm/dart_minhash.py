@@ -10,7 +10,8 @@ agree in a band are candidates, and candidates are verified by the weighted Jacc
 whole shingle sets.
 
 No band is compared pair by pair. Its members are compared with its pivot; those that may still be similar
-to a member of another class meet in a prefix-filtered join over their rarest shingles.
+to a member of another class meet in a prefix-filtered join over their rarest shingles. Lists of that join which very many
+texts share (a template with edits) give out no pairs: their sets are compared inside tasks, block by block.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import crowded_lists
 from .common import byte_slices, discard, keep_rows, staged, trim
 
 SHINGLE_WORDS = 5
@@ -361,6 +363,13 @@ def _classes(in_band: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
         return roots
     lesser, greater = prefixes(open_reps.select("rep", "n").join(sets, "rep"), threshold)
     for hubs in (True, False):  # first stars, which settle most; then whatever is still apart
+        if not hubs:  # lists that very many share are compared inside tasks
+            full = crowded_lists.crowded_lists(lesser, greater, roots)
+            if not full.isEmpty():
+                joined = crowded_lists.links_of_lists(full, lesser, greater, sets, roots, threshold)
+                links = staged(links.union(joined), "more-links")
+                roots = staged(components(links), "roots")
+                lesser, greater = (df.join(full, ["unit", "size_class"], "left_anti") for df in (lesser, greater))
         more = staged(_candidates(lesser, greater, roots, threshold, hubs), "candidates")
         if not more.isEmpty():
             links = staged(links.union(_measure(more, sets).filter(linked).select("a", "b")), "more-links")

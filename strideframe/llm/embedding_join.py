@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, staged, trim
+from .crowded_lists import merge
 from .dart_minhash import components
 
 THRESHOLD = 0.9
@@ -173,18 +174,6 @@ def _route(cells: list[Cells], salts: int, dim: int, kind: str, threshold: float
     return run
 
 
-def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Joins the components of the pairs (i, j); every entry of ``parent`` is the least member of its component."""
-    while True:
-        a, b = parent[i], parent[j]
-        open_pairs = a != b
-        if not open_pairs.any():
-            return parent
-        np.minimum.at(parent, np.maximum(a, b)[open_pairs], np.minimum(a, b)[open_pairs])
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-
-
 def _squares(x: np.ndarray, y: np.ndarray, kind: type = np.float64) -> np.ndarray:
     """Squared distances of all rows of x and y. In float64 they are whole numbers below 2 ** 53, exact in any order;
     in float32, and in units of the vectors, they serve as a first sieve."""

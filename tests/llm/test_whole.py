@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from strideframe.llm import pii
+from strideframe.llm import crowded_lists, dart_minhash, pii
 from strideframe.llm.dart_minhash import components, near_duplicates
 from strideframe.llm.decontamination import contamination
 from strideframe.llm.html_text import main_text
@@ -191,3 +191,53 @@ def test_anchors_sorted_over_the_cluster_give_the_same(spark, large):
     rows = [(i, "".join(r.choice("xyz") for _ in range(r.randrange(60))) + line[r.randrange(20):] + "".join(r.choice("xyz") for _ in range(50))) for i in range(60)]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), large_anchor=large).collect()
     assert {x["doc_id"]: tuple(x)[1:] for x in got} == brute.repeats(rows)
+
+
+def templated(n, seed=1):
+    r = random.Random(seed)
+    base = [f"t{i}" for i in range(110)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(r.randrange(2, 5)):
+            words[r.randrange(110)] = f"e{r.randrange(10**6)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_candidates_of_a_template_grow_in_proportion(spark, monkeypatch):
+    """Texts of one template that are mostly not similar: every two share common shingles, but pairs are not given out."""
+    made = {}
+    for module in (dart_minhash, crowded_lists):
+        def spy(df, name, staged=module.staged):
+            out = staged(df, name)
+            made.setdefault(name, []).append(out.count())
+            return out
+
+        monkeypatch.setattr(module, "staged", spy)
+    largest = []
+    for n in (700, 1400):
+        made.clear()
+        docs = templated(n)
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert n > 1000 or got == brute.near_classes(docs)
+        largest.append({k: max(v) for k, v in made.items()})
+    for name in ("candidates", "list-members", "prefixes", "measured", "placed", "pivot-pairs"):
+        assert largest[1][name] <= 2.6 * largest[0][name] + 100 and largest[1][name] < 40 * 1400, name
+
+
+def test_common_counts_are_those_of_sets(monkeypatch):
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        monkeypatch.setattr(crowded_lists, "COUNTS_AT_ONCE", int(r.integers(1, 60)))
+        u = int(r.integers(2, 50))
+        left, right = ([r.permutation(u)[: r.integers(0, u)] * 7919 for _ in range(int(r.integers(1, 14)))] for _ in range(2))
+        assert (crowded_lists.common_counts(left, right) == [[len({*a.tolist()} & {*b.tolist()}) for b in right] for a in left]).all()
+
+
+def test_blocks_of_a_list_meet_each_other(spark, monkeypatch):
+    """Lists dealt into several blocks give the classes that brute force gives."""
+    monkeypatch.setattr(crowded_lists, "BLOCK_SETS", 20)
+    docs = templated(160, 5)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(docs)
