@@ -225,6 +225,14 @@ ORACLES = {
         d AS (SELECT q.vec_id AS query_id, w.vec_id AS window_index, sqrt((q.u - w.u) ** 2 + (q.v - w.v) ** 2) AS distance FROM p q, p w WHERE q.vec_id % 100 = 0 AND w.vec_id % 100 <> 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, window_index) AS rank FROM d)
         SELECT query_id, window_index, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 10""",
+    "convex_hull": """WITH p AS (SELECT DISTINCT label, embedding[1]::DOUBLE AS u, embedding[2]::DOUBLE AS v FROM embeddings),
+        sides AS (SELECT a.label, a.u, a.v, (b.u - a.u) * (r.v - a.v) - (b.v - a.v) * (r.u - a.u) AS turn, (b.u - a.u) * (r.u - a.u) + (b.v - a.v) * (r.v - a.v) AS ahead, b.u AS bu, b.v AS bv
+                  FROM p a JOIN p b ON a.label = b.label AND (a.u <> b.u OR a.v <> b.v) JOIN p r ON r.label = a.label AND (r.u <> a.u OR r.v <> a.v)),
+        edges AS (SELECT label, u, v, max(turn) AS most FROM sides GROUP BY label, u, v, bu, bv HAVING min(turn) >= 0 AND min(CASE WHEN turn = 0 THEN ahead ELSE 0 END) >= 0),
+        corners AS (SELECT DISTINCT label, u, v FROM edges WHERE most > 0),
+        turned AS (SELECT *, count(*) OVER w AS n, atan2(v - avg(v) OVER w, u - avg(u) OVER w) AS angle FROM corners WINDOW w AS (PARTITION BY label)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY angle) AS at_angle, row_number() OVER (PARTITION BY label ORDER BY u, v) AS at_left FROM turned)
+        SELECT label, ((c.at_angle - s.at_angle + c.n) % c.n)::INT AS corner, c.u, c.v FROM placed c JOIN (SELECT label, at_angle FROM placed WHERE at_left = 1) s USING (label) WHERE c.n >= 3""",
     "channel_zscore": f"""WITH {SIGNAL}, r AS (SELECT coalesce(avg(value), 0) AS m, CASE WHEN stddev_pop(value) > 1e-6 THEN stddev_pop(value) ELSE 1 END AS d FROM s WHERE clip_id = 'user_00010' AND is_reference)
         SELECT clip_key, frame_number, round(coalesce((value - m) / d, 0), 5) + 0 AS value FROM s, r""",
     "match_overlay_progress": f"""WITH {SIGNAL} SELECT 'user_00010' AS reference_id, clip_key, frame_index::INT AS frame_index, round((frame_index - 3) / 11, 6) AS progress, round(value, 6) AS value

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.expr import mean_of, point
 from strideframe.functions.skeleton import SMALL_2D, SMALL_3D, dtw_channels, feature_names, signal_names
-from strideframe.operators import features, lifting, matching, poses, progress, quantiles, scans, signals
+from strideframe.operators import features, graph, lifting, matching, poses, progress, quantiles, scans, signals
 from strideframe.sources import adapters, depth
 
 DIGITS = 6
@@ -174,6 +174,12 @@ def knn_reference_windows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.nearest_windows(refs, windows, ["u", "v"]).select("query_id", "window_index", "distance", "rank"), ["distance"])
 
 
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The fuzzy graph of about 15 nearest neighbours of each vector."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return graph.fuzzy_union(graph.neighbour_graph(vectors))
+
+
 def convex_hull(spark: SparkSession, d: str) -> DataFrame:
     return matching.convex_hull(_points(spark, d), "label", "u", "v")
 
@@ -393,7 +399,7 @@ QUERIES = {
     for f in (
         shoulder_width, likelihood_mask_rate, nanmean_rowwise, frame_signals_2d, frame_signals_3d, frame_signals_long, signal_changes, event_type_quantiles, timeseries_time_s, merge_sources, smooth_centered,
         smooth_asymmetric, gap_interpolation, locf, midpoint_window, reference_length_table, window_size, sliding_window_features, pose_window_features, pose_window_features_3d,
-        dropna_features, normalize_per_clip, standard_scaler, pca_projection, knn_reference_windows, convex_hull, channel_stats, global_channel_scale,
+        dropna_features, normalize_per_clip, standard_scaler, pca_projection, knn_reference_windows, neighbour_graph, convex_hull, channel_stats, global_channel_scale,
         channel_weights, channel_weights_3d, weight_report, channel_zscore, dtw_best_match, dtw_top_matches, dtw_pose_match, dtw_pose_match_3d, match_overlay_progress, match_overlay_channels, hand_boxes_of_frames, dtw_match_overlay, dtw_match_table, depth_blocks, bone_lengths, bone_length_cv_report,
         pbd_fit_skeleton, depth_bilinear_sample, depth_calibrate_scale, backproject_lift, hand_outlier_flags, hand_bboxes, depth_delta_roundtrip,
         axis_limits, progress_stages, progress_rollup, progress_totals, progress_missing_stage, reference_ids, participant_palette_rank,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", app: str = "strideframe", **conf: str) -> SparkSession:
@@ -21,3 +23,16 @@ def build_session(master: str = "local[8]", app: str = "strideframe", **conf: st
     spark = SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder all executors share and read back: what reads them does not depend on any executor. The
+    cluster names the folder in ``spark.checkpoint.dir``; only under a local master may it be unset."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="strideframe-"))
+    return df.checkpoint()

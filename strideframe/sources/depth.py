@@ -61,7 +61,7 @@ def unpack_sky(raw: bytes, n: int, h: int, w: int) -> np.ndarray:
 def _rasters(table: pa.Table | pa.RecordBatch, name: str, h: int, w: int) -> np.ndarray:
     column = table.column(name)
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(-1, h, w)
 
 
