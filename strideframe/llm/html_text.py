@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?P<shut>-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?P<rawshut></(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?P<rawshut></(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)>"
     r"|<[!?][^>]*+>",
@@ -41,7 +41,8 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：…]")
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split()
 )
 CLOSES_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -60,7 +61,7 @@ FURNITURE_WORDS = set(
     "comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login form search "
     "pagination pager skip".split()
 )
-BOX_WORDS = set("list bar box area block section container wrapper wrap inner slot item items link links panel group text body content unit message banner notice thread holder".split())
+BOX_WORDS = set("list bar box area block section container wrapper wrap inner slot item items link links panel group text body content unit message banner notice thread holder posts stories articles reads news".split())
 #: A name that says what a page has, not what an element is.
 STATES = {"has", "no", "with", "without", "is", "js", "hide", "show"}
 #: What a furniture name, and a form, leave of a path's fused ratio.
@@ -70,6 +71,11 @@ THRESHOLD = 0.1
 #: Elements set apart by HTML that hold more than this share of the page's text without links are not left out, unless
 #: an article or main element outside of them holds text.
 MOST = 0.5
+#: Where an article or main element holds this share of the text, sections outside of it are no part of it.
+WITHIN = 0.5
+#: Link text reads like a sentence, not like a menu, if it ends like one or has so many words.
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’)]*$")
+SENTENCE_WORDS = 8
 #: The element that holds this share of the content keeps its other blocks too.
 HOLDS = 0.6
 
@@ -243,7 +249,11 @@ def _without_furniture(page: Page) -> list[tuple[int, str, int]]:
     held, total = page.sums(plain), plain.sum()
     apart = page.below(page.apart)
     if any(page.inside[i] and not apart[i] and plain[i] for i in range(len(plain))):  # beside an article, names decide too
-        return [b for b in blocks if not apart[b[0]] and (page.inside[b[0]] or page.factor[b[0]] > NAMED)]
+        kept = [b for b in blocks if not apart[b[0]] and (page.inside[b[0]] or page.factor[b[0]] > NAMED)]
+        inside = sum(len(t) - n for i, t, n in kept if page.inside[i])
+        if inside >= WITHIN * sum(len(t) - n for _, t, n in kept):  # titles may stand before it
+            kept = [b for b in kept if page.inside[b[0]] or page.tag[b[0]] in HEADINGS]
+        return kept
     apart = page.below([a and not h > MOST * total for a, h in zip(page.apart, held)])
     return [b for b in blocks if not apart[b[0]]]
 
@@ -267,6 +277,10 @@ def content_paths(page: Page, blocks: list[tuple[int, str, int]]) -> set[int]:
     return {path for path, i in order.items() if fused[i] >= THRESHOLD * fused.max()}
 
 
+def _sentence(text: str) -> bool:
+    return bool(SENTENCE.search(text)) or len(text.split()) >= SENTENCE_WORDS
+
+
 def main_text(source: str) -> str:
     page = Page(source)
     blocks = _without_furniture(page)
@@ -291,7 +305,7 @@ def main_text(source: str) -> str:
     heading = [page.tag[node] in HEADINGS for node, _, _ in blocks]
     plain_name = [page.factor[node] == page.factor[best] for node, _, _ in blocks]
     kept = [
-        c or in_best[node] and p and not (n_link > 0.6 * len(text) and page.tag[node] in ("li", "div", "ul", "td"))
+        c or in_best[node] and p and not (n_link > 0.6 * len(text) and page.tag[node] in ("li", "div", "ul", "td") and not _sentence(text))
         for c, p, (node, text, n_link) in zip(chosen, plain_name, blocks)
     ]
     first, last = kept.index(True), len(kept) - kept[::-1].index(True)

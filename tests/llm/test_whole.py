@@ -241,3 +241,23 @@ def test_blocks_of_a_list_meet_each_other(spark, monkeypatch):
     docs = templated(160, 5)
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute.near_classes(docs)
+
+
+def test_what_belongs_to_an_article_stays_and_the_rest_goes():
+    page = """<html><body><nav><ul><li><a href=x>Home</a></li><li><a>News</a></li></ul></nav><article><h1>T</h1><p>First paragraph, with a lot of text in it. It goes on, and on.</p>
+        <ul><li><a href=a>This linked sentence belongs to the article itself.</a></li><li><a href=c>And a third one, which is linked too.</a></li></ul>
+        <p>The formula <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> stands here, and the text ends.</p>
+        <div class="related-posts"><p>You may also like this, and that, and other things.</p></div></article>
+        <section><p>A reader says: I liked it, really. Thanks for writing.</p><p>Another one says: so did I, very much.</p></section><footer>c</footer></body></html>"""
+    assert main_text(page).split("\n") == [
+        "T", "First paragraph, with a lot of text in it. It goes on, and on.", "This linked sentence belongs to the article itself.", "And a third one, which is linked too.",
+        "The formula E=mc2 stands here, and the text ends.",
+    ]
+
+
+def test_pages_without_an_article_keep_their_sections():
+    page = """<html><body><div class=top><a href=/>Home</a></div><div id=main-text><div><h2>One</h2><p>The first section says this, and that. It is long enough to count, surely.</p></div>
+        <div><h2>Two</h2><p>The second section goes on, with more of the same; it ends here.</p></div></div><div class=sidebar><p>Popular now, and ever.</p></div></body></html>"""
+    assert main_text(page).split("\n") == [
+        "One", "The first section says this, and that. It is long enough to count, surely.", "Two", "The second section goes on, with more of the same; it ends here.",
+    ]
