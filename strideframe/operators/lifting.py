@@ -177,14 +177,6 @@ def wrap_int16(c: Column) -> Column:
     return F.pmod(c + 32768, F.lit(65536)) - 32768
 
 
-def delta_encode(df: DataFrame, value: str, key: str, order: str) -> Column:
-    return wrap_int16(F.col(value) - F.coalesce(F.lag(value).over(Window.partitionBy(key).orderBy(order)), F.lit(0)))
-
-
-def delta_decode(df: DataFrame, delta: str, key: str, order: str) -> Column:
-    return wrap_int16(F.sum(delta).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-
-
 #: Values that are looked at one by one where a quantile lies.
 QUANTILE_VALUES = 100_000
 

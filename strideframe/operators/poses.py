@@ -1,4 +1,4 @@
-"""Merging detections, smoothing, gap filling and carrying forward."""
+"""Merging detections; smoothing and gap filling within clips of bounded length (``scans`` has the forms for any length)."""
 
 from __future__ import annotations
 
@@ -74,17 +74,6 @@ def fill_gaps(df: DataFrame, value: str, flagged: str, key: str = "clip_key", or
     return F.when(F.col(flagged), line).otherwise(F.col(value))
 
 
-def carry_forward(value: str, key: str = "clip_key", order: str = "frame_index") -> Column:
-    """The last value seen so far."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def carry_sampled(value: str, failed: Column, n: int, key: str = "clip_key", order: str = "frame_index") -> Column:
-    """The value of the last frame that was looked at, every ``n``-th from the first; NULL if looking failed there."""
-    seen = F.when(F.col(order) % n == 0, F.struct(F.when(~failed, F.col(value)).alias("v")))
-    return F.last(seen, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))["v"]
-
-
 def midpoint_rows(df: DataFrame, n: int = 10, key: str = "clip_key", order: str = "frame_index") -> DataFrame:
     """The ``n`` middle rows of each clip that has as many; ``is_middle`` marks the one at n // 2."""
     total = F.count("*").over(Window.partitionBy(key))

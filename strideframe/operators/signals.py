@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from strideframe.functions.expr import AXES, LIKELIHOOD, angle, distance, dot, joint, mean_of, norm, point, sub
+from strideframe.functions.expr import AXES, LIKELIHOOD, angle, distance, dot, joint, mean_of, norm, point
 from strideframe.functions.skeleton import Layout, signal_names
 from strideframe.operators import quantiles, scans
 

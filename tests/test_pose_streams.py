@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.operators import scans
-from strideframe.streaming import poses
+from strideframe.sources import files
+from strideframe.streaming import poses, recordings
 
 T0 = dt.datetime(2024, 1, 1)
 SAMPLE = "clip_key long, frame_index long, ts timestamp, value double, fps double, flagged boolean"
@@ -75,3 +76,29 @@ def test_depth_joins_as_in_the_batch(spark, tmp_path):
     assert mine == {i: float(i) if i % 4 else None for i in range(60)}
     held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress if p["stateOperators"]]
     assert max(held) > 60 and held[-1] < 20  # both sides' state goes
+
+
+def test_new_recordings_are_worked_off_once(spark, tmp_path):
+    """Two runs and a crash between them give what one run gives."""
+    head = "scorer,s,s,s\nindividuals,i,i,i\nbodyparts,nose,nose,nose\ncoords,x,y,likelihood\n"
+    put = lambda name, x: (tmp_path / "in" / f"{name}.csv").write_text(f"{head}frame_0001,{x},0,1\n")
+    (tmp_path / "in").mkdir()
+    seen = []
+
+    def work(paths):
+        seen.append([p.split("/")[-1] for p in paths])
+        return files.read_pose_csv(spark, paths).select("path", "frame_number", F.col("kp")[0]["x"].alias("x"))
+
+    def run(how=work, **more):
+        return recordings.follow(spark, f"{tmp_path}/in", f"{tmp_path}/out", how, f"{tmp_path}/cp", **more)
+
+    def state():
+        return sorted((r["path"].split("/")[-1], r["x"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    put("a", 1), put("b", 2)
+    assert run(files_a_batch=1) == 2 and run() == 0 and state() == [("a.csv", 1.0), ("b.csv", 2.0)]
+    put("c", 3), put("d", 4)
+    with pytest.raises(Exception):
+        run(lambda paths: work(paths).withColumn("x", F.when(F.assert_true(F.col("x") < 4).isNull(), F.col("x"))))
+    assert run() == 1 and run() == 0
+    assert state() == [("a.csv", 1.0), ("b.csv", 2.0), ("c.csv", 3.0), ("d.csv", 4.0)] and seen[-1] == seen[-2] == ["c.csv", "d.csv"]
