@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, staged, trim
 
 #: Pairs of a list from which it counts as crowded: below, its pairs are given out.
 CROWDED_PAIRS = 4_096
 #: Elements and sets of a block at most, on average.
-BLOCK_UNITS, BLOCK_SETS = 1_000_000, 8_192
+BLOCK_UNITS, BLOCK_SETS = 500_000, 4_096
 #: Elements that more than this share of a block's sets hold are counted by matrices, the others by their lists.
 DENSE_SHARE = 1 / 8
-ROWS_AT_ONCE, COUNTS_AT_ONCE = 1_024, 8_000_000
+ROWS_AT_ONCE, COUNTS_AT_ONCE = 512, 2_000_000
 
 LINKS = "a long, b long"
 
@@ -69,7 +69,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _compare(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
+    def links(table: pa.Table) -> pa.Table:
         rep, root = (table.column(c).to_numpy() for c in ("rep", "root"))
         lesser = table.column("lesser").to_numpy(zero_copy_only=False)
         units = table.column("units").combine_chunks()
@@ -90,6 +90,11 @@ def _compare(threshold: float):
         some = np.flatnonzero(linked)
         return pa.table([pa.array(rep[some]), pa.array(rep[parent[some]])], names=["a", "b"])
 
+    def run(table: pa.Table) -> pa.Table:
+        out = links(table)
+        trim()  # what the comparison has used goes back before other stages run
+        return out
+
     return run
 
 
