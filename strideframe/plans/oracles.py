@@ -264,7 +264,7 @@ ORACLES = {
         SELECT clip_key, frame_number, round(v, 4) + 0 AS speed, round((v - lag(v) OVER (PARTITION BY clip_key ORDER BY frame_index)) * fps, 4) + 0 AS acceleration FROM a""",
     "event_type_quantiles": "SELECT event_type, count(value) AS n, " + ", ".join(
         f"round(quantile_cont(value, {q}), 6) AS {n}" for n, q in (("low", 0.01), ("first_quarter", 0.25), ("middle", 0.5), ("last_quarter", 0.75), ("high", 0.99))) + " FROM events GROUP BY event_type",
-    "frame_signals_3d": f"WITH {signals_sql(3)} SELECT clip_key, frame_number, {_digits(SIGNALS_3D, 4)} FROM g",
+    "frame_signals_3d": f"WITH {signals_sql(3, POSE_LONG)} SELECT clip_key, frame_number, {_digits(SIGNALS_3D, 4)} FROM g",
     "timeseries_time_s": f"""WITH {signals_sql(2)} SELECT clip_key, frame_number AS frame, round((frame_number - first_value(frame_number) OVER (PARTITION BY clip_key ORDER BY frame_index)) / fps, 6) AS time_s,
         round(wrist_distance, 6) AS wrist_distance FROM g""",
     "pose_window_features": f"WITH {window_features_sql(2)} SELECT clip_key, clip_id, is_reference, window_index, window_start_frame, n_frames, {_digits(_features(2), 4)} FROM feats",

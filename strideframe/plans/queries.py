@@ -58,7 +58,8 @@ def frame_signals_long(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_signals_3d(spark: SparkSession, d: str) -> DataFrame:
     names = signal_names(3)
-    return rounded(_signals(spark, d, SMALL_3D).select("clip_key", "frame_number", *names), names, 4)
+    out = signals.frame_signals(adapters.long_pose_3d(spark, d), SMALL_3D, block=adapters.CLIP_IDS).persist()  # keeps the generated code small
+    return rounded(out.select("clip_key", "frame_number", *names), names, 4)
 
 
 def timeseries_time_s(spark: SparkSession, d: str) -> DataFrame:

@@ -57,25 +57,36 @@ def _joints_2d() -> list[Column]:
     return [F.struct(e[3 * j].alias("x"), e[3 * j + 1].alias("y"), _lik(3 * j + 2).alias("lik")) for j in range(21)]
 
 
-def long_pose_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same frames with all of a label as one clip, as long as the table is."""
+def _joints_3d() -> list[Column]:
+    e = F.col("e")
+    return [F.struct(e[4 * j].alias("x"), e[4 * j + 1].alias("y"), e[4 * j + 2].alias("z"), _lik(4 * j + 3).alias("lik")) for j in range(16)]
+
+
+def _long_frames(spark: SparkSession, sf_dir: str, slots: list) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_key"), F.col("vec_id").alias("frame_number"), F.col("embedding").cast("array<double>").alias("e"))
-    frames = rows.select("clip_key", "frame_number", F.lit(FPS).alias("fps"), F.array(*_joints_2d()).alias("kp"))
+    frames = rows.select("clip_key", "frame_number", F.lit(FPS).alias("fps"), F.array(*slots).alias("kp"))
     return scans.numbered(frames, "clip_key", F.floor(F.col("frame_number") / CLIP_IDS), ["frame_number"])
 
 
+def long_pose_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames with all of a label as one clip, as long as the table is."""
+    return _long_frames(spark, sf_dir, _joints_2d())
+
+
 def pose_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 joints of (x, y, z, lik) a frame."""
-    e = F.col("e")
-    return _frames(
-        spark, sf_dir, [F.struct(e[4 * j].alias("x"), e[4 * j + 1].alias("y"), e[4 * j + 2].alias("z"), _lik(4 * j + 3).alias("lik")) for j in range(16)]
-    )
+    return _frames(spark, sf_dir, _joints_3d())
+
+
+def long_pose_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames with all of a label as one clip, as long as the table is."""
+    return _long_frames(spark, sf_dir, _joints_3d())
 
 
-def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 depth images, row-major."""
+def rasters(spark: SparkSession, sf_dir: str, run: Column | None = None) -> DataFrame:
+    """8 x 8 depth images, row-major. ``run`` is by default the clip of ``pose_2d``."""
     return _read(spark, sf_dir, "embeddings").select(
-        clip_of_label().alias("run"), F.col("vec_id").alias("frame_number"), F.lit(8).alias("h"), F.lit(8).alias("w"),
+        (clip_of_label() if run is None else run).alias("run"), F.col("vec_id").alias("frame_number"), F.lit(8).alias("h"), F.lit(8).alias("w"),
         F.transform(F.col("embedding").cast("array<double>"), F.abs).alias("depth"),
     )
 
