@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.expr import AXES, finite
 from strideframe.functions.skeleton import BODYPARTS, bone_name, bones, mirror_key
-from strideframe.operators import lifting, poses
+from strideframe.operators import lifting, poses, scans
 
 #: Least likelihoods of joints of the body and of the hands.
 BODY_FLOOR, HAND_FLOOR, N_BODY = 0.5, 0.05, 17
@@ -35,18 +35,22 @@ def smooth_poses(frames: DataFrame, size: int = 5, key: str = "clip_key") -> Dat
 def lift_run(
     frames: DataFrame, rasters: DataFrame, hands: list[list[int]], shoulders: tuple[int, int], width: float, height: float, focal: float | None = None,
     metric: bool = False, min_likelihood: float = 0.5, radius: float = lifting.OUTLIER_RADIUS_M, z_window: int = 10, shoulder_width_m: float = lifting.SHOULDER_WIDTH_M,
+    block: int | None = None,
 ) -> DataFrame:
     """run, frame_index, joint, x, y, z, lik in metres.
 
     ``frames``: run, frame_index, frame_number and pixels ``kp``; ``rasters``: run, frame_number, w, h, depth. A frame
     without a raster has no depth. One scale a run comes from its shoulders (none for metric depth); hand joints
-    far from their hand's median point are interpolated in time; depth is smoothed, and x and y follow from it.
+    far from their hand's median point are interpolated in time; depth is smoothed, and x and y follow from it. With ``block``, runs may be
+    of any length: the scale is a median by refinement, and a joint's track is filled and smoothed in blocks of so many frames.
     """
     fx = float(width if focal is None else focal)
     cx, cy = width / 2.0, height / 2.0
     joined = frames.join(rasters, ["run", "frame_number"], "left")
     depth_at = lambda k: lifting.bilinear(F.col("depth"), k["x"] * F.col("w") / float(width), k["y"] * F.col("h") / float(height), F.col("w"), F.col("h"))
     sampled = joined.select("run", "frame_index", "kp", F.transform("kp", depth_at).alias("raw"))
+    if block is not None:
+        sampled = sampled.persist()  # read by each pass of the median; spills, and is released by ``spark.catalog.clearCache()``
     if metric:
         scaled = sampled.withColumn("depth_scale", F.lit(1.0))
     else:
@@ -55,7 +59,7 @@ def lift_run(
         pairs = sampled.select(
             "run", *[k[s][a].alias(f"{n}{b}") for s, n in ((left, "l"), (right, "r")) for a, b in (("x", "x"), ("y", "y"), ("lik", "lik"))], r[left].alias("dl"), r[right].alias("dr")
         )
-        scales = lifting.depth_scale(lifting.calibration_samples(pairs, min_likelihood), sampled.select("run").distinct(), F.lit(fx), shoulder_width_m)
+        scales = lifting.depth_scale(lifting.calibration_samples(pairs, min_likelihood), sampled.select("run").distinct(), F.lit(fx), shoulder_width_m, block is not None)
         scaled = sampled.join(scales.select("run", "depth_scale"), "run")
     long = scaled.select("run", "frame_index", "depth_scale", F.posexplode(F.arrays_zip("kp", "raw")).alias("joint", "p")).select(
         "run", "frame_index", "joint", F.col("p.kp.x").alias("px"), F.col("p.kp.y").alias("py"), F.col("p.kp.lik").alias("lik"), (F.col("p.raw") * F.col("depth_scale")).alias("z")
@@ -70,6 +74,11 @@ def lift_run(
     flagged = lifting.hand_outliers(in_hand, ["run", "frame_index", "hand"], radius).select("run", "frame_index", F.col("slot").alias("joint"), "px", "py", "lik", "z", "outlier")
     every = flagged.union(placed.filter("_h is null").select("run", "frame_index", "joint", "px", "py", "lik", "z", F.lit(False)))
     track = ["run", "joint"]
+    if block is not None:
+        tracks = every.withColumn("_track", F.struct(*track)).persist()  # read by the blocks' ends and by the rows
+        filled = scans.fill_gaps(tracks, "z", "outlier", "_z", key="_track", block=block).withColumn("z", F.col("_z")).drop("_z")
+        smooth = scans.smooth(filled, "z", z_window, False, "_z", key="_track", block=block).withColumn("z", F.col("_z"))
+        return smooth.select("run", "frame_index", "joint", ((F.col("px") - cx) * z / fx).alias("x"), ((F.col("py") - cy) * z / fx).alias("y"), "z", "lik")
     filled = every.select("run", "frame_index", "joint", "px", "py", "lik", poses.fill_gaps(every, "z", "outlier", track).alias("z"))
     smooth = filled.withColumn("z", poses.smooth(filled, "z", z_window, False, key=track))
     return smooth.select("run", "frame_index", "joint", ((F.col("px") - cx) * z / fx).alias("x"), ((F.col("py") - cy) * z / fx).alias("y"), "z", "lik")

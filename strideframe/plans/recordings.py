@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.skeleton import SMALL_3D
 from strideframe.operators import lifting, poses, progress, runs, scans
-from strideframe.plans.oracles import POSE, SIGNAL, _bilinear
+from strideframe.plans.oracles import POSE, POSE_LONG, SIGNAL, _bilinear
 from strideframe.sources import adapters, files
 
 STAGES = list(files.STAGE_FILES)
@@ -205,8 +205,8 @@ def smooth_keypoints(spark: SparkSession, d: str) -> DataFrame:
 
 def lift_run(spark: SparkSession, d: str) -> DataFrame:
     kp = F.transform("kp", lambda k: F.struct(((k["x"] + 1) * 4).alias("x"), ((k["y"] + 1) * 4).alias("y"), k["lik"].alias("lik")))
-    frames = adapters.pose_2d(spark, d).select(F.col("clip_key").alias("run"), "frame_index", "frame_number", kp.alias("kp"))
-    out = runs.lift_run(frames, adapters.rasters(spark, d).filter("frame_number % 9 <> 0"), HANDS, (0, 1), 8, 8)
+    frames = adapters.long_pose_2d(spark, d).select(F.col("clip_key").alias("run"), F.col("frame_index").cast("int").alias("frame_index"), "frame_number", kp.alias("kp"))
+    out = runs.lift_run(frames, adapters.rasters(spark, d, F.col("label")).filter("frame_number % 9 <> 0"), HANDS, (0, 1), 8, 8, block=scans.BLOCK)
     return _six(out, ["x", "y", "z", "lik"], 5)
 
 
@@ -300,7 +300,7 @@ ORACLES = {
         SELECT vec_id AS frame_number, j::INT AS joint, round(p.x, 6) + 0 AS x, round(p.y, 6) + 0 AS y, round(p.lik, 6) + 0 AS lik FROM k""",
     "smooth_keypoints": f"""WITH {POSE}, l AS (SELECT clip_key, frame_index, frame_number, j, e[3 * j + 1] AS x, e[3 * j + 2] AS y, CASE WHEN least(1.0, 8 * abs(e[3 * j + 3])) >= 0.3 THEN least(1.0, 8 * abs(e[3 * j + 3])) END AS lik FROM (SELECT *, unnest(range(21)) AS j FROM p))
         SELECT clip_key, frame_number, j::INT AS joint, """ + ", ".join(f"round(CASE WHEN lik IS NULL THEN {a} ELSE quantile_cont(CASE WHEN lik IS NOT NULL THEN {a} END, 0.5) OVER w END, 6) + 0 AS {a}" for a in "xy") + ", round(lik, 6) + 0 AS lik FROM l WINDOW w AS (PARTITION BY clip_key, j ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
-    "lift_run": f"""WITH {POSE}, {_LONG}, d AS (SELECT * EXCLUDE (e), CASE WHEN frame_number % 9 <> 0 THEN {_bilinear("px", "py")} END AS raw FROM l),
+    "lift_run": f"""WITH {POSE_LONG}, {_LONG}, d AS (SELECT * EXCLUDE (e), CASE WHEN frame_number % 9 <> 0 THEN {_bilinear("px", "py")} END AS raw FROM l),
         c AS (SELECT run, sqrt((b.px - a.px) ** 2 + (b.py - a.py) ** 2) * (a.raw + b.raw) / 2 AS m, sqrt((b.px - a.px) ** 2 + (b.py - a.py) ** 2) AS n
           FROM (SELECT * FROM d WHERE joint = 0) a JOIN (SELECT * FROM d WHERE joint = 1) b USING (run, frame_index) WHERE a.lik >= 0.5 AND b.lik >= 0.5 AND a.raw > 0 AND b.raw > 0),
         k AS (SELECT run, 0.4::DOUBLE * 8 / median(m) AS scale FROM c WHERE n >= 0.001 GROUP BY run),
