@@ -9,8 +9,9 @@ are removed whole.
 
 Different segments of one anchor are put in suffix order, and the nearest smaller positions before and
 behind each suffix give its longest previous factor: where that reaches LENGTH, the string is a later copy.
-Anchors whose segments fit into a task are sorted there; the strings of the others are sorted by their
-bytes over the cluster, split wherever a partition is full, so no group overloads a task.
+Anchors with few segments are sorted in a task. Of the others, a task takes the segments of one anchor, or a part of those of a
+very large one, and gives out equal strings as spans; only the first strings of such parts are sorted by their bytes over the
+cluster, split wherever a partition is full, so no group overloads a task and no repeated string is sent around.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LENGTH = 100
 GRAM = 36
 #: Different segments of one anchor that one task puts in suffix order; beyond it the cluster does.
 LARGE_ANCHOR = 500
+#: Times as many segments of one anchor are still compared in one task, by hashes and bytes of their strings; an anchor of more is divided.
+WHOLE_ANCHOR = 8
 CHUNK_BYTES = 1_000_000
 #: Bytes whose suffixes are sorted at a time.
 SUFFIX_BYTES = 1_000_000
@@ -212,7 +215,7 @@ def _borders(rows: DataFrame) -> DataFrame:
 def _cut_out(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, docs, starts, parts, large = [], [], [], [], []
+            anchors, docs, starts, parts, dealt = [], [], [], [], []
             for doc_id, text, wanted in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "wanted"))):
                 raw = text.encode()
                 for w in wanted:
@@ -221,12 +224,12 @@ def _cut_out(length: int):
                     docs.append(doc_id)
                     starts.append(first)
                     parts.append(raw[first : first + more + length])
-                    large.append(w["large"])
+                    dealt.append(w["parts"])
                 if len(parts) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(large, pa.bool_())], names=["anchor", "doc_id", "start", "bytes", "large"])
-                    anchors, docs, starts, parts, large = [], [], [], [], []
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(dealt, pa.int64())], names=["anchor", "doc_id", "start", "bytes", "parts"])
+                    anchors, docs, starts, parts, dealt = [], [], [], [], []
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(large, pa.bool_())], names=["anchor", "doc_id", "start", "bytes", "large"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(dealt, pa.int64())], names=["anchor", "doc_id", "start", "bytes", "parts"])
 
     return run
 
@@ -357,28 +360,53 @@ def _factors(length: int):
     return run
 
 
-STRING = "string binary, doc_id long, start long"
+STRING = "string binary, doc_id long, start long, stop long"
 NEIGHBOUR = "part int, doc_id long, start long, later boolean, head boolean, string binary"
 
 
-def _strings(length: int):
-    """The single strings of segments, for anchors with very many."""
+def _strings(length: int, most: int):
+    """Anchors with very many segments, sorted by anchor: rows with a string are its first occurrence in a chunk, of anchors that lie in several
+    ``parts``; rows without one are spans of strings with an earlier copy in the chunk. A chunk holds whole anchors, or parts of a divided one."""
+
+    def settle(rows: list[np.ndarray], parts: list[bytes]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        counts = sizes - length + 1
+        part = np.repeat(np.arange(len(parts)), counts)
+        offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = (np.cumsum(sizes) - sizes)[part] + offset
+        doc, start = rows[1][part], rows[2][part] + offset
+        order = np.lexsort((start, doc, _Rolling(data).of(at, at + length)))  # equal strings side by side, the earliest first
+        views = np.lib.stride_tricks.sliding_window_view(data, length)
+        late = np.zeros(len(order), bool)
+        for lo in range(1, len(order), 50_000):  # by bytes
+            hi = min(lo + 50_000, len(order))
+            late[lo:hi] = (views[at[order[lo:hi]]] == views[at[order[lo - 1 : hi - 1]]]).all(axis=1)
+        spans = _spans(doc[order[late]], start[order[late]], length)
+        first = order[~late]
+        first = first[rows[3][part[first]] > 1]
+        strings = np.ascontiguousarray(views[at[first]]) if len(first) else np.zeros((0, length), np.uint8)
+        column = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.arange(len(first) + 1) * length).astype(np.int32)), pa.py_buffer(strings)])
+        n = spans.num_rows
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([column, pa.nulls(n, pa.binary())]), pa.concat_arrays([pa.array(doc[first]), spans.column(0)]),
+            pa.concat_arrays([pa.array(start[first]), spans.column(1)]), pa.concat_arrays([pa.array(start[first] + length), spans.column(2)]),
+        ], names=["string", "doc_id", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, parts = [np.zeros(0, np.int64)] * 4, []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                cut = batch.slice(lo, 512)
-                parts = cut.column("bytes").to_pylist()
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                sizes = np.array([len(p) for p in parts], np.int64)
-                counts = sizes - length + 1
-                part = np.repeat(np.arange(len(parts)), counts)
-                offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = (np.cumsum(sizes) - sizes)[part] + offset
-                strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[at])
-                column = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * length).astype(np.int32)), pa.py_buffer(strings)])
-                doc, start = (cut.column(x).to_numpy(zero_copy_only=False)[part] for x in ("doc_id", "start"))
-                yield pa.RecordBatch.from_arrays([column, pa.array(doc), pa.array(start + offset)], names=["string", "doc_id", "start"])
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([r, batch.column(x).to_numpy(zero_copy_only=False)]) for r, x in zip(rows, ("anchor", "doc_id", "start", "parts"))]
+            parts += batch.column("bytes").to_pylist()
+            while len(parts) > 2 * most:
+                cut = int(np.searchsorted(rows[0], rows[0][most], side="left")) or int(np.searchsorted(rows[0], rows[0][0], side="right"))
+                cut = min(cut, 2 * most)  # only a divided anchor is longer
+                yield settle([r[:cut] for r in rows], parts[:cut])
+                rows, parts = [r[cut:] for r in rows], parts[cut:]
+        if parts:
+            yield settle(rows, parts)
         trim()
 
     return run
@@ -483,20 +511,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large_anchor: int = LA
     copies = staged(known.filter("later").select("doc_id", first.alias("a"), (first + more + length).alias("b")), "copies")
     open_rows = staged(known.filter("not later and several").select("anchor", "doc_id", "place"), "open-segments")
     discard(rows, borders)
-    large = staged(open_rows.groupBy("anchor").count().filter(F.col("count") > large_anchor).select("anchor", F.lit(True).alias("large")), "large-anchors")
+    most = max(1, WHOLE_ANCHOR * large_anchor)
+    large = staged(open_rows.groupBy("anchor").count().filter(F.col("count") > large_anchor).select("anchor", F.ceil(F.col("count") / most).alias("parts")), "large-anchors")
     wanted = (
         open_rows.join(large, "anchor", "left").groupBy("doc_id")
-        .agg(F.collect_list(F.struct("anchor", "place", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("anchor", "place", F.coalesce("parts", F.lit(0)).alias("parts"))).alias("wanted"))
     )
     cut = staged(
-        texts.join(wanted, "doc_id").mapInArrow(_cut_out(length), "anchor long, doc_id long, start long, bytes binary, large boolean"), "segment-bytes"
+        texts.join(wanted, "doc_id").mapInArrow(_cut_out(length), "anchor long, doc_id long, start long, bytes binary, parts long"), "segment-bytes"
     )
     discard(open_rows)
-    met = cut.filter("not large").select("anchor", "doc_id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    met = cut.filter("parts = 0").select("anchor", "doc_id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     found = met.mapInArrow(_factors(length), SPAN)
     if not large.isEmpty():
-        strings = cut.filter("large").select("doc_id", "start", "bytes").mapInArrow(_strings(length), STRING)
-        found = found.union(_sorted_over_cluster(strings, length))
+        dealt = cut.filter("parts > 0").repartition("anchor", F.pmod(F.xxhash64("doc_id", "start"), "parts")).sortWithinPartitions("anchor")
+        strings = staged(dealt.mapInArrow(_strings(length, most), STRING), "strings")
+        found = found.union(strings.filter("string is null").select("doc_id", F.col("start").alias("a"), F.col("stop").alias("b")))
+        found = found.union(_sorted_over_cluster(strings.filter("string is not null").drop("stop"), length))
     spans = staged(copies.union(found).withColumnRenamed("doc_id", "key"), "spans")
     discard(copies, large, cut)
     return spans
