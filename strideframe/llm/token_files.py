@@ -20,6 +20,8 @@ from .common import new_path
 from .tokens import END_ID, encoder
 
 SEGMENT_DOCS = 512
+#: Words a worker keeps while it writes files: learning a word again costs far more than finding it.
+LASTING_FILE_WORDS = 1_300_000
 #: Stands for a missing id in a file.
 NO_ID = -(1 << 63)
 SEGMENT_CHARS = 2_000_000
@@ -44,6 +46,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = SEGMENT_DOCS, chars: i
 def _encoder(vocabulary: str, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(vocabulary, path), TaskContext.get().partitionId(), 0
+        enc.most_words = LASTING_FILE_WORDS
         end = np.array([END_ID], np.uint32)
         for seq, (ids, texts) in enumerate(chunks(batches)):
             coded = [np.concatenate([x, end]) for x in enc.encode(texts)]

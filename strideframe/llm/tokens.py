@@ -50,6 +50,7 @@ class WordEncoder:
         self.n_bytes, self.ends = np.zeros(width, np.int64), np.zeros(width, bool)
         for word, i in vocab.items():
             self.n_bytes[i], self.ends[i] = len(word), word.endswith("</w>")
+        self.most_words = CACHE_WORDS
         self.clear()
 
     def clear(self) -> None:
@@ -127,10 +128,17 @@ class WordEncoder:
         kept, keys, tails = [], [], []
         entries = self.entries
         for piece in new:
-            core = piece.rstrip(TAIL)
+            if piece.isalpha():  # most of them
+                if piece not in entries:
+                    plain[piece] = None
+                kept.append(piece)
+                keys.append(piece)
+                tails.append("")
+                continue
             if not piece:
                 unsafe.add(piece)
                 continue
+            core = piece.rstrip(TAIL)
             if core.isalpha():
                 key, tail = core, piece[len(core) :]
                 if key not in entries:
@@ -160,8 +168,8 @@ class WordEncoder:
         n, m = len(self.words), len(kept)
         while n + m > len(self.core_of):
             self.core_of, self.tail_of = (np.concatenate([x, np.zeros_like(x)]) for x in (self.core_of, self.tail_of))
-        self.core_of[n : n + m] = [entries[x] for x in keys]
-        self.tail_of[n : n + m] = [entries[x] for x in tails]
+        self.core_of[n : n + m] = np.fromiter(map(entries.__getitem__, keys), np.int32, m)
+        self.tail_of[n : n + m] = np.fromiter(map(entries.__getitem__, tails), np.int32, m)
         self.words.update(zip(kept, range(n, n + m)))
         return unsafe
 
@@ -174,7 +182,7 @@ class WordEncoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most_words:
             self.clear()
         split = [self._pieces(x) for x in texts]
         while True:
