@@ -84,3 +84,16 @@ def test_match_tables_name_their_excerpts(spark, sf):
         b = best[r["reference_id"], r["clip_id"]]
         assert (r["rank"], r["start_frame"], r["end_frame"], r["normalized_cost"]) == (b["rank"], b["start_frame"], b["end_frame"], b["normalized_cost"])
         assert r["excerpt"] == f"rank{b['rank']:02d}_{b['clip_key']}_{b['clip_id']}_f{b['start_frame']:05d}-{b['end_frame']:05d}.mp4" and r["school"] == f"S{b['clip_key'] % 7}"
+
+
+def test_windows_are_no_longer_than_they_need(monkeypatch):
+    """Series of two lengths in turn: a block of windows holds those of like room, so few frames beyond their ends are warped."""
+    seen = []
+    whole = matching.closed_ends
+    monkeypatch.setattr(matching, "closed_ends", lambda q, w, *rest: seen.append(w.shape[1] * w.shape[2]) or whole(q, w, *rest))
+    r = np.random.default_rng(6)
+    series = [r.normal(size=(30 if k % 2 else 80, 1)) for k in range(64)]
+    got = best_matches(series[0][:40], series, np.ones(1), block=16)
+    needed = sum(min(80, len(x) - s) for x in series for s in range(0, len(x) - 20 + 1, 8))
+    assert sum(seen) <= 1.1 * needed
+    assert got == [best_matches(series[0][:40], [x], np.ones(1))[0] for x in series]
