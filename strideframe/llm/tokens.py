@@ -14,6 +14,8 @@ import os
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import trim
 
@@ -67,13 +69,25 @@ class WordEncoder:
             self.clear()
         trim()
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _spaced(self, text: str) -> str | None:
+        """The text with a space at each cut; None: it is encoded whole."""
         if self.lower:
             if "Σ" in text or "\1" in text:
                 return None
             low = text.lower()
-            return None if self._has_added(low) else [x for x in low.replace("\n", " ").split(" ") if x]
-        return None if "\0" in text or "\1" in text or self._has_added(text) else ("\0" + text.replace("\n", " \n")).split(" ")
+            return None if self._has_added(low) else low.replace("\n", " ")
+        return None if "\0" in text or "\1" in text or self._has_added(text) else "\0" + text.replace("\n", " \n")
+
+    def _split(self, spaced: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different pieces of all texts, the one that stands at each place, and the places where texts begin and end.
+        Arrow finds what is different, so that a piece is looked up once a call and not wherever it stands."""
+        split = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        places, bounds = split.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())])
+        if self.lower:  # there an empty piece stands for nothing
+            full = pc.binary_length(places).to_numpy() > 0
+            places, bounds = places.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[bounds]
+        found = pc.dictionary_encode(places)
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), bounds
 
     def _has_added(self, text: str) -> bool:
         return any(x in text for x in self.added)
@@ -184,27 +198,28 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > self.most_words:
             self.clear()
-        split = [self._pieces(x) for x in texts]
+        spaced = [self._spaced(x) for x in texts]
         while True:
-            counts = np.array([len(s) if s is not None else 0 for s in split], np.int64)
-            pieces = list(chain.from_iterable(s for s in split if s))
-            at = np.fromiter(map(self.words.get, pieces, repeat(-1)), np.int64, len(pieces))
-            if not len(missed := np.flatnonzero(at < 0)):
+            pieces, which, bounds = self._split(spaced)
+            row = np.fromiter(map(self.words.get, pieces, repeat(-1)), np.int64, len(pieces))
+            if not len(missed := np.flatnonzero(row < 0)):
                 break
             missed_pieces = [pieces[i] for i in missed.tolist()]
-            bad = self._learn(list(dict.fromkeys(missed_pieces)))
+            bad = self._learn(missed_pieces)
             if not bad:
-                at[missed] = np.fromiter(map(self.words.__getitem__, missed_pieces), np.int64, len(missed))
+                row[missed] = np.fromiter(map(self.words.__getitem__, missed_pieces), np.int64, len(missed))
                 break
-            split = [s if s is not None and bad.isdisjoint(s) else None for s in split]
+            at_bad = np.concatenate([[0], np.cumsum(np.fromiter(map(bad.__contains__, pieces), bool, len(pieces))[which])])
+            spaced = [None if n else s for s, n in zip(spaced, (at_bad[bounds[1:]] - at_bad[bounds[:-1]]).tolist())]
         rest = {
             i: np.array(self.lib.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, np.uint32)
-            for i, s in enumerate(split) if s is None
+            for i, s in enumerate(spaced) if s is None
         }
+        at = row[which]
         both = np.empty(2 * len(at), np.int64)
         both[::2], both[1::2] = self.core_of[at], self.tail_of[at]
         size = self.size[both].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.repeat(self.start[both] - total[:-1], size) + np.arange(total[-1])]
-        stops = total[2 * np.concatenate([[0], np.cumsum(counts)])]
+        stops = total[2 * bounds]
         return [rest[i] if i in rest else flat[stops[i] : stops[i + 1]] for i in range(len(texts))]
