@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.expr import AXES, finite
 from strideframe.functions.skeleton import BODYPARTS, bone_name, bones, mirror_key
-from strideframe.operators import lifting, poses, scans
+from strideframe.operators import lifting, poses, tracks
 
 #: Least likelihoods of joints of the body and of the hands.
 BODY_FLOOR, HAND_FLOOR, N_BODY = 0.5, 0.05, 17
@@ -61,6 +61,14 @@ def lift_run(
         )
         scales = lifting.depth_scale(lifting.calibration_samples(pairs, min_likelihood), sampled.select("run").distinct(), F.lit(fx), shoulder_width_m, block is not None)
         scaled = sampled.join(scales.select("run", "depth_scale"), "run")
+    if block is not None:
+        take = lambda c: F.transform("kp", lambda k: k[c].cast("double"))
+        depth = F.transform("raw", lambda v: v * F.col("depth_scale"))
+        frames = scaled.select("run", "frame_index", take("x").alias("px"), take("y").alias("py"), take("lik").alias("lik"), depth.alias("z"))
+        marked = tracks.flagged(frames, hands, (cx, cy), fx, radius, lifting.OUTLIER_LIKELIHOOD)
+        smooth = tracks.smoothed(marked, (cx, cy), fx, z_window, block)
+        points = smooth.select("run", "frame_index", F.posexplode(F.arrays_zip("x", "y", "z", "lik")).alias("joint", "p"))
+        return points.select("run", "frame_index", "joint", "p.x", "p.y", "p.z", "p.lik")
     long = scaled.select("run", "frame_index", "depth_scale", F.posexplode(F.arrays_zip("kp", "raw")).alias("joint", "p")).select(
         "run", "frame_index", "joint", F.col("p.kp.x").alias("px"), F.col("p.kp.y").alias("py"), F.col("p.kp.lik").alias("lik"), (F.col("p.raw") * F.col("depth_scale")).alias("z")
     )
@@ -74,11 +82,6 @@ def lift_run(
     flagged = lifting.hand_outliers(in_hand, ["run", "frame_index", "hand"], radius).select("run", "frame_index", F.col("slot").alias("joint"), "px", "py", "lik", "z", "outlier")
     every = flagged.union(placed.filter("_h is null").select("run", "frame_index", "joint", "px", "py", "lik", "z", F.lit(False)))
     track = ["run", "joint"]
-    if block is not None:
-        tracks = every.withColumn("_track", F.struct(*track)).persist()  # read by the blocks' ends and by the rows
-        filled = scans.fill_gaps(tracks, "z", "outlier", "_z", key="_track", block=block).withColumn("z", F.col("_z")).drop("_z")
-        smooth = scans.smooth(filled, "z", z_window, False, "_z", key="_track", block=block).withColumn("z", F.col("_z"))
-        return smooth.select("run", "frame_index", "joint", ((F.col("px") - cx) * z / fx).alias("x"), ((F.col("py") - cy) * z / fx).alias("y"), "z", "lik")
     filled = every.select("run", "frame_index", "joint", "px", "py", "lik", poses.fill_gaps(every, "z", "outlier", track).alias("z"))
     smooth = filled.withColumn("z", poses.smooth(filled, "z", z_window, False, key=track))
     return smooth.select("run", "frame_index", "joint", ((F.col("px") - cx) * z / fx).alias("x"), ((F.col("py") - cy) * z / fx).alias("y"), "z", "lik")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.functions.skeleton import SMALL_3D
-from strideframe.operators import lifting, poses, progress, runs, scans
+from strideframe.operators import lifting, poses, progress, runs, scans, tracks
 from strideframe.plans.oracles import POSE, POSE_LONG, SIGNAL, _bilinear
 from strideframe.sources import adapters, files
 
@@ -206,7 +206,7 @@ def smooth_keypoints(spark: SparkSession, d: str) -> DataFrame:
 def lift_run(spark: SparkSession, d: str) -> DataFrame:
     kp = F.transform("kp", lambda k: F.struct(((k["x"] + 1) * 4).alias("x"), ((k["y"] + 1) * 4).alias("y"), k["lik"].alias("lik")))
     frames = adapters.long_pose_2d(spark, d).select(F.col("clip_key").alias("run"), F.col("frame_index").cast("int").alias("frame_index"), "frame_number", kp.alias("kp"))
-    out = runs.lift_run(frames, adapters.rasters(spark, d, F.col("label")).filter("frame_number % 9 <> 0"), HANDS, (0, 1), 8, 8, block=scans.BLOCK)
+    out = runs.lift_run(frames, adapters.rasters(spark, d, F.col("label")).filter("frame_number % 9 <> 0"), HANDS, (0, 1), 8, 8, block=tracks.BLOCK)
     return _six(out, ["x", "y", "z", "lik"], 5)
 
 
